@@ -122,7 +122,7 @@ def _match(scratch: Scratch, state: DataFrame, n: int, capacity: int) -> tuple[D
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], [x.split()[0] for x in SWEPT.split(", ")])
 
     tie = F.xxhash64("id")
-    ranged = state.select("tag", "id", "size").repartitionByRange(_parts(n), "size", "tag", tie).sortWithinPartitions("size", "tag", tie)
+    ranged = state.where("tag in ('D', 'G')").select("tag", "id", "size").repartitionByRange(_parts(n), "size", "tag", tie).sortWithinPartitions("size", "tag", tie)
     swept = scratch.put(ranged.mapInArrow(run, SWEPT))
     counts: dict[int, list[int]] = {}
     for r in swept.where("tag in ('D', 'G')").groupBy("pid", "tag").count().collect():  # two rows a partition
