@@ -22,7 +22,6 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +35,12 @@ VOCAB = "word_bpe_49k.json"
 #: Rows whose words may enter the lexicon, and words in it at most.
 SAMPLE_ROWS, LEXICON_WORDS = 2000, 32768
 #: Characters of text handled at once, and words a worker remembers before it starts afresh.
-CHUNK_CHARS, REMEMBERED = 1 << 21, 500_000
+CHUNK_CHARS, REMEMBERED = 1 << 20, 1_000_000
 INF = np.int32(2**31 - 1)
 # Unicode's White_Space characters.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9 \t-\r]+")
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Endings that stay with an apostrophe before them.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def vocab_path(vocab: str) -> str:
@@ -51,42 +51,31 @@ def vocab_path(vocab: str) -> str:
     return public_tokenizers.path(vocab)
 
 
-def _ranges(inside: Callable[[str], bool]) -> str:
-    """The inside of a character class with all code points for which `inside` holds."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        is_in = c <= sys.maxunicode and inside(chr(c))
-        if is_in and start is None:
-            start = c
-        elif not is_in and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+_tables: list = []
 
 
-_patterns: list = []
-
-
-def patterns() -> tuple[re.Pattern, re.Pattern, frozenset[str], dict[int, str]]:
-    """Words by letters and numbers; the same for texts in which these are \\w without _ and \\d; the characters for
-    which they aren't; and the lower case of letters that are newer than Python's tables, as the tokenizers
-    library has them."""
-    if not _patterns:
+def classes() -> tuple[np.ndarray, dict[int, str]]:
+    """For every code point: 0 white space, 1 letter, 2 number, 3 other, 4 more if Python's tables are older than the
+    tokenizers library's there; and the lower case that the library has for those."""
+    if not _tables:
         import regex
         from tokenizers import Regex, normalizers, pre_tokenizers
 
-        kinds = {c: unicodedata.category(c) for c in map(chr, range(sys.maxunicode + 1))}
-        newer = regex.findall(r"[\p{L}\p{N}]", "".join(c for c, k in kinds.items() if k == "Cn"))
+        kinds = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+        newer = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c, k in enumerate(kinds) if k == "Cn"))
         for kind in "LN":
             has = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}"), "isolated").pre_tokenize_str("".join(f" {c} " for c in newer))
-            kinds |= {w: kind for w, _ in has if len(w) == 1 and w != " "}
+            for w, _ in has:
+                if len(w) == 1 and w != " ":
+                    kinds[ord(w)] = kind
         lower = {ord(c): x for c in newer if (x := normalizers.Lowercase().normalize_str(c)) != c}
-        letter, number = (_ranges(lambda c, k=k: kinds[c][0] == k) for k in "LN")
-        odd = frozenset(newer) | {c for c, k in kinds.items() if k in ("No", "Nl")}
-        tail = "'(?:s|t|re|ve|m|ll|d)"
-        every, common = map(re.compile, (f"[{letter}]+|[{number}]|{tail}|[^{SPACE}{letter}{number}]+", rf"[^\W\d_]+|\d|{tail}|(?:[^\w{SPACE}]|_)+"))
-        _patterns.extend((every, common, odd, lower))
-    return tuple(_patterns)
+        table = np.array([{"L": 1, "N": 2}.get(k[0], 3) for k in kinds], np.uint8)
+        for c in map(ord, SPACE):
+            table[c] = 0
+        for c in lower:
+            table[c] |= 4
+        _tables.extend((table, lower))
+    return tuple(_tables)
 
 
 def byte_chars() -> list[str]:
@@ -184,10 +173,46 @@ class Lexicon:
 # ---------------------------------------------------------------- encoding
 
 
-class Encoder:
+class Splitter:
+    """Splits texts into the words that are encoded one by one."""
+
+    def __init__(self):
+        self.table, self.lower = classes()
+
+    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts in lower case in one string, where words begin and end in it, how many words come before each text's end, words' 64-bit hashes, and the class of their first character."""
+        texts = [t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ") for t in texts]
+        texts = [t.lower() for t in texts]  # one by one and without sigma: context never counts
+        whole = "\n".join([*texts, ""])
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.table[code]
+        if self.lower and (kind > 3).any():
+            return self.words([t.translate(self.lower) for t in texts])
+        begins = np.empty(len(code), bool)
+        begins[0] = True
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        for q in np.flatnonzero((code == 39) & begins).tolist():
+            if end := next((len(e) for e in ENDINGS if whole.startswith(e, q + 1)), 0):
+                begins[q + 1], begins[q + 1 + end] = False, True
+        at = np.flatnonzero(begins)
+        ends = np.r_[at[1:], len(code)]
+        inside = kind[at] != 0
+        at, ends, first = at[inside], ends[inside], kind[at[inside]]
+        last = np.searchsorted(at, np.cumsum([len(t) + 1 for t in texts]))
+        power, inverse = _powers(len(code))
+        sums = np.empty(len(code) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((code + np.uint64(0x51ED27)) * power[: len(code)], out=sums[1:])
+        hashed = (sums[ends] - sums[at]) * inverse[at] + (ends - at).astype(np.uint64)
+        hashed ^= hashed >> np.uint64(29)
+        return whole, at, ends, last, hashed * np.uint64(0xBF58476D1CE4E5B9), first
+
+
+class Encoder(Splitter):
     """Word pieces of a text and the ids of each word, as the vocabulary's own merges give them."""
 
     def __init__(self, vocab: str, block: bytes | None = None):
+        super().__init__()
         with open(vocab_path(vocab), encoding="utf-8") as f:
             told = json.load(f)
         self.suffix = told["model"]["end_of_word_suffix"] or ""
@@ -205,62 +230,95 @@ class Encoder:
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.lexicon = Lexicon(block) if block else None
-        self.table: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # words met before the table was last begun anew
-
-    def words(self, text: str | None) -> list[str]:
-        """The pieces that are encoded one by one; a special token is a piece of its own."""
-        if not text:
-            return []
-        if self.special_at and "<|" in text and self.special_at.search(text):
-            return [w for k, part in enumerate(self.special_at.split(text)) for w in ([part] if k % 2 else self._plain(part))]
-        return self._plain(text)
-
-    @staticmethod
-    def _plain(text: str) -> list[str]:
-        if text.isascii():
-            return ASCII_WORD.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
-        every, common, odd, lower = patterns()
-        if odd.isdisjoint(text):
-            return common.findall(text)
-        return every.findall(text.translate(lower))
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Puts the words' ids (little-endian 32-bit) into the table."""
-        if len(self.table) > REMEMBERED // 2:
-            self.old, self.table = self.table, {}
-        new = set(words)
-        new.difference_update(self.table.keys())
-        if self.old:
-            again = new & self.old.keys()
-            self.table.update((w, self.old[w]) for w in again)
-            new -= again
-        for w in new & self.special.keys():
-            self.table[w] = self.special[w].to_bytes(4, "little")
-        todo = [(w, b) for w in new if w not in self.special and (b := w.encode("utf-8", "surrogatepass"))]
-        todo.sort(key=lambda x: len(x[1]))
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins the tables of known words anew."""
+        self.known = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=2 * REMEMBERED)
+        self.flat, self.used = np.zeros(8 * REMEMBERED, np.int32), 0
+        self.start, self.size, self.n = np.zeros(REMEMBERED + 1, np.int64), np.zeros(REMEMBERED + 1, np.int32), 0
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of runs of texts, and where each text's ids end."""
+        for a, b in chunks(texts):
+            part = [t or "" for t in texts[a:b]]
+            if self.special_at and any("<|" in t and self.special_at.search(t) for t in part):
+                rows = [self._with_special(t) for t in part]
+                yield np.concatenate(rows), np.cumsum([len(r) for r in rows])
+            else:
+                yield self._encode(part)
+
+    def _with_special(self, text: str) -> np.ndarray:
+        parts = self.special_at.split(text)
+        return np.concatenate([np.array([self.special[w]], np.int32) if k % 2 else self._encode([w])[0] for k, w in enumerate(parts)])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole, at, ends, last, hashed, _ = self.words(texts)
+        if not len(at):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        place = self.known.get(hashed)
+        if len(missing := np.flatnonzero(place < 0)):
+            new, first = np.unique(hashed[missing], return_index=True)
+            first = missing[first]
+            if self.n + len(new) > REMEMBERED:
+                self.forget()
+                new, first = np.unique(hashed, return_index=True)
+                missing = slice(None)
+            self._learn(new, [whole[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist())])
+            place[missing] = self.known.get(hashed[missing])
+        sizes = self.size[place]
+        stop = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.start[place] - stop + sizes, sizes) + np.arange(stop[-1])]
+        return ids, np.r_[0, stop][last]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Puts new words' ids into the tables."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        length = np.array([len(b) for b in raw])
+        if self.n + len(words) >= len(self.start):  # one text with more words than are remembered
+            more = len(words) + 1
+            self.start, self.size = np.r_[self.start, np.zeros(more, np.int64)], np.r_[self.size, np.zeros(more, np.int32)]
+        low, order, parts, sizes = 0, [], [], []
         for limit in (8, 16, 32, 64):
-            k = next((i for i, x in enumerate(todo) if len(x[1]) > limit), len(todo))
-            for i in range(0, k, 16384):
-                self._learn(todo[i : min(k, i + 16384)], limit)
-            todo = todo[k:]
-        for w, b in todo:
-            self.table[w] = self._merge_long(b)
-
-    def _learn(self, todo: list[tuple[str, bytes]], width: int) -> None:
-        chars = np.array([b for _, b in todo], f"S{width}").view(np.uint8).reshape(len(todo), width)
-        lengths = np.array([len(b) for _, b in todo], np.int32)
-        place = self.lexicon.find(chars, lengths) if self.lexicon and self.lexicon.n else np.full(len(todo), -1)
-        if len(known := np.flatnonzero(place >= 0)):
-            buf, ends = self.lexicon.ids.astype("<i4").tobytes(), self.lexicon.ends * 4
-            for k, a, b in zip(known.tolist(), ends[place[known]].tolist(), ends[place[known] + 1].tolist()):
-                self.table[todo[k][0]] = buf[a:b]
-        if len(other := np.flatnonzero(place < 0)):
-            flat, sizes = self._merge(chars[other], lengths[other])
-            buf, ends = flat.astype("<i4").tobytes(), (np.cumsum(np.r_[0, sizes]) * 4).tolist()
-            for n, k in enumerate(other.tolist()):
-                self.table[todo[k][0]] = buf[ends[n] : ends[n + 1]]
+            where = np.flatnonzero((length > low) & (length <= limit))
+            low = limit
+            for k in range(0, len(where), 16384):
+                some = where[k : k + 16384]
+                flat, size = self._ids([raw[i] for i in some.tolist()], length[some], limit)
+                order.append(some)
+                parts.append(flat)
+                sizes.append(size)
+        for i in np.flatnonzero(length > low).tolist():
+            order.append([i])
+            parts.append(np.frombuffer(self._merge_long(raw[i]), "<i4"))
+            sizes.append([len(parts[-1])])
+        flat, size, order = np.concatenate(parts), np.concatenate(sizes), np.concatenate(order)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        self.flat[self.used : self.used + len(flat)] = flat
+        rows = np.arange(self.n, self.n + len(words))
+        self.start[rows], self.size[rows] = self.used + np.cumsum(size) - size, size
+        self.known.add(hashes[order], rows)
+        self.used, self.n = self.used + len(flat), self.n + len(words)
+
+    def _ids(self, raw: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of at most `width` bytes, one after the other, and how many each has: from the lexicon, or merged."""
+        chars = np.array(raw, f"S{width}").view(np.uint8).reshape(len(raw), width)
+        if not (self.lexicon and self.lexicon.n):
+            return self._merge(chars, lengths)
+        place = self.lexicon.find(chars, lengths)
+        other = place < 0
+        merged, size = self._merge(chars[other], lengths[other])
+        sizes = np.empty(len(raw), np.int64)
+        sizes[other] = size
+        sizes[~other] = np.diff(self.lexicon.ends)[place[~other]]
+        stop = np.cumsum(sizes)
+        flat = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
+        for mask, source, begin in ((other, merged, np.cumsum(size) - size), (~other, self.lexicon.ids, self.lexicon.ends[place[~other]])):
+            n = sizes[mask]
+            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat(stop[mask] - n, n) + steps] = source[np.repeat(begin, n) + steps]
+        return flat, sizes
 
     def _merge(self, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All words at once: in each turn every word merges its best pair. Ids row by row, and how many."""
@@ -341,6 +399,17 @@ class Encoder:
         return " ".join([self.tokens[i] for i in ids])
 
 
+_power: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64, n at least."""
+    if not _power or len(_power[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        _power[:] = [np.cumprod(np.r_[np.uint64(1), np.full(max(n, CHUNK_CHARS + CHUNK_CHARS // 8), x, np.uint64)]) for x in (base, pow(base, -1, 2**64))]
+    return _power
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
@@ -365,13 +434,13 @@ def chunks(texts: list[str | None], chars: int = CHUNK_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
-def encoded(enc: Encoder, texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Each text's place and words, when the ids of its words are in the table."""
-    for a, b in chunks(texts):
-        parts = [enc.words(t) for t in texts[a:b]]
-        enc.learn(chain.from_iterable(parts))
-        for k, words in enumerate(parts):
-            yield a + k, words
+def encoded(enc: Encoder, texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Each text's ids."""
+    for flat, ends in enc.encode(texts):
+        begin = 0
+        for end in ends.tolist():
+            yield flat[begin:end]
+            begin = end
 
 
 # ---------------------------------------------------------------- DataFrames
@@ -382,18 +451,19 @@ def build_lexicon(df: DataFrame, text: str = "text", vocab: str = VOCAB, rows: i
     ship(df.sparkSession)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen, splitter = Counter(), Splitter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(encoder(vocab).words(t))
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in chunks(texts):
+                whole, at, ends, *_ = splitter.words(texts[a:b])
+                seen.update(whole[i:j] for i, j in zip(at.tolist(), ends.tolist()))
         kept = [(w, n) for w, n in seen.items() if n > 1 and w.isprintable() and len(w) <= 32]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
     sample = df.select(F.col(text).alias("text")).limit(rows).mapInArrow(count, "word string, n long")
     top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
-    enc = Encoder(vocab)
-    enc.learn([r.word for r in top])
-    return compile_lexicon({r.word.encode(): np.frombuffer(enc.table[r.word], "<i4").tolist() for r in top if r.word not in enc.special})
+    ids = encoded(Encoder(vocab), [r.word for r in top])
+    return compile_lexicon({r.word.encode(): x.tolist() for r, x in zip(top, ids)})
 
 
 def encode(df: DataFrame, text: str = "text", vocab: str = VOCAB, out: str = "ids", lexicon: bytes | None = None) -> DataFrame:
@@ -402,9 +472,9 @@ def encode(df: DataFrame, text: str = "text", vocab: str = VOCAB, out: str = "id
 
 
 def _ids_column(enc: Encoder, texts: list[str | None]) -> list[pa.Array]:
-    rows = [np.frombuffer(b"".join(map(enc.table.__getitem__, words)), "<i4") for _, words in encoded(enc, texts)]
+    rows = list(encoded(enc, texts))
     ends = np.cumsum([0, *map(len, rows)])
-    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, "<i4")]), pa.int32()))]
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]), pa.int32()))]
 
 
 def decode(df: DataFrame, ids: str = "ids", vocab: str = VOCAB, out: str = "decoded") -> DataFrame:

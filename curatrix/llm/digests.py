@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -20,8 +19,8 @@ def _sha(x: str | bytes) -> str:
 def _token_columns(enc: bpe.Encoder, texts: list[str | None]) -> list[pa.Array]:
     n, ids_sha, text_sha = [], [], []
     decimal = [str(i) for i in range(len(enc.tokens))]
-    for _, words in bpe.encoded(enc, texts):
-        ids = np.frombuffer(b"".join(map(enc.table.__getitem__, words)), "<i4").tolist()
+    for found in bpe.encoded(enc, texts):
+        ids = found.tolist()
         n.append(len(ids))
         ids_sha.append(_sha(" ".join([decimal[i] for i in ids])))
         text_sha.append(_sha(enc.decode(ids)))

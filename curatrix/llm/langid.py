@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import VOCAB, Encoder, byte_chars, chunks, vocab_path
+from .bpe import VOCAB, Splitter, byte_chars, chunks, vocab_path
 from .common import ship
 from .u64map import U64Map
 
@@ -185,53 +185,63 @@ def fit(v: Vocabulary, counts: dict[str, dict[bytes, int]], iterations: int = IT
     return langs, p
 
 
-class Scorer:
+class Scorer(Splitter):
     """Scores texts; remembers the words it has met."""
 
     def __init__(self, vocab: str, langs: list[str], p: np.ndarray):
+        super().__init__()
         self.v, self.langs, self.p = vocabulary(vocab), langs, p
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known, self.n = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=2 * REMEMBERED), 0
         self.rows = np.zeros((REMEMBERED // 8, len(self.langs)), np.float32)
 
-    def learn(self, words: set[str]) -> None:
-        new = words - self.place.keys()
-        if len(self.place) + len(new) > REMEMBERED and self.place:
-            self.forget()
-            new = words
-        found = list(new)
-        at = len(self.place)
-        while at + len(found) > len(self.rows):
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        while self.n + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at : at + len(found)] = word_scores(self.v, self.p, [w.encode("utf-8", "surrogatepass") for w in found])
-        self.place.update(zip(found, range(at, at + len(found))))
+        rows = np.arange(self.n, self.n + len(words))
+        self.rows[rows] = word_scores(self.v, self.p, [w.encode("utf-8", "surrogatepass") for w in words])
+        self.known.add(hashes, rows)
+        self.n += len(words)
+
+    def letters(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts in lower case in one string, where runs of letters begin and end, how many each text has, and their hashes."""
+        whole, at, ends, last, hashed, kind = self.words([t or "" for t in texts])
+        letter = kind == 1
+        counts = np.diff(np.r_[0, np.r_[0, np.cumsum(letter)][last]])
+        return whole, at[letter], ends[letter], counts, hashed[letter]
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Each text's language and score."""
         names, scores = [], []
         for a, b in chunks(texts):
-            parts = [letters(t) for t in texts[a:b]]
-            self.learn({w for part in parts for w in part})
-            for words in parts:
-                if not words or not self.langs:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total = self.rows[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(0, dtype=float)
-                total *= min(1, PASSAGE / len(words))
-                post = np.exp(total - total.max())
-                best = int(total.argmax())
-                names.append(self.langs[best])
-                scores.append(float(post[best] / post.sum()))
+            whole, at, ends, counts, hashed = self.letters(texts[a:b])
+            if not self.langs or not len(at):
+                names += ["und"] * (b - a)
+                scores += [0.0] * (b - a)
+                continue
+            place = self.known.get(hashed)
+            if len(missing := np.flatnonzero(place < 0)):
+                if self.n + len(missing) > REMEMBERED and self.n:
+                    self.forget()
+                    missing = np.arange(len(hashed))
+                new, first = np.unique(hashed[missing], return_index=True)
+                first = missing[first]
+                self._learn(new, [whole[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist())])
+                place[missing] = self.known.get(hashed[missing])
+            sums = np.zeros((len(place) + 1, len(self.langs)))
+            np.cumsum(self.rows[place], 0, dtype=float, out=sums[1:])
+            stop = np.cumsum(counts)
+            total = (sums[stop] - sums[stop - counts]) * np.minimum(1, PASSAGE / np.maximum(counts, 1))[:, None]
+            post = np.exp(total - total.max(1, keepdims=True))
+            best = total.argmax(1)
+            top = post[np.arange(len(best)), best] / post.sum(1)
+            names += [self.langs[k] if n else "und" for k, n in zip(best.tolist(), counts.tolist())]
+            scores += np.where(counts > 0, top, 0.0).tolist()
         return names, scores
 
 
-def letters(text: str | None) -> list[str]:
-    """A text's words: runs of letters, in lower case."""
-    return [w for w in Encoder._plain(text) if w[0].isalpha()] if text else []
-
-
 _scorers: dict[int, Scorer] = {}
 
 
@@ -249,9 +259,11 @@ def train(df: DataFrame, text: str, lang: str, key: str, vocab: str = VOCAB, row
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter[str]] = {}
+        scorer = Scorer(vocab, [], np.zeros((1, 0)))
         for b in batches:
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen.setdefault(g, Counter()).update(w for w in letters(t) if len(w) <= 32)
+                whole, at, ends, *_ = scorer.letters([t])
+                seen.setdefault(g, Counter()).update(whole[i:j] for i, j in zip(at.tolist(), ends.tolist()) if j - i <= 32)
         for g, c in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(c), pa.string()), pa.array([w.encode() for w in c], pa.binary()), pa.array(c.values(), pa.int64())], ["g", "w", "n"])
 

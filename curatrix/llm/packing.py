@@ -6,7 +6,7 @@ pieces of its partition fit. What a partition could not match meets across parti
 left in each partition (two numbers a partition) say which gap takes which piece. Then gaps are updated
 and the next round begins. When rounds place too little, the longest pieces left open new sequences,
 again all at once: a prefix sum over the range-sorted pieces cuts them into runs, and the pieces
-that lie across a cut stay for the next rounds.
+that lie across a cut stay for the next rounds. What fits one partition (ROWS_A_TASK rows) is finished there by best fit.
 
 Null and empty texts become a piece of one end token. Ties and repeated rows are separate pieces. A piece of
 the whole capacity has a sequence of its own; longer documents are cut, so no piece is longer.
@@ -48,8 +48,8 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str =
         enc: Encoder = encoder(vocab, block.value)
         for b in batches:
             keys, out = b.column(0).to_pylist(), ([], [], [], [], [], [])
-            for k, words in encoded(enc, b.column(1).to_pylist()):
-                buf = b"".join(map(enc.table.__getitem__, words)) + closing
+            for k, found in enumerate(encoded(enc, b.column(1).to_pylist())):
+                buf = found.astype("<i4").tobytes() + closing
                 for n, at in enumerate(range(0, len(buf), wide)):
                     part = buf[at : at + wide]
                     row = (keys[k], n, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if ids else None)
@@ -105,6 +105,41 @@ def intervals(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, i
     return out
 
 
+def finish(rows: Iterable[tuple[str, int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """Best fit of the longest first, in one partition: (piece, sequence, place) for rows (tag, id, size)."""
+    gaps: dict[int, list[int]] = {}
+    for tag, i, size in rows:
+        if tag == "G":
+            gaps.setdefault(size, []).append(i)
+    sizes, out = sorted(gaps), []
+    for tag, i, size in sorted(rows, key=lambda r: (-r[2], r[1])):
+        if tag != "D":
+            continue
+        k = bisect.bisect_left(sizes, size)
+        gap = sizes[k] if k < len(sizes) else capacity
+        seq = gaps[gap].pop() if k < len(sizes) else i
+        if k < len(sizes) and not gaps[gap]:
+            del gaps[gap], sizes[k]
+        out.append((i, seq, capacity - gap))
+        if left := gap - size:
+            if left not in gaps:
+                bisect.insort(sizes, left)
+                gaps[left] = []
+            gaps[left].append(seq)
+    return out
+
+
+def _finish(state: DataFrame, capacity: int) -> DataFrame:
+    """Places all pieces of a state of ROWS_A_TASK rows at most."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))]
+        if found := finish(rows, capacity):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["_uid", "sequence_id", "offset"])
+
+    return state.where("tag in ('D', 'G')").select("tag", "id", "size").repartition(1).mapInArrow(run, "_uid long, sequence_id long, offset long")
+
+
 def _parts(n: int) -> int:
     return max(1, -(-n // ROWS_A_TASK))
 
@@ -192,14 +227,15 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     placed = [alone.select(F.col("_uid"), F.col("_uid").alias("sequence_id"), zero.alias("offset"))]
     told = lambda s: s.groupBy("tag").agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least")).collect()  # noqa: E731  a row a tag
     by = {r.tag: r for r in told(state)}
-    keep: list[DataFrame] = []
     while "D" in by:
         docs, gaps = by["D"].n, by.get("G")
+        if docs + (gaps.n if gaps else 0) <= ROWS_A_TASK:
+            placed.append(_finish(state, capacity))
+            break
         done = 0
         if gaps and gaps.most >= by["D"].least:
             swept, new = _match(scratch, state, docs + gaps.n, capacity)
             placed += [t.where("tag = 'P'").select(F.col("id").alias("_uid"), F.col("seq").alias("sequence_id"), F.col("at").alias("offset")) for t in (swept, new)]
-            keep += [swept, new]
             state, by = new, {r.tag: r for r in told(new)}
             done = docs - (by["D"].n if "D" in by else 0)
         if "D" in by and done < WORTH * docs:
