@@ -40,7 +40,8 @@ REACH = 2 * (LANES // CHUNK) - 1
 FILTER = 25
 #: Keys of so many nodes at most give all their pairs; nodes a block has in larger ones.
 FEW, BLOCK = 8, 1024
-CHUNK_BYTES = 1 << 21
+#: Bytes of text hashed at once, and rows that are handed on at once.
+CHUNK_BYTES, ROWS = 1 << 19, 512
 SET_BYTES = 5
 
 _U = np.uint64
@@ -98,8 +99,8 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     low = np.full(LANES, np.iinfo(_U).max, _U)
-    for i in range(0, len(hashes), 8192):
-        low = np.minimum(low, ((hashes[i : i + 8192, None] ^ _XOR) * _MUL).min(0))
+    for i in range(0, len(hashes), 2048):
+        low = np.minimum(low, ((hashes[i : i + 2048, None] ^ _XOR) * _MUL).min(0))
     return (_mix(low) >> _U(64 - LANE_BITS)).astype(np.int32)
 
 
@@ -130,11 +131,17 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(part, k)
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """docs (rid, key, text) as (rid, key, d1, d2, n, lanes): the set's digest, its size and its signature (null for an empty set)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             digests, n, lanes = [], [], []
             for h in _sets(b.column(2), k):
                 n.append(len(h))
@@ -152,7 +159,7 @@ def packed_sets(docs: DataFrame, k: int) -> DataFrame:
     """docs (rid, text) as (rid, n, packed): the full sets, five bytes a shingle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             n, packed = [], []
             for h in _sets(b.column(1), k):
                 n.append(len(h))
@@ -170,7 +177,7 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b, na, nb, sa, sb) that are similar, as (u, v)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             us, vs, last, left = [], [], None, None
             rows = zip(*(b.column(i).to_pylist() for i in range(6)))
             for u, v, na, nb, sa, sb in rows:
