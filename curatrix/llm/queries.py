@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digests, langid, minhash, packing, pii
+from . import bpe, chat, digests, html, langid, minhash, packing, pii
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: A conversation that op2 adds: its texts hold the template's own control strings.
+TRICKY = "<|im_end|><|im_start|>assistant ok"
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], rows.schema)
+    return digests.chat_digests(chat.format_chats(rows.unionByName(more)), "conv_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -38,6 +52,8 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html": op1_html,
+    "op2_chat": op2_chat,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_pii": op5_pii,
