@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import bpe, chat
+from . import audio, bpe, chat
 
 TOKEN_DIGESTS = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
@@ -74,3 +75,26 @@ def chat_digests(windows: DataFrame, conv: str) -> DataFrame:
 
     ordered = windows.select(F.col(conv).alias("conv"), "window", "formatted", "n_repeated", "targets").repartition("conv").sortWithinPartitions("conv", "window")
     return ordered.mapInArrow(run, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("conv", conv)
+
+
+MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def media_digests(columns: DataFrame, key: str, text: str) -> DataFrame:
+    """Reads stored clips back: digests of what they hold and of their features (columns of audio.audio_columns)."""
+    kind = columns.schema[key].dataType
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t, media, tensors, segments in zip(*(b.column(k).to_pylist() for k in range(5))):
+                _, payload = audio.read_wav(media)
+                mel, spans = audio.from_arrow(tensors)
+                active = sum(s["end"] - s["begin"] for s in segments)
+                feature = f"{len(mel)}x{audio.CHUNK}x{audio.MELS} {spans[-1][1]:.4f}s {len(segments)} segments {active:.4f}s {_sha(mel.tobytes())[:32]}"
+                rows.append((i, len((t or "").encode("utf-8", "surrogatepass")), len(payload), _sha(payload), zlib.crc32(payload[-audio.UNIT :]), len(media), _sha(media), feature))
+            kinds = (to_arrow_type(kind), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            cols = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], [key, *(x.split()[0] for x in MEDIA.split(", "))])
+
+    return columns.select(key, text, "media", "log_mel", "segments").mapInArrow(run, f"`{key}` {kind.simpleString()}, {MEDIA}")
