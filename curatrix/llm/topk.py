@@ -40,22 +40,25 @@ class Lists:
         dims = np.flatnonzero(q)
         down = q[dims] > 0
         ids, scores = np.zeros(0, np.int64), np.zeros(0, q.dtype)
-        depth, step = 0, STEP
-        while depth < n:
+        depth, step, left = 0, STEP, n - int(seen.sum())
+        while depth < n and left:
             stop = min(n, depth + step)
-            if len(dims):
-                places = np.where(down[:, None], n - 1 - np.arange(depth, stop), np.arange(depth, stop))
-                met = np.unique(self.order[places, dims[:, None]])
-            else:
-                met = np.arange(n)  # all scores are equal
-                stop = n
-            met = met[~seen[met]]
-            seen[met] = True
+            now = seen.copy()
+            now[self.order[depth:stop, dims[~down]]] = True
+            now[self.order[n - stop : n - depth, dims[down]]] = True
+            if not len(dims):
+                now[:], stop = True, n  # all scores are equal
+            met = np.flatnonzero(now & ~seen)
+            seen = now
+            left -= len(met)
             ids, scores = np.r_[ids, self.ids[met]], np.r_[scores, self.vectors[met] @ q]
+            if len(ids) > 8 * k and k:  # ties with the k-th stay
+                high = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                ids, scores = ids[high], scores[high]
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             depth, step = stop, 2 * step
-            if len(ids) == k and depth < n:
+            if len(ids) == k and depth < n and left:
                 edge = self.values[np.where(down, n - depth, depth - 1), dims]
                 if (edge * q[dims]).sum() < scores[-1]:
                     break
@@ -77,8 +80,10 @@ def block_top(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     if len(queries) and len(candidates):
         dims = int(pdf.vec.map(len).max())
         c, q = (whole_numbers(x.vec.tolist(), dims) for x in (candidates, queries))
-        # exact in floats, or else in Python's integers
-        if np.abs(c).max(initial=0) * np.abs(q).max(initial=0) * max(1, dims) >= 2**53:
+        most = np.abs(c).max(initial=0) * np.abs(q).max(initial=0) * max(1, dims)
+        if most < 2**24:  # exact in short floats, in long ones, or else in Python's integers
+            c, q = c.astype(np.float32), q.astype(np.float32)
+        elif most >= 2**53:
             c, q = (np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) for x in (c, q))
         lists = Lists(candidates.id.to_numpy(), candidates.rid.to_numpy(), c)
         for rid, i, v in zip(queries.rid, queries.id, q):
