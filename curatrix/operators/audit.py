@@ -51,7 +51,7 @@ def filename_overlap(frame: DataFrame) -> DataFrame:
 
 
 def group_overlap(frame: DataFrame) -> DataFrame:
-    column = "group_id" if has_value(frame, "group_id") else "parsed_group_id"
+    column = "group_id" if "parsed_group_id" not in frame.columns or has_value(frame, "group_id") else "parsed_group_id"
     return overlap(frame, column, "group_id")
 
 

@@ -104,9 +104,9 @@ def number_components(df: DataFrame, root: Column, prefix: Column, out: str, ord
 def phash_components(df: DataFrame, threshold: int = 10, class_col: str = "class_name", id: str = "image_id", order: str | None = None, out: str = "phash_component", blocks: int = 1) -> DataFrame:
     """df with the near-duplicate component of each row in its class. Rows without a valid hash are alone."""
     pairs = hash_pairs(df, threshold, id, "phash", class_col, order, blocks=blocks)
-    roots = connected(pairs).withColumnRenamed("id", id)
+    roots = connected(pairs).toDF(id, "_near")
     joined = df.join(roots, id, "left")
-    return number_components(joined, F.coalesce("root", id), F.concat(F.col(class_col), F.lit("::phash_")), out, order or id, class_col).drop("root")
+    return number_components(joined, F.coalesce("_near", id), F.concat(F.col(class_col), F.lit("::phash_")), out, order or id, class_col).drop("_near")
 
 
 def constraint_components(df: DataFrame, group_col: str = "group_id", component_col: str | None = "phash_component", class_col: str = "class_name", id: str = "image_id", order: str | None = None, out: str = "constraint_component") -> DataFrame:
@@ -116,6 +116,6 @@ def constraint_components(df: DataFrame, group_col: str = "group_id", component_
     keys = [F.concat_ws("\u0001", F.lit(k), F.col(class_col), F.col(c)) for k, c in (("g", group_col), ("p", component_col)) if c]
     node = F.concat_ws("\u0001", F.lit("r"), F.col(id))
     edges = df.select(node.alias("a"), F.explode(F.array(*keys)).alias("b"))
-    roots = connected(edges).where(F.col("id").startswith("r\u0001")).select(F.substring("id", 3, 1 << 20).alias(id), "root")
-    joined = df.join(roots, df[id].cast("string") == roots[id], "left").drop(roots[id])
-    return number_components(joined, F.col("root"), F.concat(F.col(class_col), F.lit("::constraint_")), out, order or id, class_col).drop("root")
+    roots = connected(edges).where(F.col("id").startswith("r\u0001")).select(F.substring("id", 3, 1 << 20).alias("_row"), F.col("root").alias("_tied"))
+    joined = df.join(roots, F.col(id).cast("string") == F.col("_row"), "left").drop("_row")
+    return number_components(joined, F.col("_tied"), F.concat(F.col(class_col), F.lit("::constraint_")), out, order or id, class_col).drop("_tied")

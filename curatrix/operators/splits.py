@@ -70,7 +70,8 @@ def component_split(df: DataFrame, component: str, class_col: str = "class_name"
 
     told = listed.select("c", F.explode(F.arrays_zip(F.transform("list", lambda x: x["k"]).alias("k"), F.aggregate("list", start, step, lambda a: a["to"]).alias("to"))).alias("z"))
     told = told.select("c", F.col("z.k").alias("k"), F.element_at(F.array(*map(F.lit, SPLITS)), F.col("z.to") + 1).alias("split"))
-    return df.join(told, (F.col(class_col) == F.col("c")) & (F.col(component).cast("string") == F.col("k"))).drop("c", "k")
+    told = told.toDF("_c", "_k", "split")
+    return df.drop("split").join(told, (F.col(class_col) == F.col("_c")) & (F.col(component).cast("string") == F.col("_k"))).drop("_c", "_k")
 
 
 def _ranked(df: DataFrame, keys: list[str], class_col: str, seed: int) -> DataFrame:
@@ -104,7 +105,8 @@ def group_split(df: DataFrame, group: str = "group_id", class_col: str = "class_
     val = ratios[1] / (ratios[1] + ratios[2])
     told = ranked.where("train").select("c", "k0", F.lit("train").alias("split"))
     told = told.unionByName(rest.select("c", "k0", F.when(F.col("rank") <= F.round(F.col("total") * val), "val").otherwise("test").alias("split")))
-    return df.join(told, (F.col(class_col) == F.col("c")) & (F.col(group) == F.col("k0"))).drop("c", "k0")
+    told = told.toDF("_c", "_k", "split")
+    return df.drop("split").join(told, (F.col(class_col) == F.col("_c")) & (F.col(group) == F.col("_k"))).drop("_c", "_k")
 
 
 def generate(df: DataFrame, mode: str, seed: int = 42, ratios: tuple[float, float, float] = RATIOS, threshold: int = 10) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +41,29 @@ def walk_tasks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, files: DataFrame, root: str, format: str = "binaryFile") -> DataFrame:
-    """Contents of the files below a root that Spark lists, and of those that it would leave out, by name."""
-    reader = lambda p: spark.read.format(format).option("recursiveFileLookup", True).load(p)
+    """(raw_path and the format's columns) of the files below a root. Files with a part that begins with "_" are left out by Spark's listing; they are
+    read by links to them in the shared folder."""
+    reader = spark.read.format(format).option("recursiveFileLookup", True)
+    name = F.col("image.origin" if format == "image" else "path")
+    out = reader.load(root).withColumn("raw_path", _local(name))
     hidden = [r.raw_path for r in files.where(F.exists(keys.parts(F.col("relative_path")), lambda x: x.startswith("_"))).select("raw_path").collect()]
-    out = reader(root)
-    return out.unionByName(reader(hidden)) if hidden else out
+    if hidden:
+        links = shared_folder(spark)
+        os.makedirs(links)
+        rows = []
+        for n, path in enumerate(hidden):
+            os.symlink(path, link := f"{links}/{n:09d}{os.path.splitext(path)[1]}")
+            rows.append((link, path))
+        there = spark.createDataFrame(rows, "link string, raw_path string")
+        out = out.unionByName(reader.load(links).withColumn("link", _local(name)).join(there, "link").drop("link"))
+    return out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).removeprefix("file:")
+    if ":" in base:
+        raise ValueError(f"names that begin with an underscore need a shared folder that is a file system's, not {base}")
+    return f"{'/' + base.strip('/')}/links-{uuid.uuid4().hex}"
 
 
 def _local(path) -> F.Column:
@@ -69,7 +89,7 @@ def scan(spark: SparkSession, root: str, sha256: bool = True, phash: bool = Fals
     skipped = named.where("reason is not null").select(F.col("raw_path").alias("path"), "reason", F.lit("file").alias("kind"))
     wanted = named.where("reason is null")
     size = images.size_udf("content")
-    read = contents(spark, files, root).withColumn("raw_path", _local(F.col("path"))).withColumn("size", size)
+    read = contents(spark, files, root).withColumn("size", size)
     read = read.select("raw_path", F.col("size.width").alias("width"), F.col("size.height").alias("height"), F.col("size.error").alias("error"), (F.sha2("content", 256) if sha256 else F.lit("")).alias("sha256"))
     told = wanted.join(read.dropDuplicates(["raw_path"]), "raw_path", "left").persist()
     unreadable = told.where("error is not null or width is null").select(F.col("raw_path").alias("path"), "relative_path", "class_name", F.coalesce("error", F.lit("not found")).alias("error"))
@@ -77,7 +97,7 @@ def scan(spark: SparkSession, root: str, sha256: bool = True, phash: bool = Fals
     if good.isEmpty():
         raise ValueError(f"no readable image in {root}")
     if phash:
-        pixels = contents(spark, files, root, "image").select(_local(F.col("image.origin")).alias("raw_path"), images.phash_udf("image").alias("phash"))
+        pixels = contents(spark, files, root, "image").select("raw_path", images.phash_udf("image").alias("phash"))
         good = good.join(pixels.dropDuplicates(["raw_path"]), "raw_path", "left").withColumn("phash", F.coalesce("phash", F.lit("")))
     else:
         good = good.withColumn("phash", F.lit(""))
