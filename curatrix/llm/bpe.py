@@ -33,9 +33,9 @@ from .u64map import U64Map
 
 VOCAB = "word_bpe_49k.json"
 #: Rows whose words may enter the lexicon, and words in it at most.
-SAMPLE_ROWS, LEXICON_WORDS = 2000, 32768
+SAMPLE_ROWS, LEXICON_WORDS = 2000, 12000
 #: Characters of text handled at once, and words a worker remembers before it starts afresh.
-CHUNK_CHARS, REMEMBERED = 1 << 20, 1_000_000
+CHUNK_CHARS, REMEMBERED = 1 << 19, 400_000
 INF = np.int32(2**31 - 1)
 # Unicode's White_Space characters.
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -234,9 +234,9 @@ class Encoder(Splitter):
 
     def forget(self) -> None:
         """Begins the tables of known words anew."""
-        self.known = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=2 * REMEMBERED)
-        self.flat, self.used = np.zeros(8 * REMEMBERED, np.int32), 0
-        self.start, self.size, self.n = np.zeros(REMEMBERED + 1, np.int64), np.zeros(REMEMBERED + 1, np.int32), 0
+        self.known = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=1 << 12)
+        self.flat, self.used = np.zeros(1 << 12, np.int32), 0
+        self.start, self.size, self.n = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), 0
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of runs of texts, and where each text's ids end."""
@@ -260,7 +260,7 @@ class Encoder(Splitter):
         if len(missing := np.flatnonzero(place < 0)):
             new, first = np.unique(hashed[missing], return_index=True)
             first = missing[first]
-            if self.n + len(new) > REMEMBERED:
+            if self.n and self.n + len(new) > REMEMBERED:
                 self.forget()
                 new, first = np.unique(hashed, return_index=True)
                 missing = slice(None)
@@ -275,8 +275,8 @@ class Encoder(Splitter):
         """Puts new words' ids into the tables."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         length = np.array([len(b) for b in raw])
-        if self.n + len(words) >= len(self.start):  # one text with more words than are remembered
-            more = len(words) + 1
+        if self.n + len(words) >= len(self.start):
+            more = max(len(words) + 1, len(self.start))
             self.start, self.size = np.r_[self.start, np.zeros(more, np.int64)], np.r_[self.size, np.zeros(more, np.int32)]
         low, order, parts, sizes = 0, [], [], []
         for limit in (8, 16, 32, 64):
@@ -462,7 +462,7 @@ def build_lexicon(df: DataFrame, text: str = "text", vocab: str = VOCAB, rows: i
 
     sample = df.select(F.col(text).alias("text")).limit(rows).mapInArrow(count, "word string, n long")
     top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
-    ids = encoded(Encoder(vocab), [r.word for r in top])
+    ids = encoded(Encoder(vocab), [r.word for r in top])  # tables grow with their words
     return compile_lexicon({r.word.encode(): x.tolist() for r, x in zip(top, ids)})
 
 

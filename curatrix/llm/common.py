@@ -14,8 +14,14 @@ ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch: texts can be long, and a batch is held in memory several times.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on Python workers that don't have it on their path already."""
+    """Makes this package importable on Python workers that don't have it on their path already, and keeps Arrow batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
     app = spark.sparkContext.applicationId
     if ROOT in on_path or Path.cwd() == ROOT or app in _shipped or not ROOT.is_dir():

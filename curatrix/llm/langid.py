@@ -26,13 +26,13 @@ from .common import ship
 from .u64map import U64Map
 
 #: Labelled rows of each language that training reads, about, and (language, word) counts it keeps at most.
-TRAIN_ROWS, TRAIN_WORDS = 1500, 200_000
+TRAIN_ROWS, TRAIN_WORDS = 1500, 50_000
 ITERATIONS, SMOOTHING = 5, 0.01
 #: Bytes of the longest piece; a key of the map is a piece's bytes in one 64-bit number.
 LONGEST = 8
 #: A score is the posterior that a passage of so many of a text's words would have.
 PASSAGE = 20
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 @dataclass
@@ -194,7 +194,7 @@ class Scorer(Splitter):
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.n = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=2 * REMEMBERED), 0
+        self.known, self.n = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=1 << 12), 0
         self.rows = np.zeros((REMEMBERED // 8, len(self.langs)), np.float32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
@@ -269,8 +269,9 @@ def train(df: DataFrame, text: str, lang: str, key: str, vocab: str = VOCAB, row
 
     counted = chosen.select(F.col(lang).alias("g"), F.col(text).alias("t")).mapInArrow(count, "g string, w binary, n long")
     counts: dict[str, dict[bytes, int]] = {g: {} for g in sizes}
-    for r in counted.groupBy("g", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g", "w").limit(words).collect():
-        counts[r.g][bytes(r.w)] = r.n
+    top = counted.groupBy("g", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g", "w").limit(words).toArrow()
+    for g, w, n in zip(*(top.column(c).to_pylist() for c in ("g", "w", "n"))):
+        counts[g][w] = n
     return fit(vocabulary(vocab), counts)
 
 
