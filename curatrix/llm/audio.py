@@ -65,6 +65,7 @@ def phases(up: int, down: int, taps: int = 8) -> np.ndarray:
     wide = max(up, down)
     n = np.arange(-taps * wide, taps * wide)
     h = np.sinc(n / wide) * np.hanning(len(n) + 2)[1:-1] * up / wide
+    h = np.concatenate([h, np.zeros(-len(h) % up)])
     return np.stack([h[p::up] for p in range(up)]).astype(np.float32)
 
 

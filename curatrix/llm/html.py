@@ -37,10 +37,11 @@ MARKED = re.compile(
     r"|comments?|commentlist|respond|repl(?:y|ies)|discussion|disqus\w*|related|recommend\w*|share|sharing|social|widget\w*|popup|modal|overlay|hidden|pagination|pager|copyright|legal|skip|complementary|navigation|contentinfo)(?=$|[\s_-])",
     re.I,
 )
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|branding|logo)(?=$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:main|article\w*|content|post|entry|story|body|text)(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)",
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -69,7 +70,7 @@ def _open(name: str, attributes: str, parent: Node) -> Node:
     named = " ".join(x or y or z for x, y, z in NAMED.findall(attributes)) if attributes else ""
     main = name in MAIN or name in ("div", "section", "td") and bool(named and CONTENT.search(named))
     inside = parent.main or main
-    skip = parent.skip or name in ASIDE or name == "header" and not parent.main
+    skip = parent.skip or name in ASIDE or not parent.main and (name == "header" or bool(named and HEADER.search(named)))
     if name not in ("html", "body", "article", "main"):
         skip = skip or bool(named and MARKED.search(named)) or bool(attributes and HIDDEN.search(attributes))
     return Node(name, parent, skip, inside, main, parent.depth + 1)
@@ -230,6 +231,8 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     scores = [sum(n * weights.get(kind, -0.5) for kind, n in features(b).items()) for b in found]
     begin, end = best_run(scores)
     run = [b for b in found[begin:end] if not b.node.skip]
+    if any(b.node.main for b in run):
+        run = [b for b in run if b.node.main]
     if run:
         holder = run[0].node
         for b in run[1:]:

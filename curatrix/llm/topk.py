@@ -7,7 +7,7 @@ candidate could have) is below the k-th score, it stops. The k best of all block
 
 Ties go to the smaller id, so the walk goes on while the bound equals the k-th score. Vectors that are null, hold a null or a component that is not
 finite, and rows without an id take no part. Shorter vectors count as padded with zeros. A query's own row is no candidate; other rows with
-its id or its vector are. Scores beyond 64 bits are clamped. Empty tables give no rows; further columns are ignored.
+its id or its vector are. Scores beyond 64 bits are clamped, and equal then. Empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
