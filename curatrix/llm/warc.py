@@ -7,7 +7,7 @@ and that response's headers, updated by those that a 304 may change.
 The as-of join goes over time buckets: inside a bucket by a window, from bucket to bucket by each bucket's last response. A URL with very
 many captures is so spread over tasks. Captures of equal time are ordered by record id, and a response counts as earlier than a revisit of its time only if its
 record id is smaller. Revisits without a URL, a time or an earlier response are unresolved, as are those whose validators differ; they keep
-their own headers and have a null payload. Repeated rows are separate captures. Null headers count as none; empty tables give no rows; further
+their own headers and have a null payload. Repeated revisits are separate rows; of responses with one record id, one has the payload. Null headers count as none; empty tables give no rows; further
 columns of captures are dropped.
 """
 
@@ -135,5 +135,5 @@ def resolve(captures: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rest = F.map_filter("hit.headers", lambda k, v: ~F.map_contains_key(F.col("update"), k))
     found = found.withColumn("update", update).withColumn("merged", F.when(F.col("outcome") == "resolved", F.map_concat(rest, "update")).otherwise(F.col("headers")))
     found = found.select("record_id", "url", "ts", F.when(F.col("outcome") == "resolved", F.col("hit.record_id")).alias("refers_to"), "outcome", F.col("merged").alias("headers"))
-    payloads = captures.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), "payload")
+    payloads = captures.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), "payload").dropDuplicates(["refers_to"])
     return found.join(payloads, "refers_to", "left").select("record_id", "url", "ts", "refers_to", "outcome", "headers", "payload")
