@@ -138,35 +138,41 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """docs (rid, key, text) as (rid, key, d1, d2, n, lanes): the set's digest, its size and its signature (null for an empty set)."""
+    """docs (key, text, th) as (key, th, d1, d2, n, lanes): the set's digest, its size and its signature (null for an empty set)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            digests, n, lanes = [], [], []
-            for h in _sets(b.column(2), k):
+            n, lanes, digests = [], [], []
+            for h in _sets(b.column(1), k):
                 n.append(len(h))
-                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                digests.append(_digest(h))
                 lanes.append(signature(h) if len(h) else None)
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(n, pa.int64()), pa.array(lanes, pa.list_(pa.int32()))], ["rid", "key", "d1", "d2", "n", "lanes"]
+                [b.column(0), b.column(2), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(n, pa.int64()), pa.array(lanes, pa.list_(pa.int32()))], ["key", "th", "d1", "d2", "n", "lanes"]
             )
 
-    return docs.mapInArrow(run, f"rid long, key {docs.schema['key'].dataType.simpleString()}, d1 long, d2 long, n long, lanes array<int>")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, th long, d1 long, d2 long, n long, lanes array<int>")
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def packed_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (rid, text) as (rid, n, packed): the full sets, five bytes a shingle."""
+    """docs (key, text) as (key, d1, d2, n, packed): the full sets, five bytes a shingle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            n, packed = [], []
+            n, packed, digests = [], [], []
             for h in _sets(b.column(1), k):
                 n.append(len(h))
                 packed.append(pack_set(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["rid", "n", "packed"])
+                digests.append(_digest(h))
+            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["key", "d1", "d2", "n", "packed"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, n long, packed binary")
+    return docs.select("key", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, d1 long, d2 long, n long, packed binary")
 
 
 def _similar(shared: int, a: int, b: int, percent: int) -> bool:
@@ -249,11 +255,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     Documents are linked when 100 * intersection >= percent * union of their k-word shingle sets. kept: the row has the smallest key."""
     spark: SparkSession = df.sparkSession
     scratch = Scratch(spark, "near")
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = scratch.put(docs.select("rid", "key", "text", hashed.alias("th")).drop("text"))
+    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     prints = scratch.put(fingerprints(docs, k))
-    nodes = scratch.put(prints.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("id"), F.min("key").alias("least"), F.first("n").alias("n"), F.min_by("lanes", "rid").alias("lanes")))
+    grouped = prints.where("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("least"), F.first("lanes").alias("lanes"))
+    nodes = scratch.put(grouped.withColumn("id", F.monotonically_increasing_id()))  # numbered as they are written, once
     index = nodes.select("id", F.explode(F.array(*_keys())).alias("bucket"))
     shared = index.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = scratch.put(index.join(shared, "bucket").join(nodes.select("id", *_sketch("lanes")), "id"))
@@ -269,9 +274,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     stars = stars.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
     pairs = scratch.put(pairs.unionByName(stars).distinct())
 
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(many.select("id")).distinct()
-    sets = scratch.put(packed_sets(docs, k).join(wanted, "rid", "left_semi"))
-    side = lambda p: sets.select(F.col("rid").alias(p), F.col("n").alias(f"n{p}"), F.col("packed").alias(f"s{p}"))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct()
+    wanted = wanted.join(nodes.select("id", "d1", "d2", F.xxhash64("least").alias("mark")), "id")
+    # of copies only the one with the smallest key moves on; rows that repeat it are dropped where they meet
+    marked = packed_sets(docs, k).withColumn("mark", F.xxhash64("key"))
+    one = ["d1", "d2", "mark"]
+    sets = scratch.put(marked.join(wanted, one).dropDuplicates(one).select("id", "n", "packed"))
+    side = lambda p: sets.select(F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("packed").alias(f"s{p}"))
     links = scratch.put(_confirm(pairs.join(side("b"), "b").join(side("a"), "a"), percent))
     first = connected(scratch, links)
 
@@ -286,7 +295,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ys = open_.select("bucket", "id", "comp", F.lit("y").alias("side"), F.pmod(h, "ny").cast("int").alias("j"), every("nx").alias("i"))
     xs = open_.where("comp != main").select("bucket", "id", "comp", F.lit("x").alias("side"), F.pmod(h, "nx").cast("int").alias("i"), every("ny").alias("j"))
-    rows = xs.unionByName(ys).join(sets.withColumnRenamed("rid", "id"), "id")
+    rows = xs.unionByName(ys).join(sets, "id")
     rest = rows.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "u long, v long")
     more = scratch.put(rest.distinct())
     linked = connected(scratch, first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)) if not more.isEmpty() else first
@@ -295,7 +304,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     lowest = linked.groupBy("component").agg(F.min("least").alias("lowest"))
     linked = linked.join(lowest, "component").select("id", "lowest")
     of = nodes.select("d1", "d2", "id", "least").join(linked, "id", "left").select("d1", "d2", F.coalesce("lowest", "least").alias("component_id"))
-    out = prints.select("rid", "key", "d1", "d2", "n").join(of, ["d1", "d2"], "left").join(marked.select("rid", "th"), "rid")
+    out = prints.select("key", "th", "d1", "d2", "n").join(of, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     scratch.drop(sets, members, pairs, named)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), F.col("th").alias("text_hash"))
