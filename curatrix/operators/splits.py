@@ -74,12 +74,18 @@ def component_split(df: DataFrame, component: str, class_col: str = "class_name"
     return df.drop("split").join(told, (F.col(class_col) == F.col("_c")) & (F.col(component).cast("string") == F.col("_k"))).drop("_c", "_k")
 
 
-def _ranked(df: DataFrame, keys: list[str], class_col: str, seed: int) -> DataFrame:
-    """(class, keys, rank, total): distinct keys of each class in seeded order."""
-    distinct = df.select(F.col(class_col).alias("c"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).distinct()
-    names = [f"k{i}" for i in range(len(keys))]
-    w = Window.partitionBy("c").orderBy(seeded(seed, *names), *names)
-    return distinct.withColumn("rank", F.row_number().over(w)).withColumn("total", F.count("*").over(Window.partitionBy("c")))
+def ranked(df: DataFrame, keys: list[str], class_col: str, seed: int) -> DataFrame:
+    """df with _rank, each row's place in its class in seeded order from 1, and _total, the class's rows.
+
+    A class is dealt into 4,096 parts by the front of the seeded hash; ranks are counted inside a part and added to the
+    sizes of the parts before it. A large class is so ranked by many tasks."""
+    dealt = df.withColumn("_h", seeded(seed, *keys)).withColumn("_part", F.substring("_h", 1, 3))
+    sizes = dealt.groupBy(F.col(class_col).alias("_c"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("_c")
+    sizes = sizes.withColumn("_before", F.sum("_n").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_total", F.sum("_n").over(by))
+    inside = F.row_number().over(Window.partitionBy(class_col, "_part").orderBy("_h", *keys))
+    joined = dealt.withColumn("_inside", inside).join(sizes, F.col(class_col).eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("_rank", F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_h", "_part", "_c", "_p", "_n", "_before", "_inside")
 
 
 def _cut(rank: str, total: str, ratios: tuple[float, float, float]) -> Column:
@@ -90,21 +96,18 @@ def _cut(rank: str, total: str, ratios: tuple[float, float, float]) -> Column:
 def stratified_split(df: DataFrame, id: str = "image_id", class_col: str = "class_name", seed: int = 42, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
     """df with `split`: each class's rows cut by the ratios in seeded order."""
     check_ratios(ratios)
-    w = Window.partitionBy(class_col).orderBy(seeded(seed, id), id)
-    ranked = df.withColumn("_rank", F.row_number().over(w)).withColumn("_total", F.count("*").over(Window.partitionBy(class_col)))
-    return ranked.withColumn("split", _cut("_rank", "_total", ratios)).drop("_rank", "_total")
+    return ranked(df, [id], class_col, seed).withColumn("split", _cut("_rank", "_total", ratios)).drop("_rank", "_total")
 
 
 def group_split(df: DataFrame, group: str = "group_id", class_col: str = "class_name", seed: int = 42, ratios: tuple[float, float, float] = RATIOS) -> DataFrame:
     """df with `split`: each class's groups, not its rows, cut by the ratios in seeded order. Val and test are cut under the next seed."""
     check_ratios(ratios)
-    ranked = _ranked(df, [group], class_col, seed).withColumn("train", F.col("rank") <= F.round(F.col("total") * ratios[0]))
-    rest = ranked.where("not train").drop("rank", "total")
-    w = Window.partitionBy("c").orderBy(seeded(seed + 1, "k0"), "k0")
-    rest = rest.withColumn("rank", F.row_number().over(w)).withColumn("total", F.count("*").over(Window.partitionBy("c")))
+    groups = df.select(F.col(class_col).alias("c"), F.col(group).alias("k0")).distinct()
+    first = ranked(groups, ["k0"], "c", seed).withColumn("train", F.col("_rank") <= F.round(F.col("_total") * ratios[0])).drop("_rank", "_total")
     val = ratios[1] / (ratios[1] + ratios[2])
-    told = ranked.where("train").select("c", "k0", F.lit("train").alias("split"))
-    told = told.unionByName(rest.select("c", "k0", F.when(F.col("rank") <= F.round(F.col("total") * val), "val").otherwise("test").alias("split")))
+    rest = ranked(first.where("not train"), ["k0"], "c", seed + 1)
+    told = first.where("train").select("c", "k0", F.lit("train").alias("split"))
+    told = told.unionByName(rest.select("c", "k0", F.when(F.col("_rank") <= F.round(F.col("_total") * val), "val").otherwise("test").alias("split")))
     told = told.toDF("_c", "_k", "split")
     return df.drop("split").join(told, (F.col(class_col) == F.col("_c")) & (F.col(group) == F.col("_k"))).drop("_c", "_k")
 
