@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -108,6 +108,6 @@ def top_k(df: DataFrame, id: str = "vec_id", vector: str = "embedding", is_query
     candidates = rows.select("rid", "id", "vec", F.lit("c").alias("side"), own(nc).alias("cb"), every(nq).alias("qb"))
     queries = rows.where("asked").select("rid", "id", "vec", F.lit("q").alias("side"), own(nq).alias("qb"), every(nc).alias("cb"))
     found = candidates.unionByName(queries).groupBy("cb", "qb").applyInPandas(lambda pdf: block_top(pdf, k), "rid long, query_id long, vec_id long, score long")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("down"), "vec_id", "score"))), 1, k)  # k rows of each block
-    ranked = found.groupBy("rid", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
-    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    # each task keeps k rows of a query before they are shuffled
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
