@@ -105,34 +105,37 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     scratch = Scratch(df.sparkSession, "chat")
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(text).alias("text"))
     turns = scratch.put(_summed(scratch, _written(rows, vocab)))
-    system = turns.where("nth = 0 and role = 'system'").select(F.col("conv").alias("c"), F.struct("nth", "formatted", "lo", "hi", "role", "tokens").alias("sys"))
-    room = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce(F.col("sys.tokens"), F.lit(0)))
-    placed = turns.join(system, F.col("conv").eqNullSafe(F.col("c")), "left").withColumn("k", F.floor(F.col("begin") / room))
+    # places are worked out on narrow rows; texts move once they are known
+    narrow = turns.select("conv", "nth", "begin", "tokens")
+    system = turns.where("nth = 0 and role = 'system'").select(F.col("conv").alias("c"), F.col("tokens").alias("sys"))
+    room = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("sys", F.lit(0)))
+    own = narrow.join(system, F.col("conv").eqNullSafe(F.col("c")), "left").withColumn("k", F.floor(F.col("begin") / room))
     across = F.col("begin") + F.col("tokens") > (F.col("k") + 1) * room  # lies over a cut: a span of its own
-    placed = placed.withColumn("window", 2 * F.col("k") + across.cast("long")).drop("c", "k")
-    one = F.struct("nth", "formatted", "lo", "hi", "role", "tokens")
-    spans = placed.groupBy("conv", "window").agg(F.min("begin").alias("from"), F.min("nth").alias("first"), F.first("sys").alias("sys"), F.collect_list(one).alias("own"))
-    spans = scratch.put(spans)
+    own = scratch.put(own.select("conv", "nth", "begin", "sys", (2 * F.col("k") + across.cast("long")).alias("window")))
+    spans = own.groupBy("conv", "window").agg(F.min("begin").alias("from"), F.min("nth").alias("first"), F.first("sys").isNotNull().alias("has"))
     # turns that end at most `history` tokens before a span begins: joined by place on a grid of that width
     grid = lambda c: F.floor(c / F.lit(max(1, history)))
-    ahead = turns.where(F.col("tokens") <= history).withColumn("end", F.col("begin") + F.col("tokens")).withColumn("g", F.explode(F.array(grid(F.col("end")), grid(F.col("end")) + 1)))
-    heads = spans.select(F.col("conv").alias("c"), "window", "from", "first", F.col("sys").isNotNull().alias("has"), grid(F.col("from")).alias("h"))
-    near = heads.join(ahead, F.col("c").eqNullSafe(F.col("conv")) & (F.col("g") == F.col("h")) & (F.col("nth") < F.col("first")) & (F.col("begin") >= F.col("from") - history) & ~(F.col("has") & (F.col("nth") == 0)))
-    past = near.groupBy("c", "window").agg(F.collect_list(one).alias("past")).withColumnRenamed("window", "w")
-    full = spans.join(past, F.col("conv").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")), "left")
-    repeated = F.concat(F.when(F.col("sys").isNotNull() & (F.col("first") > 0), F.array("sys")).otherwise(F.array().cast(placed.select(F.array("sys")).schema[0].dataType)), F.sort_array(F.coalesce("past", F.array().cast(past.schema["past"].dataType))))
-    full = full.withColumn("rep", repeated).withColumn("all", F.concat("rep", F.sort_array("own")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<begin:long,end:long>>").alias("spans"))
+    end = F.col("begin") + F.col("tokens")
+    ahead = narrow.where(F.col("tokens") <= history).withColumn("g", F.explode(F.array(grid(end), grid(end) + 1)))
+    heads = spans.select(F.col("conv").alias("c"), "window", "from", "first", "has", grid(F.col("from")).alias("h"))
+    near = F.col("c").eqNullSafe(F.col("conv")) & (F.col("g") == F.col("h")) & (F.col("nth") < F.col("first")) & (F.col("begin") >= F.col("from") - history) & ~(F.col("has") & (F.col("nth") == 0))
+    repeated = F.lit(True).alias("again")
+    places = own.select("conv", "nth", "window", F.lit(False).alias("again"))
+    places = places.unionByName(heads.join(ahead, near).select("conv", "nth", "window", repeated))
+    places = places.unionByName(spans.where("has and first > 0").select("conv", F.lit(0).cast("long").alias("nth"), "window", repeated))
+    texts = turns.select(F.col("conv").alias("c"), F.col("nth").alias("n"), "formatted", "lo", "hi", "role", "tokens")
+    full = places.join(texts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("nth") == F.col("n")))
+    full = full.groupBy("conv", "window").agg(F.sort_array(F.collect_list(F.struct("nth", "again", "formatted", "lo", "hi", "role", "tokens"))).alias("all"))  # a window's turns
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:long,end:long>>").alias("spans"))
     step = lambda acc, t: F.struct(
         (acc["at"] + F.length(t["formatted"])).alias("at"),
-        (acc["i"] + 1).alias("i"),
-        F.when((t["role"] == target) & (acc["i"] >= F.size("rep")), F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["lo"]).alias("begin"), (acc["at"] + t["hi"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
+        F.when((t["role"] == target) & ~t["again"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["lo"]).alias("begin"), (acc["at"] + t["hi"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
     )
     return full.select(
         F.col("conv").alias(conv),
         "window",
         F.array_join(F.transform("all", lambda t: t["formatted"]), "").alias("formatted"),
         F.aggregate("all", F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("n_tokens"),
-        F.size("rep").alias("n_repeated"),
+        F.size(F.filter("all", lambda t: t["again"])).alias("n_repeated"),
         F.aggregate("all", start, step, lambda a: a["spans"]).alias("targets"),
     )
