@@ -9,7 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..schemas import CLASSES, EXTENSIONS, MISSPELT, SPLIT_ALIASES, SYNONYMS, SYSTEM_FILES
+from ..schemas import CLASSES, EXTENSIONS, MISSPELT, NOTE, REASONS, SPLIT_ALIASES, SYNONYMS, SYSTEM_FILES
+
+# Patterns that define what a key is. A number at a name's front; what separates words; a copy number in
+# brackets at a stem's end; dots at its end; four digits and the last number after them.
+FRONT_NUMBER = r"(?U)^\s*\d+\s*[._-]*\s*"
+BETWEEN_WORDS = "[^a-z0-9]+"
+COPY_NUMBER = r"\s*\.?\s*\([0-9]+\)\s*$"
+END_DOTS = r"[. ]+$"
+SPECIMEN = r"([0-9]{4}).*?([0-9]+)[^0-9]*$"
 
 
 @F.pandas_udf(StringType())
@@ -23,8 +31,8 @@ def ascii_key(text: Column, unaccent: bool = True) -> Column:
 
     Only the accents need Python; without `unaccent` the expression stays in the JVM."""
     t = F.lower(_unaccented(text) if unaccent else text)
-    t = F.regexp_replace(t, r"(?U)^\s*\d+\s*[._-]*\s*", "")
-    return F.trim(F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
+    t = F.regexp_replace(t, FRONT_NUMBER, "")
+    return F.trim(F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), BETWEEN_WORDS, " "))
 
 
 def _literal_map(values: dict[str, str]) -> Column:
@@ -56,7 +64,7 @@ def normalise_class(folder: Column, unaccent: bool = True) -> Column:
         if name.startswith("Eucalyptus"):
             fits = fits & ~syzygium
         by_token = F.when(fits, F.lit(name)).otherwise(by_token)
-    told = F.concat(F.lit("normalized from folder '"), folder, F.lit("'"))
+    told = F.concat(F.lit(NOTE[0]), folder, F.lit(NOTE[1]))
     exact = F.replace(F.lower(alias), F.lit(" "), F.lit("")) == compact
     return F.struct(F.coalesce(alias, by_token).alias("name"), F.when(exact, "").when(alias.isNotNull() | by_token.isNotNull(), told).alias("note"))
 
@@ -120,7 +128,7 @@ def is_image(path: Column) -> Column:
 
 def skip_reason(path: Column) -> Column:
     """Why a file is no image, or null."""
-    return F.when(is_hidden(path), "hidden/system").when(~extension(path).isin(*EXTENSIONS), "unsupported extension")
+    return F.when(is_hidden(path), REASONS[0]).when(~extension(path).isin(*EXTENSIONS), REASONS[1])
 
 
 # ---------------------------------------------------------------- groups
@@ -129,8 +137,8 @@ def skip_reason(path: Column) -> Column:
 def group_stem(name: Column) -> Column:
     """A file stem without a copy number in brackets and closing dots; as it was if nothing else is there."""
     plain = F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
-    short = F.regexp_replace(plain, r"\s*\.?\s*\([0-9]+\)\s*$", "")
-    short = F.trim(F.regexp_replace(short, r"[. ]+$", ""))
+    short = F.regexp_replace(plain, COPY_NUMBER, "")
+    short = F.trim(F.regexp_replace(short, END_DOTS, ""))
     return F.when(short != "", short).otherwise(plain)
 
 
@@ -138,9 +146,8 @@ def specimen_key(group: Column) -> Column:
     """"3284.11" for the first four digits and the last number after them, without its leading zeros; other texts as they are.
 
     Keys are text from end to end, so 3358.1 and 3358.10 stay apart."""
-    pattern = r"([0-9]{4}).*?([0-9]+)[^0-9]*$"
-    number = F.regexp_replace(F.regexp_extract(group, pattern, 2), "^0+(?=[0-9])", "")
-    return F.when(group.rlike(pattern), F.concat_ws(".", F.regexp_extract(group, pattern, 1), number)).otherwise(group)
+    number = F.regexp_replace(F.regexp_extract(group, SPECIMEN, 2), "^0+(?=[0-9])", "")
+    return F.when(group.rlike(SPECIMEN), F.concat_ws(".", F.regexp_extract(group, SPECIMEN, 1), number)).otherwise(group)
 
 
 def sample_id(value: Column) -> Column:

@@ -26,6 +26,12 @@ def has_value(df: DataFrame, column: str) -> bool:
     return column in df.columns and not df.where(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").isEmpty()
 
 
+def prefer(df: DataFrame, columns) -> DataFrame:
+    """df with the given columns first, those that it has, and the others after them."""
+    first = [c for c in dict.fromkeys(columns) if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
 def with_split(df: DataFrame, column: str = "split") -> DataFrame:
     """df with its split values normalised; unknown values are an error that lists them."""
     unknown = df.where(normalise_split(F.col(column)).isNull()).select(F.col(column).cast("string").alias("s")).distinct().orderBy("s").limit(20)

@@ -11,6 +11,8 @@ SYSTEM_FILES = ("Thumbs.db", "desktop.ini", ".DS_Store")
 SPLITS = ("train", "val", "test")
 SPLIT_ALIASES = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test", "testing": "test"}
 LIGHTS = ("natural", "indoor", "outdoor")
+REASONS = ("hidden/system", "unsupported extension")
+NOTE = ("normalized from folder '", "'")
 #: Classes by index: genus and species.
 CLASSES = (
     "Eucalyptus camaldulensis",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import subprocess
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +25,10 @@ def to_json(df: DataFrame) -> str:
     return json.dumps(row.asDict(True) if row else {}, indent=2, ensure_ascii=False, default=str)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(what: DataFrame | dict, path: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(to_json(df), encoding="utf-8")
+    text = json.dumps(what, indent=2, ensure_ascii=False, default=str) if isinstance(what, dict) else to_json(what)
+    Path(path).write_text(text, encoding="utf-8")
 
 
 def latex_table(df: DataFrame, caption: str, label: str, rows: int = LATEX_ROWS) -> str:
@@ -93,15 +96,72 @@ def copy_files(plan: DataFrame, root: str, mode: str = "copy", overwrite: bool =
     plan.where("source_path is not null").select("source_path", "output_path").foreachPartition(run)
 
 
-def split_chart(distribution: DataFrame, path: str) -> bool:
-    """A grouped bar chart of images by class and split; False where matplotlib is missing."""
+def list_outputs(folder: str) -> list[str]:
+    return sorted(os.listdir(folder))
+
+
+def label_map() -> dict[str, str]:
+    """Class names by index, as text."""
+    from ..schemas import CLASSES
+
+    return {str(i): c for i, c in enumerate(CLASSES)}
+
+
+def provenance(seed: int | None = None) -> dict:
+    """When and from which commit something was made."""
+    try:
+        commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+    except (OSError, subprocess.SubprocessError):
+        commit = None
+    return {"created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "git_commit": commit, "seed": seed}
+
+
+def _pyplot():
     try:
         import matplotlib
     except ImportError:
-        return False
+        return None
     matplotlib.use("Agg")
     from matplotlib import pyplot
 
+    return pyplot
+
+
+def heat_map(confusion: DataFrame, path: str) -> bool:
+    """A confusion matrix as a picture; False where matplotlib is missing."""
+    if (pyplot := _pyplot()) is None:
+        return False
+    rows = confusion.collect()  # labels squared
+    labels = sorted({r.true_label for r in rows})
+    cells = {(r.true_label, r.pred_label): r.n for r in rows}
+    fig, ax = pyplot.subplots()
+    ax.imshow([[cells[t, p] for p in labels] for t in labels], cmap="Blues")
+    for i, t in enumerate(labels):
+        for j, p in enumerate(labels):
+            ax.text(j, i, cells[t, p], ha="center", va="center")
+    ax.set_xticks(range(len(labels)), labels)
+    ax.set_yticks(range(len(labels)), labels)
+    fig.savefig(path)
+    return True
+
+
+def lines_chart(df: DataFrame, x: str, ys: list[str], path: str) -> bool:
+    """Columns of a small table (a history, a histogram) as lines; False where matplotlib is missing."""
+    if (pyplot := _pyplot()) is None:
+        return False
+    rows = df.orderBy(x).collect()
+    fig, ax = pyplot.subplots()
+    for y in ys:
+        ax.plot([r[x] for r in rows], [r[y] for r in rows], label=y)
+    ax.legend()
+    fig.savefig(path)
+    return True
+
+
+def split_chart(distribution: DataFrame, path: str) -> bool:
+    """A grouped bar chart of images by class and split; False where matplotlib is missing."""
+    if (pyplot := _pyplot()) is None:
+        return False
     from ..operators.audit import SPLITS
 
     rows = distribution.collect()  # classes times splits

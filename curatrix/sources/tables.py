@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.validate import require, with_split
-from ..schemas import ANNOTATION, INTEGERS, REQUIRED_METADATA, strings
+from ..schemas import ANNOTATION, REQUIRED_METADATA, strings
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header; known integer columns are integers and all others text."""
-    header = spark.read.text(path).limit(1).first()
-    names = [] if header is None else next(iter(spark.read.option("header", True).csv(path).columns for _ in "1"))
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(strings(n if n not in INTEGERS else f"{n}" for n in names)).csv(path)
-    return df
+    read = lambda: spark.read.option("header", True).option("escape", '"')
+    return read().option("multiLine", True).schema(strings(read().csv(path).columns)).csv(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -33,15 +33,15 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """An annotation sheet whose header is its second row, with short column names and row numbers: CSV, or a workbook where openpyxl is installed."""
-    import pandas as pd
-
     if path.endswith((".xlsx", ".xls")):
+        import pandas as pd
+
         sheet = pd.read_excel(path, header=1, dtype=str)
         sheet = spark.createDataFrame(sheet.astype(object).where(sheet.notna(), None), strings(sheet.columns))
         return sheet.withColumnsRenamed(ANNOTATION).withColumn("row", F.monotonically_increasing_id())
     lines = [r.value for r in spark.read.text(path).limit(2).collect()]
-    names = next(iter(pd.read_csv(__import__("io").StringIO(lines[1]), header=None, dtype=str).values)).tolist()
-    names = [n if isinstance(n, str) else f"Unnamed: {i}" for i, n in enumerate(names)]
+    names = next(csv.reader([lines[1]]))
+    names = [n or f"Unnamed: {i}" for i, n in enumerate(names)]
     raw = spark.read.schema(strings(f"c{i}" for i in range(len(names)))).csv(path).withColumn("row", F.monotonically_increasing_id())
     rows = raw.where(F.col("row") > 1).toDF(*names, "row")
     return rows.withColumnsRenamed(ANNOTATION)
