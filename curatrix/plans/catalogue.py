@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..operators import audit, components, metrics, profile, splits, validate
 from ..schemas import CLASSES, EXTENSIONS, MISSPELT, SPLIT_ALIASES
-from .adapters import IMAGES, MANIFEST, images, manifest, split_of, table
+from .adapters import IMAGES, MANIFEST, images, manifest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,8 +318,6 @@ SELECT m.image_id IS NOT NULL AS in_metadata, s.f IS NOT NULL AS in_split, count
     )
 )
 def validate_full_outer(spark, d):
-    from ..schemas import SPLITS  # noqa: F401
-
     m = manifest(spark, d).withColumn("class_name", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("class_index") + 1))
     path = lambda end: F.concat(F.lit("x/"), F.col("doc_id").cast("string"), F.lit(end))
     given = m.where("doc_id % 10 <> 3").select("class_name", "split", path(".txt").alias("path")).unionByName(m.where("doc_id % 10 = 4").select("class_name", "split", path(".new").alias("path")))
