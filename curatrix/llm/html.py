@@ -31,14 +31,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE = frozenset("nav aside footer form dialog menu fieldset head".split())
 MAIN = frozenset("article main".split())
-#: Parts of a class, id or role that mark what is not the main text, and what is.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side|aside|menu|nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alert|newsletter|subscri\w*|signup|login|search"
-    r"|comments?|commentlist|respond|repl(?:y|ies)|discussion|disqus\w*|related|recommend\w*|share|sharing|social|widget\w*|popup|modal|overlay|hidden|pagination|pager|copyright|legal|skip|complementary|navigation|contentinfo)(?=$|[\s_-])",
-    re.I,
+#: Parts of a class, id or role that mark what is not the main text, those that do so even on an article, headers, and what is the main text.
+STRONG = (
+    r"ads?|ad(?:box|slot|unit|space|wrap\w*|container)|advert\w*|adsense|sponsor\w*|promo\w*|\w*comment\w*|respond|responses?|repl(?:y|ies)|discussions?|disqus\w*|reviews?|feedback|related|recommend\w*|teasers?"
 )
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|branding|logo)(?=$|[\s_-])", re.I)
-CONTENT = re.compile(r"(?:^|[\s_-])(?:main|article\w*|content|post|entry|story|body|text)(?=$|[\s_-])", re.I)
+MARKED_NAMES = (
+    STRONG + r"|side-?bar\w*|side|rail|aside|(?:top|main|site|sub|foot)?(?:nav|menu)(?:bar|igation|s|list|item|links)?|breadcrumbs?|footer|footnav|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|disclaimer|announcement|paywall|toast"
+    r"|newsletter|subscri\w*|signup|sign-up|login|search\w*|share\w*|sharing|social\w*|widgets?|popup|pop-up|modal|overlay|hidden|pagination|pager|copyright|legal|skip|complementary|navigation|contentinfo|form|banner"
+)
+_part = lambda names: re.compile(rf"(?:^|[_-])(?:{names})(?=$|[_-])", re.I)
+MARKED, MARKED_ARTICLE, HEADER, CONTENT = map(_part, (MARKED_NAMES, STRONG, "header|banner|branding|logo", r"main|article\w*|content|post|entry|story|body|text"))
+#: Names that only tell that something is or isn't elsewhere.
+ABOUT = re.compile(r"(?:has|with|no|without|is|not)-", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)",
@@ -67,12 +71,16 @@ class Block:
 
 
 def _open(name: str, attributes: str, parent: Node) -> Node:
-    named = " ".join(x or y or z for x, y, z in NAMED.findall(attributes)) if attributes else ""
-    main = name in MAIN or name in ("div", "section", "td") and bool(named and CONTENT.search(named))
+    """A new element. A name that marks something else counts unless another of the element's names is one of the main text's."""
+    named = [t for x, y, z in NAMED.findall(attributes) for t in (x or y or z).split() if not ABOUT.match(t)] if attributes else []
+    content = any(CONTENT.search(t) and not MARKED.search(t) for t in named)
+    main = name in MAIN or name in ("div", "section", "td") and content
     inside = parent.main or main
-    skip = parent.skip or name in ASIDE or not parent.main and (name == "header" or bool(named and HEADER.search(named)))
-    if name not in ("html", "body", "article", "main"):
-        skip = skip or bool(named and MARKED.search(named)) or bool(attributes and HIDDEN.search(attributes))
+    skip = parent.skip or name in ASIDE or not parent.main and (name == "header" or any(HEADER.search(t) for t in named) and not content)
+    if name in MAIN:
+        skip = skip or any(MARKED_ARTICLE.search(t) for t in named)
+    elif name not in ("html", "body"):
+        skip = skip or not content and any(MARKED.search(t) for t in named) or bool(attributes and HIDDEN.search(attributes))
     return Node(name, parent, skip, inside, main, parent.depth + 1)
 
 

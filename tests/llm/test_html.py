@@ -16,6 +16,9 @@ PAGES = [
     ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\ntwo\nx\ny"),
     ("<article><p>Cut off &am", "Cut off &am"),
     ("<article><p>Cut tag <a href='x", "Cut tag"),
+    ("<body class='has-sidebar'><div class='content with-sidebar'><h1>T</h1><p>One two.</p><p class=intro-text>Three.</p></div><div class='sidebar-content'><p>Not this one here.</p></div>", "T\nOne two.\nThree."),
+    ("<main><article class=post><h1>T</h1><p>One two three.</p></article><article class=comment><p>I like it so very much indeed.</p></article><div class='comment-body'>Me too.</div></main>", "T\nOne two three."),
+    ("<main><p>One two three.</p><div class=adslot>Buy it now</div><div role=navigation><a>x</a></div><p>Four.</p></main>", "One two three.\nFour."),
     ("plain text only", "plain text only"),
     ("", ""),
     (None, ""),
