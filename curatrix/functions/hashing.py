@@ -35,6 +35,7 @@ def sign_hash(vector: Column) -> Column:
     v = vector.cast("array<double>")
     ordered = F.sort_array(v)
     median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    bits = lambda at: F.aggregate(F.slice(v, at, 32), F.lit(0).cast("long"), lambda acc, x: acc * 2 + F.when(x > median, 1).otherwise(0))
-    digits = lambda at: F.lpad(F.lower(F.hex(bits(at))), 8, "0")
-    return F.when(F.size(v) == 64, F.concat(digits(1), digits(33)))
+    bits = lambda at, m: F.aggregate(F.slice(v, at, 32), F.lit(0).cast("long"), lambda acc, x: acc * 2 + F.when(x > m, 1).otherwise(0))
+    digits = lambda at, m: F.lpad(F.lower(F.hex(bits(at, m))), 8, "0")
+    # bound once: inside the fold it would be sorted for each component
+    return F.when(F.size(v) == 64, F.transform(F.array(median), lambda m: F.concat(digits(1, m), digits(33, m)))[0])
