@@ -250,8 +250,9 @@ def _keys() -> list:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 2, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept, text_hash): for each row its set's size and the smallest key it is linked to, itself included.
+    """(key, n_shingles, component_id, kept, text_hash, group): for each row its set's size and the smallest key it is linked to, itself included.
 
+    group: the number of the row's component, also where several share their smallest key; null for an empty set.
     Documents are linked when 100 * intersection >= percent * union of their k-word shingle sets. kept: the row has the smallest key."""
     spark: SparkSession = df.sparkSession
     scratch = Scratch(spark, "near")
@@ -302,22 +303,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     linked = linked.join(nodes.select("id", "least"), "id")
     lowest = linked.groupBy("component").agg(F.min("least").alias("lowest"))
-    linked = linked.join(lowest, "component").select("id", "lowest")
-    of = nodes.select("d1", "d2", "id", "least").join(linked, "id", "left").select("d1", "d2", F.coalesce("lowest", "least").alias("component_id"))
+    linked = linked.join(lowest, "component").select("id", "lowest", "component")
+    of = nodes.select("d1", "d2", "id", "least").join(linked, "id", "left").select("d1", "d2", F.coalesce("lowest", "least").alias("component_id"), F.coalesce("component", "id").alias("group"))
     out = prints.select("key", "th", "d1", "d2", "n").join(of, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     scratch.drop(sets, members, pairs, named)
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), F.col("th").alias("text_hash"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), F.col("th").alias("text_hash"), "group")
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """df with one row of each group of near duplicates: the one with the smallest key. Of rows with that key and text, one stays.
+    """df with one row of each group of near duplicates: the one with the smallest key. Of rows with that key and text, one stays; of that key's
+    texts in one group, the one with the smallest hash. Unlike texts stay, also under one key.
 
     Rows with a null key stay unless a row with a key is in their group."""
-    found = near_duplicates(df, key, text, k, percent).where("kept").select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    found = near_duplicates(df, key, text, k, percent).where("kept")
+    alone = F.when(F.col(key).isNull() | F.col("group").isNull(), F.col("text_hash")).alias("_alone")
+    found = found.groupBy(F.col(key).alias("_key"), "group", alone).agg(F.min("text_hash").alias("_hash")).select("_key", "_hash")
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     kept = df.join(found, F.col(key).eqNullSafe(F.col("_key")) & (hashed == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates([key]) if _repeated(df, key) else kept
+    if not _repeated(df, key):
+        return kept
+    once = kept.where(F.col(key).isNotNull()).withColumns({"_hash": hashed, "_null": F.col(text).isNull()}).dropDuplicates([key, "_hash", "_null"]).drop("_hash", "_null")
+    return once.unionByName(kept.where(F.col(key).isNull()))
 
 
 def _repeated(df: DataFrame, key: str) -> bool:
