@@ -26,7 +26,17 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 # Names of HTML.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "button")
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("noscript template iframe object svg math canvas audio video select button".split())
+#: Skipped elements out of which no end tag reaches, those that end raw text inside them, and parts of drawings and formulas that hold HTML.
+CLOSED = frozenset("noscript template iframe object select".split())
+FOREIGN = frozenset("svg math".split())
+POINTS = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+#: Tags that end a drawing or formula, and tags that end a skipped element without an end tag.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE = frozenset("nav aside footer form dialog menu fieldset head".split())
@@ -37,17 +47,17 @@ STRONG = (
 )
 MARKED_NAMES = (
     STRONG + r"|side-?bar\w*|side|rail|aside|(?:top|main|site|sub|foot)?(?:nav|menu)(?:bar|igation|s|list|item|links)?|breadcrumbs?|footer|footnav|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|disclaimer|announcement|paywall|toast"
-    r"|newsletter|subscri\w*|signup|sign-up|login|search\w*|share\w*|sharing|social\w*|widgets?|popup|pop-up|modal|overlay|hidden|pagination|pager|copyright|legal|skip|complementary|navigation|contentinfo|form|banner"
+    r"|newsletter|subscri\w*|signup|sign-up|login|search\w*|share\w*|sharing|social\w*|widgets?|popup|pop-up|modal|overlay|pagination|pager|copyright|legal|skip|complementary|navigation|contentinfo|form|banner"
 )
 _part = lambda names: re.compile(rf"(?:^|[_-])(?:{names})(?=$|[_-])", re.I)
 MARKED, MARKED_ARTICLE, HEADER, CONTENT = map(_part, (MARKED_NAMES, STRONG, "header|banner|branding|logo", r"main|article\w*|content|post|entry|story|body|text"))
 #: Names that only tell that something is or isn't elsewhere.
 ABOUT = re.compile(r"(?:has|with|no|without|is|not)-", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)",
-    re.S | re.I,
-)
+#: What hides an element: a whole name, an attribute, a style.
+HIDDEN_NAME = re.compile(r"(?:visually-?)?hidden", re.I)
+HIDDEN_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -59,6 +69,21 @@ class Node:
     main: bool  # in the main text's element, by name
     own: bool  # is such an element itself
     depth: int
+    dead: bool = False  # in a skipped element, or one itself
+    shut: bool = False  # a skipped element that has its end tag
+    loose: bool = False  # a skipped element that has none
+
+
+@dataclass
+class Tag:
+    begin: int
+    end: int
+    name: str
+    closes: bool = False
+    attributes: str = ""
+    alone: bool = False  # has no content: raw text that is left out, or closed by itself in a drawing or formula
+    breaks: int = 0  # how many drawings and formulas it ends
+    shut: bool = False  # a skipped element's start whose end follows
 
 
 @dataclass
@@ -70,8 +95,58 @@ class Block:
     tags: list[str] = field(default_factory=list)
 
 
-def _open(name: str, attributes: str, parent: Node) -> Node:
+def tags(page: str) -> list[Tag]:
+    """The page's tags and comments (without a name) in order. Raw text goes with its start tag, to its end tag or else the end of the page."""
+    out: list[Tag] = []
+    unclosed: dict[str, list[Tag]] = {}
+    inside: list[str] = []  # drawings, formulas and the parts of them that hold HTML
+    at = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        t = Tag(m.start(), at, name, bool(m[1]), m[3] or "")
+        out.append(t)
+        if t.closes:
+            if name in inside:
+                while inside.pop() != name:
+                    pass
+            if unclosed.get(name):
+                unclosed[name].pop().shut = True
+            continue
+        foreign = bool(inside) and inside[-1] in FOREIGN
+        if foreign and name in BREAKOUT:
+            while inside and inside[-1] in FOREIGN:
+                inside.pop()
+                t.breaks += 1
+            foreign = False
+        t.alone = (foreign or name in FOREIGN) and t.attributes.endswith("/")
+        if name in RAW and not t.alone:
+            bounds = [x for x in ("noscript", "iframe") if unclosed.get(x)] + [x for x in inside if x in FOREIGN]
+            stop = rf"|(?=</(?:{'|'.join(bounds)})[\s/>])" if bounds else ""
+            found = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z){stop}", re.I).search(page, at)
+            at = t.end = found.end() if found else len(page)
+            t.alone = True
+        elif not t.alone:
+            if name in FOREIGN or inside and name in POINTS:
+                inside.append(name)
+            if name in SKIPPED:
+                unclosed.setdefault(name, []).append(t)
+    return out
+
+
+def _hidden(attributes: str) -> bool:
+    for name, x, y, z in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), x or y or z
+        if name == "hidden" or name == "style" and HIDDEN_STYLE.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+    return False
+
+
+def _open(name: str, attributes: str, parent: Node, shut: bool = False) -> Node:
     """A new element. A name that marks something else counts unless another of the element's names is one of the main text's."""
+    if parent.dead or name in SKIPPED:
+        begins = name in SKIPPED
+        return Node(name, parent, True, parent.main, False, parent.depth + 1, True, begins and shut, begins and not shut)
     named = [t for x, y, z in NAMED.findall(attributes) for t in (x or y or z).split() if not ABOUT.match(t)] if attributes else []
     content = any(CONTENT.search(t) and not MARKED.search(t) for t in named)
     main = name in MAIN or name in ("div", "section", "td") and content
@@ -80,7 +155,7 @@ def _open(name: str, attributes: str, parent: Node) -> Node:
     if name in MAIN:
         skip = skip or any(MARKED_ARTICLE.search(t) for t in named)
     elif name not in ("html", "body"):
-        skip = skip or not content and any(MARKED.search(t) for t in named) or bool(attributes and HIDDEN.search(attributes))
+        skip = skip or not content and any(MARKED.search(t) for t in named) or any(HIDDEN_NAME.fullmatch(t) for t in named) or bool(attributes and _hidden(attributes))
     return Node(name, parent, skip, inside, main, parent.depth + 1)
 
 
@@ -90,7 +165,7 @@ def blocks(page: str) -> list[Block]:
     out, now, last = [], Block(root), 0
 
     def say(text: str) -> None:
-        if text:
+        if text and not at.dead:
             now.text.append(text)
             n = len(text.split())
             now.words += n
@@ -110,30 +185,50 @@ def blocks(page: str) -> list[Block]:
         if tag:
             now.tags.append(tag)
 
-    for m in TOKEN.finditer(page):
-        say(page[last : m.start()])
-        last = m.end()
-        name = (m[3] or "").lower()
+    for m in tags(page):
+        say(page[last : m.begin])
+        last = m.end
+        name = m.name
         if not name:
             continue
-        if name == "br":
-            now.text.append(" ")
-            continue
-        if m[2]:
+        if m.closes and name != "br":
             x = at
             while x is not None and x.name != name:
-                x = x.parent
-            if x is not None and x.parent is not None:
+                x = None if x.shut and x.name in CLOSED else x.parent
+            if x is not None and x.dead:
+                at = x.parent
+            elif x is not None and x.parent is not None:
                 if name in INLINE:
                     block_between, y = False, at
                     while y is not x:
-                        block_between, y = block_between or y.name not in INLINE, y.parent
+                        block_between, y = block_between or y.shut or y.name not in INLINE and not y.dead, y.parent
                     if not block_between:
                         at = x.parent
                 else:
                     at = x.parent
                     cut("/" + name)
             continue
+        for _ in range(m.breaks):
+            x = at
+            while x is not None and x.name not in FOREIGN:
+                x = x.parent
+            at = x.parent if x is not None else at
+        if at.dead and name in BLOCKS:
+            x = at  # it ends the skipped elements that have no end tag
+            while x.dead and not x.shut:
+                if x.loose:
+                    at = x.parent
+                x = x.parent
+        if name == "br":
+            if not at.dead:
+                now.text.append(" ")
+            continue
+        if m.alone:
+            continue
+        if at.dead or name in SKIPPED:
+            if name not in VOID:
+                at = _open(name, "", at, m.shut)
+            continue
         if name not in INLINE:
             x = at  # an open paragraph ends where a block begins
             while x is not None and x.name in INLINE:
@@ -144,7 +239,7 @@ def blocks(page: str) -> list[Block]:
                 at = x.parent
             cut(name)
         if name not in VOID:
-            at = _open(name, m[4] or "", at)
+            at = _open(name, m.attributes, at)
             if name not in INLINE:
                 now.node = at
     if not page[last:].startswith("<"):

@@ -32,6 +32,25 @@ def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+UNCLOSED = [
+    ('<p>A</p><svg class="i"/><p>Body text</p>', "A\nBody text"),
+    ("<article><p>A</p><video-player></video-player><p>Body text</p><button-bar></button-bar><p>End.</p></article>", "A\nBody text\nEnd."),
+    *((f"<article><p>A</p><{x}>Label<p>Body text</p><p>More.</p></article>", "A\nBody text\nMore.") for x in ("button", "select", "object", "video", "canvas", "noscript", "svg", "template", "iframe")),
+    ("<article><p>A <svg><path d='M0'/><title>Icon</title></svg>b <button>Go<span>!</span></button>c</p></article>", "A b c"),
+    ("<article><svg><title/><g/></svg><p>Body</p><svg><style>a{}</svg><p>More</p></article>", "Body\nMore"),
+    ("<article><object><object><p>x</p></object><p>y</p></object><p>Body</p><svg><foreignObject><div>z</div></foreignObject></svg></article>", "Body"),
+    ("<article><noscript></article><p>x</p></noscript><p>Body</p><a href=/><svg></a> tail</article>", "Body\ntail"),
+    ("<article><p>A</p><script>never closed <p>x</p>", "A"),
+    ("<article><div class='overflow-hidden'><p>Body</p></div><p style='overflow:hidden'>More</p><p title='hidden gems' data-x='display:none'>Title</p></article>", "Body\nMore\nTitle"),
+    ("<article><p>A</p><p class='x hidden'>h</p><p hidden='until-found'>h</p><p aria-hidden=true>h</p><p class=visually-hidden>h</p><p style='color:red;visibility:hidden'>h</p></article>", "A"),
+]
+
+
+@pytest.mark.parametrize("page, text", UNCLOSED)
+def test_unclosed_and_hidden(page, text):
+    assert html.main_text(page) == text
+
+
 def test_labelled_pages_are_learned():
     pages = list(html.labelled_pages())
     assert all(html.main_text(p) == t for p, t in pages)
