@@ -11,6 +11,7 @@ Very long words and texts are scored whole. Repeated rows get equal results. Oth
 
 from __future__ import annotations
 
+import functools
 import json
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -28,7 +29,7 @@ from .u64map import U64Map
 #: Labelled rows of each language that training reads, about, and (language, word) counts it keeps at most.
 TRAIN_ROWS, TRAIN_WORDS = 1500, 50_000
 ITERATIONS, SMOOTHING = 5, 0.01
-#: Bytes of the longest piece; a key of the map is a piece's bytes in one 64-bit number.
+#: Bytes of the longest piece whose key in a map is its bytes in one 64-bit number; longer ones are found by their first bytes.
 LONGEST = 8
 #: A score is the posterior that a passage of so many of a text's words would have.
 PASSAGE = 20
@@ -37,33 +38,59 @@ REMEMBERED = 300_000
 
 @dataclass
 class Vocabulary:
-    """Pieces that don't end a word and pieces that do, by their bytes."""
+    """Pieces that don't end a word and pieces that do, by their bytes. heads: the first LONGEST bytes of longer pieces, whose
+    numbers tails has by head: by their bytes, and whether they end a word."""
 
     inner: U64Map
     closing: U64Map
     size: int
+    heads: U64Map
+    tails: list[dict[tuple[bytes, bool], int]]
+    reach: int
 
 
-def vocabulary(vocab: str) -> Vocabulary:
+def vocabulary(vocab: str, longest: int | None = LONGEST) -> Vocabulary:
+    """The pieces of up to `longest` bytes, or all. Scores and training use all."""
     with open(vocab_path(vocab), encoding="utf-8") as f:
         model = json.load(f)["model"]
     suffix, byte = model["end_of_word_suffix"], {c: b for b, c in enumerate(byte_chars())}
     keys: tuple[list[int], list[int]] = ([], [])
     ids: tuple[list[int], list[int]] = ([], [])
-    size = 0
+    size, heads, tails, reach = 0, {}, [], LONGEST
     for token in sorted(model["vocab"], key=model["vocab"].get):
         closes = token.endswith(suffix)
         raw = bytes(byte[c] for c in (token[: -len(suffix)] if closes else token))
-        if 0 < len(raw) <= LONGEST and 0 not in raw and raw != b"\xff" * 8:
+        if not raw or longest and len(raw) > longest or 0 in raw or raw[:8] == b"\xff" * 8:
+            continue
+        if len(raw) > LONGEST:
+            head = int.from_bytes(raw[:LONGEST], "little")
+            if head not in heads:
+                heads[head] = len(tails)
+                tails.append({})
+            tails[heads[head]][raw, closes] = size
+            reach = max(reach, len(raw))
+        else:
             keys[closes].append(int.from_bytes(raw, "little"))
             ids[closes].append(size)
-            size += 1
+        size += 1
     inner, closing = (U64Map(np.array(k, np.uint64), np.array(i, np.int32), size) for k, i in zip(keys, ids))
-    return Vocabulary(inner, closing, size)
+    return Vocabulary(inner, closing, size, U64Map(np.array(list(heads), np.uint64), np.arange(len(tails), dtype=np.int32)), tails, reach)
 
 
-def _steps(v: Vocabulary, words: list[bytes], width: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(place, length, piece of each word there), by place; the piece v.size is none."""
+@functools.cache
+def _whole(vocab: str) -> Vocabulary:
+    return vocabulary(vocab, None)
+
+
+def _longer(v: Vocabulary, word: bytes, at: int, head: int) -> Iterator[tuple[int, int]]:
+    """(length, piece) of the pieces of over LONGEST bytes that the word has at a place with this head."""
+    for (raw, closes), piece in v.tails[head].items():
+        if word.startswith(raw, at) and closes == (at + len(raw) == len(word)):
+            yield len(raw), piece
+
+
+def _steps(v: Vocabulary, words: list[bytes], width: int) -> Iterator[tuple[int, int, slice | np.ndarray, np.ndarray]]:
+    """(place, length, words, piece of each of these words there), by place; the piece v.size is none."""
     n = len(words)
     chars = np.zeros((n, width + LONGEST), np.uint8)
     chars[:, :width] = np.array(words, f"S{width}").view(np.uint8).reshape(n, width)
@@ -76,7 +103,17 @@ def _steps(v: Vocabulary, words: list[bytes], width: int) -> Iterator[tuple[int,
             key = word & np.uint64((1 << 8 * size) - 1)
             piece = np.where(i + size < lengths, v.inner.get(key), v.closing.get(key))
             piece[~inside] = v.size
-            yield i, size, piece
+            yield i, size, slice(None), piece
+        if v.tails and width - i > LONGEST:
+            head = v.heads.get(word)
+            found: dict[int, tuple[list[int], list[int]]] = {}
+            for k in np.flatnonzero(head >= 0).tolist():
+                for size, one in _longer(v, words[k], i, head[k]):
+                    rows, pieces = found.setdefault(size, ([], []))
+                    rows.append(k)
+                    pieces.append(one)
+            for size, (rows, pieces) in found.items():
+                yield i, size, np.array(rows), np.array(pieces)
 
 
 def _forward(v: Vocabulary, p: np.ndarray, words: list[bytes], width: int) -> np.ndarray:
@@ -86,44 +123,81 @@ def _forward(v: Vocabulary, p: np.ndarray, words: list[bytes], width: int) -> np
     alpha = np.zeros((width + 1, n, langs))
     alpha[0] = 1
     scale, out, last = np.zeros((n, langs)), np.zeros((n, langs)), -1
-    for i, size, piece in _steps(v, words, width):
+    for i, size, rows, piece in _steps(v, words, width):
         if i != last:
             last = i
             if done := np.flatnonzero(lengths == i).tolist():
                 out[done] = np.log(np.maximum(alpha[i, done], 1e-300)) + scale[done]
             if i % LONGEST == 0 and i:
-                top = np.maximum(alpha[i : i + LONGEST].max(0), 1e-300)
-                alpha[i : i + LONGEST] /= top
+                top = np.maximum(alpha[i : i + v.reach].max(0), 1e-300)
+                alpha[i : i + v.reach] /= top
                 scale += np.log(top)
-        alpha[i + size] += alpha[i] * p[piece]
+        alpha[i + size, rows] += alpha[i, rows] * p[piece]
     rest = np.flatnonzero(lengths > last)
     out[rest] = np.log(np.maximum(alpha[lengths[rest], rest], 1e-300)) + scale[rest]
     return out
 
 
-def _long(v: Vocabulary, p: np.ndarray, word: bytes) -> np.ndarray:
-    """The same for one word of any length: a window of LONGEST sums, rescaled at every place."""
+def _edges(v: Vocabulary, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, piece) of all pieces in one word of any length, by place."""
     data = np.frombuffer(word + bytes(LONGEST), np.uint8)
-    at = np.lib.stride_tricks.sliding_window_view(data, LONGEST)[: len(word)]
-    keys = np.ascontiguousarray(at).view("<u8").ravel()
     masks = np.array([(1 << 8 * s) - 1 for s in range(1, LONGEST)] + [2**64 - 1], np.uint64)
-    pieces = v.inner.get(keys[:, None] & masks)
-    ends = np.arange(len(word))[:, None] + np.arange(1, LONGEST + 1)
-    pieces = np.where(ends == len(word), v.closing.get(keys[:, None] & masks), pieces)
-    pieces[ends > len(word)] = v.size
-    window, scale = np.zeros((LONGEST + 1, p.shape[1])), np.zeros(p.shape[1])
+    out = []
+    for low in range(0, len(word), 1 << 14):
+        high = min(len(word), low + (1 << 14))
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data[low : high + LONGEST - 1], LONGEST)).view("<u8").ravel()
+        ends = np.arange(low, high)[:, None] + np.arange(1, LONGEST + 1)
+        pieces = np.where(ends == len(word), v.closing.get(keys[:, None] & masks), v.inner.get(keys[:, None] & masks))
+        pieces[ends > len(word)] = v.size
+        at, size = np.nonzero(pieces != v.size)
+        out.append(np.array([at + low, size + 1, pieces[at, size]], np.int64))
+        head = v.heads.get(keys)
+        more = [(k + low, n, one) for k in np.flatnonzero(head >= 0).tolist() for n, one in _longer(v, word, k + low, head[k])]
+        out.append(np.array(more, np.int64).reshape(-1, 3).T)
+    at, size, piece = np.concatenate(out, 1)
+    order = np.argsort(at, kind="stable")
+    return at[order], size[order], piece[order]
+
+
+def _sums(n: int, reach: int, at: np.ndarray, size: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logs of the sums over all ways from the begin to each place, by language: a window of sums, rescaled at every place."""
+    bounds = np.searchsorted(at, np.arange(n + 1))
+    out, scale = np.empty((n + 1, weight.shape[1])), np.zeros(weight.shape[1])
+    window = np.zeros((reach + 1, weight.shape[1]))
     window[0] = 1
-    for i in range(len(word)):
-        window[1:] += window[0] * p[pieces[i]]
-        window = np.roll(window, -1, 0)
-        window[-1] = 0
-        top = np.maximum(window.max(0), 1e-300)
-        window /= top
-        scale += np.log(top)
-    return np.log(np.maximum(window[0], 1e-300)) + scale
+    for i in range(n + 1):
+        out[i] = np.log(np.maximum(window[0], 1e-300)) + scale
+        if i < n:
+            a, b = bounds[i], bounds[i + 1]
+            window[size[a:b]] += window[0] * weight[a:b]
+            window[:-1] = window[1:]
+            window[-1] = 0
+            top = np.maximum(window.max(0), 1e-300)
+            window /= top
+            scale = scale + np.log(top)
+    return out
 
 
-WIDTHS = (8, 16, 32, 64)
+def _long(v: Vocabulary, p: np.ndarray, word: bytes) -> np.ndarray:
+    """Log probabilities of one word of any length."""
+    at, size, piece = _edges(v, word)
+    return _sums(len(word), v.reach, at, size, p[piece])[-1]
+
+
+def _expected_long(v: Vocabulary, p: np.ndarray, word: bytes, weight: np.ndarray, uses: np.ndarray) -> None:
+    """Adds the expected uses of each piece in one word of any length."""
+    n = len(word)
+    at, size, piece = _edges(v, word)
+    ahead = _sums(n, v.reach, at, size, p[piece])
+    order = np.argsort(n - at - size, kind="stable")
+    behind = _sums(n, v.reach, (n - at - size)[order], size[order], p[piece[order]])[::-1]
+    term = np.exp(np.minimum(ahead[at] + np.log(np.maximum(p[piece], 1e-300)) + behind[at + size] - ahead[-1], 0)) * weight
+    for k in range(p.shape[1]):
+        uses[:, k] += np.bincount(piece, term[:, k], v.size + 1)
+
+
+#: Widths of words that are summed many at a time; longer ones one by one, in training from TRAIN_WIDTH, as there sums aren't rescaled.
+WIDTHS, TRAIN_WIDTH = (8, 16, 32, 64), 32
 
 
 def _by_width(words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
@@ -155,33 +229,55 @@ def _expected(v: Vocabulary, p: np.ndarray, words: list[bytes], weight: np.ndarr
     alpha, beta = np.zeros((width + 1, n, langs)), np.zeros((width + 1, n, langs))
     alpha[0] = 1
     beta[lengths, np.arange(n)] = 1
-    for i, size, piece in steps:
-        alpha[i + size] += alpha[i] * p[piece]
-    for i, size, piece in reversed(steps):
-        beta[i] += p[piece] * beta[i + size]
+    for i, size, rows, piece in steps:
+        alpha[i + size, rows] += alpha[i, rows] * p[piece]
+    for i, size, rows, piece in reversed(steps):
+        beta[i, rows] += p[piece] * beta[i + size, rows]
     share = weight / np.maximum(beta[0], 1e-300)
+    small = (beta[0] < 1e-250).any(1)
+    share[small] = 0
     uses = np.zeros((v.size + 1, langs))
-    for i, size, piece in steps:
-        term = alpha[i] * p[piece] * beta[i + size] * share
+    for i, size, rows, piece in steps:
+        term = alpha[i, rows] * p[piece] * beta[i + size, rows] * share[rows]
         for k in range(langs):
             uses[:, k] += np.bincount(piece, term[:, k], v.size + 1)
+    for k in np.flatnonzero(small).tolist():
+        _expected_long(v, p, words[k], weight[k], uses)
     uses[v.size] = 0
     return uses
 
 
+def expected_uses(v: Vocabulary, p: np.ndarray, words: list[bytes], weight: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in weighted words of any length, by language."""
+    uses = np.zeros((v.size + 1, p.shape[1]))
+    for width, where in _by_width(words):
+        if width <= TRAIN_WIDTH:
+            uses += _expected(v, p, [words[k] for k in where], weight[where], width)
+    for k, w in enumerate(words):
+        if len(w) > TRAIN_WIDTH:
+            _expected_long(v, p, w, weight[k], uses)
+    return uses
+
+
+def _start(v: Vocabulary, langs: int) -> np.ndarray:
+    p = np.full((v.size + 1, langs), 1 / v.size)
+    p[v.size] = 0
+    return p
+
+
+def _next(v: Vocabulary, uses: np.ndarray) -> np.ndarray:
+    uses[: v.size] += SMOOTHING
+    return uses / uses.sum(0)
+
+
 def fit(v: Vocabulary, counts: dict[str, dict[bytes, int]], iterations: int = ITERATIONS) -> tuple[list[str], np.ndarray]:
     """Languages by name, and piece probabilities by language with a last row of zeros."""
     langs = sorted(counts)
     words = sorted({w for c in counts.values() for w in c if 0 < len(w) <= 32 and 0 not in w})
     weight = np.array([[counts[g].get(w, 0) for g in langs] for w in words], float).reshape(len(words), len(langs))
-    p = np.full((v.size + 1, len(langs)), 1 / v.size)
-    p[v.size] = 0
+    p = _start(v, len(langs))
     for _ in range(iterations):
-        uses = np.zeros_like(p)
-        for width, where in _by_width(words):
-            uses += _expected(v, p, [words[k] for k in where], weight[where], width)
-        uses[: v.size] += SMOOTHING
-        p = uses / uses.sum(0)
+        p = _next(v, expected_uses(v, p, words, weight))
     return langs, p
 
 
@@ -190,7 +286,7 @@ class Scorer(Splitter):
 
     def __init__(self, vocab: str, langs: list[str], p: np.ndarray):
         super().__init__()
-        self.v, self.langs, self.p = vocabulary(vocab), langs, p
+        self.v, self.langs, self.p = _whole(vocab), langs, p
         self.forget()
 
     def forget(self) -> None:
@@ -272,7 +368,7 @@ def train(df: DataFrame, text: str, lang: str, key: str, vocab: str = VOCAB, row
     top = counted.groupBy("g", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g", "w").limit(words).toArrow()
     for g, w, n in zip(*(top.column(c).to_pylist() for c in ("g", "w", "n"))):
         counts[g][w] = n
-    return fit(vocabulary(vocab), counts)
+    return fit(_whole(vocab), counts)
 
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", vocab: str = VOCAB) -> DataFrame:

@@ -1,4 +1,5 @@
 import functools
+import json
 import os
 
 import numpy as np
@@ -48,6 +49,38 @@ def test_long_words_scale():
     assert np.isfinite(langid.word_scores(V, p, [b"ab" * 20000])).all()
 
 
+def file_pieces():
+    """The pieces of the vocabulary file itself, by bytes and whether they end a word."""
+    with open(langid.vocab_path(langid.VOCAB), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, byte = model["end_of_word_suffix"], {c: b for b, c in enumerate(langid.byte_chars())}
+    tokens = [t for t in sorted(model["vocab"], key=model["vocab"].get)]
+    pieces = [(bytes(byte[c] for c in t.removesuffix(suffix)), t.endswith(suffix)) for t in tokens]
+    return {piece: k for k, piece in enumerate(x for x in pieces if x[0] and 0 not in x[0])}
+
+
+def test_pieces_of_all_lengths():
+    v, pieces = langid.vocabulary(langid.VOCAB, None), file_pieces()
+    assert v.size == len(pieces) and v.reach == max(len(raw) for raw, _ in pieces)
+    p = np.random.default_rng(3).random((v.size + 1, 2))
+    p[v.size] = 0
+    p /= p.sum(0)
+    words = [w.encode() for w in ("university", "president", "community", "communityx", "internationalisation" * 2, "universitypresident" * 5, "internationalpresidents")]
+    words += [max((raw for raw, closes in pieces if closes == c), key=len) for c in (False, True)]
+    for w, row in zip(words, langid.word_scores(v, p, words)):
+        total = [np.ones(2)] + [np.zeros(2) for _ in w]
+        for a in range(len(w)):
+            for b in range(a + 1, len(w) + 1):
+                if (k := pieces.get((w[a:b], b == len(w)))) is not None:
+                    total[b] = total[b] + total[a] * p[k]
+        assert np.allclose(row, np.log(total[-1]))
+    few = [w for w in words if len(w) <= langid.TRAIN_WIDTH]
+    one = np.zeros((v.size + 1, 2))
+    for w in few:
+        langid._expected_long(v, p, w, np.array([2.0, 1.0]), one)
+    assert np.allclose(langid.expected_uses(v, p, few, np.array([[2.0, 1.0]] * len(few))), one)
+
+
 def test_training_raises_likelihood():
     counts = {"xx": {b"thing": 5, b"there": 3, b"a": 9}, "yy": {b"eau": 4, b"beau": 6}}
     weights = lambda p, langs: sum(n * langid.word_scores(V, p, [w])[0][langs.index(g)] for g, c in counts.items() for w, n in c.items())
