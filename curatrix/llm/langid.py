@@ -19,15 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCAB, Splitter, byte_chars, chunks, vocab_path
-from .common import ship
+from .common import Scratch, partitions, ship
 from .u64map import U64Map
 
-#: Labelled rows of each language that training reads, about, and (language, word) counts it keeps at most.
-TRAIN_ROWS, TRAIN_WORDS = 1500, 50_000
+#: Labelled rows of each language that training reads, about, and words of them that a task sums at once.
+TRAIN_ROWS, HELD = 1500, 1 << 16
 ITERATIONS, SMOOTHING = 5, 0.01
 #: Bytes of the longest piece whose key in a map is its bytes in one 64-bit number; longer ones are found by their first bytes.
 LONGEST = 8
@@ -273,7 +273,7 @@ def _next(v: Vocabulary, uses: np.ndarray) -> np.ndarray:
 def fit(v: Vocabulary, counts: dict[str, dict[bytes, int]], iterations: int = ITERATIONS) -> tuple[list[str], np.ndarray]:
     """Languages by name, and piece probabilities by language with a last row of zeros."""
     langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if 0 < len(w) <= 32 and 0 not in w})
+    words = sorted({w for c in counts.values() for w in c if w and 0 not in w})
     weight = np.array([[counts[g].get(w, 0) for g in langs] for w in words], float).reshape(len(words), len(langs))
     p = _start(v, len(langs))
     for _ in range(iterations):
@@ -281,6 +281,47 @@ def fit(v: Vocabulary, counts: dict[str, dict[bytes, int]], iterations: int = IT
     return langs, p
 
 
+def fit_table(spark: SparkSession, counted: DataFrame, langs: int, vocab: str, iterations: int = ITERATIONS) -> np.ndarray:
+    """The same from a table (g, w, n) of counts, by the number of the language: tasks add up expected uses, and the driver gets one number a language and piece."""
+    v = _whole(vocab)
+    p = _start(v, langs)
+    for _ in range(iterations):
+        shared = spark.sparkContext.broadcast(p)
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            v, p = _whole(vocab), shared.value
+            uses: dict[int, np.ndarray] = {}
+            held: dict[int, tuple[list[bytes], list[int]]] = {}
+
+            def add() -> None:
+                for g, (words, n) in held.items():
+                    more = expected_uses(v, np.ascontiguousarray(p[:, [g]]), words, np.array(n, float)[:, None])[:, 0]
+                    uses[g] = uses[g] + more if g in uses else more
+                held.clear()
+
+            size = 0
+            for b in batches:
+                for g, w, n in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    words, counts = held.setdefault(g, ([], []))
+                    words.append(w)
+                    counts.append(n)
+                size += b.num_rows
+                if size >= HELD:
+                    add()
+                    size = 0
+            add()
+            for g, u in uses.items():
+                piece = np.flatnonzero(u)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(piece), g, np.int32)), pa.array(piece.astype(np.int32)), pa.array(u[piece])], ["g", "piece", "uses"])
+
+        made = counted.mapInArrow(run, "g int, piece int, uses double").groupBy("g", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+        shared.unpersist()
+        uses = np.zeros_like(p)
+        uses[made.column("piece").to_numpy(), made.column("g").to_numpy()] = made.column("uses").to_numpy()
+        p = _next(v, uses)
+    return p
+
+
 class Scorer(Splitter):
     """Scores texts; remembers the words it has met."""
 
@@ -341,13 +382,16 @@ class Scorer(Splitter):
 _scorers: dict[int, Scorer] = {}
 
 
-def train(df: DataFrame, text: str, lang: str, key: str, vocab: str = VOCAB, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> tuple[list[str], np.ndarray]:
-    """Piece probabilities from about `rows` labelled rows of each language, chosen by a hash of their key."""
-    ship(df.sparkSession)
+def train(df: DataFrame, text: str, lang: str, key: str, vocab: str = VOCAB, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+    """Piece probabilities from all words of about `rows` labelled rows of each language, chosen by a hash of their key."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "langid")
     df = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r.g: r.n for r in df.groupBy(F.col(lang).alias("g")).agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return [], np.zeros((1, 0))
+    langs = sorted(sizes)
+    number = {g: k for k, g in enumerate(langs)}
     share: Column = F.lit(0.0)
     for g, n in sizes.items():
         share = F.when(F.col(lang) == g, min(1.0, rows / n)).otherwise(share)
@@ -359,16 +403,15 @@ def train(df: DataFrame, text: str, lang: str, key: str, vocab: str = VOCAB, row
         for b in batches:
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 whole, at, ends, *_ = scorer.letters([t])
-                seen.setdefault(g, Counter()).update(whole[i:j] for i, j in zip(at.tolist(), ends.tolist()) if j - i <= 32)
+                seen.setdefault(g, Counter()).update(whole[i:j] for i, j in zip(at.tolist(), ends.tolist()))
         for g, c in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g] * len(c), pa.string()), pa.array([w.encode() for w in c], pa.binary()), pa.array(c.values(), pa.int64())], ["g", "w", "n"])
-
-    counted = chosen.select(F.col(lang).alias("g"), F.col(text).alias("t")).mapInArrow(count, "g string, w binary, n long")
-    counts: dict[str, dict[bytes, int]] = {g: {} for g in sizes}
-    top = counted.groupBy("g", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g", "w").limit(words).toArrow()
-    for g, w, n in zip(*(top.column(c).to_pylist() for c in ("g", "w", "n"))):
-        counts[g][w] = n
-    return fit(_whole(vocab), counts)
+            yield pa.RecordBatch.from_arrays([pa.array([number[g]] * len(c), pa.int32()), pa.array([w.encode() for w in c], pa.binary()), pa.array(c.values(), pa.int64())], ["g", "w", "n"])
+
+    counted = chosen.select(F.col(lang).alias("g"), F.col(text).alias("t")).mapInArrow(count, "g int, w binary, n long")
+    words = scratch.put(counted.repartition(partitions(spark), "g", "w").groupBy("g", "w").agg(F.sum("n").alias("n")))
+    p = fit_table(spark, words, len(langs), vocab)
+    scratch.drop(words)
+    return langs, p
 
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", vocab: str = VOCAB) -> DataFrame:

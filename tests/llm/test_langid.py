@@ -81,6 +81,19 @@ def test_pieces_of_all_lengths():
     assert np.allclose(langid.expected_uses(v, p, few, np.array([[2.0, 1.0]] * len(few))), one)
 
 
+def test_all_words_of_the_rows_count(spark):
+    """Words of any length and of small languages, as many as there are."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    large = ["".join(letters[(i // 26**k) % 26] for k in range(4)) for i in range(60_000)]
+    rows = [(i, " ".join(large[i::20] * 2), "aa") for i in range(20)] + [(30, "zyxw " + "漢字仮名" * 10, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, p = langid.train(df, "text", "lang", "doc_id")
+    counts = {"aa": {w.encode(): 2 for w in large}, "zz": {b"zyxw": 1, ("漢字仮名" * 10).encode(): 1}}
+    assert langs == ["aa", "zz"]
+    assert np.allclose(p, langid.fit(langid.vocabulary(langid.VOCAB, None), counts)[1], rtol=1e-6, atol=1e-12)
+    assert p[:, 1].max() > 100 / langid.vocabulary(langid.VOCAB, None).size
+
+
 def test_training_raises_likelihood():
     counts = {"xx": {b"thing": 5, b"there": 3, b"a": 9}, "yy": {b"eau": 4, b"beau": 6}}
     weights = lambda p, langs: sum(n * langid.word_scores(V, p, [w])[0][langs.index(g)] for g, c in counts.items() for w, n in c.items())
