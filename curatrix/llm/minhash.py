@@ -4,15 +4,16 @@ A signature has LANES minimum hashes of LANE_BITS bits each; the distance of two
 that differ. Signatures are split into chunks of CHUNK lanes. Two signatures that differ in at most REACH lanes
 differ in at most one lane of some chunk (pigeonhole), so each chunk is indexed once for every lane that
 may be wrong, without that lane: pairs within REACH share an index key, without exception. At a similarity of 0.8 a
-pair misses all keys with a probability under 1e-7. Pairs that share a key are compared by distance first (up to
-FILTER lanes may differ) and then on their full shingle sets.
+pair misses all keys with a probability under 1e-7. All pairs that share a key, also those beyond REACH, are compared on their full
+shingle sets, unless the sizes of their sets alone rule the similarity out.
 
 Documents with equal sets are one node. In keys with more than FEW nodes not all pairs are made: all nodes are
 compared with two of the key's nodes, linked nodes are joined into components, and only
-nodes outside the key's main component are then compared with all the others, in blocks, with inverted lists. That finds
+nodes outside the key's main component are then compared with all others of like size, in blocks, with inverted lists. That finds
 every component that all pairs would give.
 
 Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return, after lower-casing A-Z.
+Shingles are compared by 64-bit hashes. Words of over LONG bytes enter them by a cryptographic digest, shorter ones by a polynomial.
 A document with fewer words than a shingle has its whole sequence as its shingle. Null, empty or blank texts have an empty set
 and are linked with nothing. Rows with the same key and text are separate rows with the same component. A null key never is a component's
 smallest; a component with null keys only has a null id. Columns beyond key and text are ignored.
@@ -21,6 +22,7 @@ smallest; a component with null keys only has a null id. Columns beyond key and
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,14 +37,12 @@ from .components import connected
 LANES, LANE_BITS, CHUNK = 40, 20, 4
 #: Any pair within this distance shares a key: one wrong lane a chunk at most in some chunk.
 REACH = 2 * (LANES // CHUNK) - 1
-#: Pairs that share a key and differ in more lanes are not compared on their sets. At a similarity of 0.8 that
-#: happens with a probability of about 1e-8.
-FILTER = 25
-#: Keys of so many nodes at most give all their pairs; nodes a block has in larger ones.
-FEW, BLOCK = 8, 1024
+#: Keys of so many nodes at most give all their pairs; shingles that a block's sets have on either side in larger ones, about.
+FEW, BLOCK = 8, 1 << 18
 #: Bytes of text hashed at once, and rows that are handed on at once.
 CHUNK_BYTES, ROWS = 1 << 19, 512
-SET_BYTES = 5
+#: Bytes of a word from which on it is digested: a polynomial's collisions are easily made for long words.
+LONG = 32
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -82,6 +82,9 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     words = sums[ends - 1] - np.where(starts > 0, sums[starts - 1], _U(0)) if len(starts) else np.zeros(0, _U)
     words = _mix(words * inverse[starts] + (ends - starts).astype(_U))
+    if len(long := np.flatnonzero(ends - starts > LONG)):
+        low = data.tobytes().lower()
+        words[long] = np.frombuffer(b"".join(hashlib.blake2b(low[i:j], digest_size=8).digest() for i, j in zip(starts[long].tolist(), ends[long].tolist())), _U)
     n = max(0, len(words) - k + 1)
     hashed = np.zeros(n, _U)
     for i in range(k):
@@ -105,13 +108,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def pack_set(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray((np.sort(hashes) >> _U(64 - 8 * SET_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes()
+    return np.sort(hashes).astype("<u8").tobytes()
 
 
 def unpack_set(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SET_BYTES)
-    return out.view("<u8").ravel()
+    return np.frombuffer(packed, "<u8")
 
 
 def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -160,19 +161,14 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def packed_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (key, text) as (key, d1, d2, n, packed): the full sets, five bytes a shingle."""
+    """docs (id, text) as (id, n, packed): the full sets, eight bytes a shingle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            n, packed, digests = [], [], []
-            for h in _sets(b.column(1), k):
-                n.append(len(h))
-                packed.append(pack_set(h))
-                digests.append(_digest(h))
-            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["key", "d1", "d2", "n", "packed"])
+            sets = list(_sets(b.column(1), k))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([pack_set(h) for h in sets], pa.binary())], ["id", "n", "packed"])
 
-    return docs.select("key", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, d1 long, d2 long, n long, packed binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, packed binary")
 
 
 def _similar(shared: int, a: int, b: int, percent: int) -> bool:
@@ -223,21 +219,9 @@ def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
-def _sketch(lanes: str) -> list:
-    """Five longs with six bits of each of eight lanes, seven bits apart."""
-    cols = []
-    for i in range(0, LANES, 8):
-        word = F.lit(0).cast("long")
-        for j in range(8):
-            word = word.bitwiseOR(F.shiftleft(F.col(lanes)[i + j].bitwiseAND(63).cast("long"), 7 * j))
-        cols.append(word.alias(f"s{i // 8}"))
-    return cols
-
-
-def _distance(a: str, b: str):
-    ones = sum(1 << 7 * j for j in range(8))
-    differ = [F.bit_count((F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}")) + F.lit(63 * ones)).bitwiseAND(F.lit(64 * ones))) for i in range(LANES // 8)]
-    return sum(differ[1:], differ[0])
+def _band(n: str, percent: int):
+    """A set's place on a scale of sizes on which similar sets are at most one step apart."""
+    return F.floor(F.ln(n) / (max(0.0, math.log(100 / max(1, percent))) + 1e-3)).cast("int")
 
 
 def _keys() -> list:
@@ -258,47 +242,41 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     scratch = Scratch(spark, "near")
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     prints = scratch.put(fingerprints(docs, k))
-    grouped = prints.where("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("least"), F.first("lanes").alias("lanes"))
+    mark = F.xxhash64("key", "th")
+    grouped = prints.where("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("least"), F.min(mark).alias("mark"), F.first("n").alias("n"), F.first("lanes").alias("lanes"))
     nodes = scratch.put(grouped.withColumn("id", F.monotonically_increasing_id()))  # numbered as they are written, once
-    index = nodes.select("id", F.explode(F.array(*_keys())).alias("bucket"))
-    shared = index.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    members = scratch.put(index.join(shared, "bucket").join(nodes.select("id", *_sketch("lanes")), "id"))
+    index = nodes.select("id", "n", F.explode(F.array(*_keys())).alias("bucket"))
+    shared = index.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).where("c > 1")
+    members = scratch.put(index.join(shared, "bucket"))
 
-    sketch = [f"s{i}" for i in range(LANES // 8)]
     few, many = members.where(F.col("c") <= FEW), members.where(F.col("c") > FEW)
-    near = _distance("l", "r") <= FILTER
-    pairs = few.alias("l").join(few.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") < F.col("r.id")) & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    row = F.struct("id", *sketch)
-    heads = many.groupBy("bucket").agg(F.min(row).alias("h1"), F.min(F.struct(F.xxhash64("id").alias("h"), row.alias("row"))).getField("row").alias("h2"))
-    heads = heads.select("bucket", F.explode(F.array("h1", "h2")).alias("h")).select("bucket", "h.*")
-    stars = many.alias("l").join(heads.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") != F.col("r.id")) & near)
-    stars = stars.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    met = few.groupBy("bucket").agg(F.collect_list(F.struct("id", "n")).alias("m"))
+    like = f"x.id < y.id and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    pairs = met.select(F.expr(f"explode(flatten(transform(m, x -> transform(filter(m, y -> {like}), y -> struct(x.id as a, y.id as b)))))").alias("p")).select("p.*")
+    stars = many.select(F.explode(F.array("low", "high")).alias("a"), F.col("id").alias("b")).where("a <> b")
     pairs = scratch.put(pairs.unionByName(stars).distinct())
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct()
-    wanted = wanted.join(nodes.select("id", "d1", "d2", F.xxhash64("least").alias("mark")), "id")
-    # of copies only the one with the smallest key moves on; rows that repeat it are dropped where they meet
-    marked = packed_sets(docs, k).withColumn("mark", F.xxhash64("key"))
-    one = ["d1", "d2", "mark"]
-    sets = scratch.put(marked.join(wanted, one).dropDuplicates(one).select("id", "n", "packed"))
+    # the text of one row of each node that is met: rows that repeat it are dropped where they meet
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(nodes.select("id", "mark"), "id")
+    sets = scratch.put(packed_sets(docs.withColumn("mark", mark).join(wanted, "mark").dropDuplicates(["id"]), k))
     side = lambda p: sets.select(F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("packed").alias(f"s{p}"))
     links = scratch.put(_confirm(pairs.join(side("b"), "b").join(side("a"), "a"), percent))
     first = connected(scratch, links)
 
-    # keys whose nodes aren't all in one component: those outside the main one meet all others
-    named = many.select("bucket", "id").join(first, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    named = scratch.put(named)
+    # keys whose nodes aren't all in one component: those outside the main one meet all others of like size
+    named = scratch.put(many.select("bucket", "id", "n").join(first, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp")))
     counts = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("main"), F.count("*").alias("comps"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("out")).where("comps > 1")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    open_ = named.join(main, "bucket").select("bucket", "id", "comp", "main", blocks("all").alias("ny"), blocks("out").alias("nx"))
-    h = F.xxhash64("id")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ys = open_.select("bucket", "id", "comp", F.lit("y").alias("side"), F.pmod(h, "ny").cast("int").alias("j"), every("nx").alias("i"))
-    xs = open_.where("comp != main").select("bucket", "id", "comp", F.lit("x").alias("side"), F.pmod(h, "nx").cast("int").alias("i"), every("ny").alias("j"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).getField("comp").alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    open_ = named.join(main, "bucket").withColumn("band", _band("n", percent))
+    xs = open_.where("comp != main").withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    sizes = xs.groupBy("bucket", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nx")).join(open_.groupBy("bucket", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("ny")), ["bucket", "band"])
+    own = lambda m: F.pmod(F.xxhash64("id"), m).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    cols = ["bucket", "band", "id", "comp", "side", "i", "j"]
+    ys = open_.join(sizes, ["bucket", "band"]).withColumns({"side": F.lit("y"), "j": own("ny")}).withColumn("i", every("nx")).select(cols)
+    xs = xs.join(sizes, ["bucket", "band"]).withColumns({"side": F.lit("x"), "i": own("nx")}).withColumn("j", every("ny")).select(cols)
     rows = xs.unionByName(ys).join(sets, "id")
-    rest = rows.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "u long, v long")
-    more = scratch.put(rest.distinct())
+    more = scratch.put(rows.groupBy("bucket", "band", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), "u long, v long"))
     linked = connected(scratch, first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)) if not more.isEmpty() else first
 
     linked = linked.join(nodes.select("id", "least"), "id")
@@ -307,7 +285,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     of = nodes.select("d1", "d2", "id", "least").join(linked, "id", "left").select("d1", "d2", F.coalesce("lowest", "least").alias("component_id"), F.coalesce("component", "id").alias("group"))
     out = prints.select("key", "th", "d1", "d2", "n").join(of, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    scratch.drop(sets, members, pairs, named)
+    scratch.drop(sets, members, pairs, links, named, more)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), F.col("th").alias("text_hash"), "group")
 
 
