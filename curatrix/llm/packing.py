@@ -3,19 +3,21 @@
 A round range-sorts the unplaced pieces and the open gaps by size together. Every partition sweeps its
 own part upwards: a gap takes the largest piece met so far that still fits, and goes on filling while
 pieces of its partition fit. What a partition could not match meets across partitions by rank: the counts
-left in each partition (two numbers a partition) say which gap takes which piece. Then gaps are updated
-and the next round begins. When rounds place too little, the longest pieces left open new sequences,
-again all at once: a prefix sum over the range-sorted pieces cuts them into runs, and the pieces
-that lie across a cut stay for the next rounds. What fits one partition (ROWS_A_TASK rows) is finished there by best fit.
+left in each partition say which gap takes which piece. Then gaps are updated and the next round begins.
+When ranks match too little, the longest pieces left open new sequences, again all at once: a prefix sum over
+the sorted pieces cuts them into runs, and the pieces that lie across a cut stay for the next rounds. Rounds go on until no
+piece is left, at every size of table.
 
 Null and empty texts become a piece of one end token. Ties and repeated rows are separate pieces. A piece of
-the whole capacity has a sequence of its own; longer documents are cut, so no piece is longer.
+more than half the capacity has a sequence of its own, whose rest is a gap; longer documents are cut, so no piece is longer than the capacity.
+Very long texts are many pieces. Columns of items called sequence_id, offset or _uid are no matter: the first two are replaced, the last is kept.
 An empty table gives no rows. State tables live in the shared folder, so lost executors only repeat tasks.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import VOCAB, Encoder, build_lexicon, encoded, encoder
@@ -32,9 +34,12 @@ from .common import Scratch, ship
 CAPACITY, END = 4096, 1
 #: Rows of state a task should have about.
 ROWS_A_TASK = 100_000
-#: A round that places less than this share of the pieces left is followed by opening sequences.
-WORTH = 0.05
-SWEPT = "tag string, id long, seq long, size long, at long, pid int, nth long"
+#: Where ranks match less than this share of the pieces left, sequences are opened: for the longest pieces up to half their length, or
+#: for all if they are this part of the capacity at most.
+WORTH, SHORT = 0.05, 1 / 32
+#: Rows of state. tag: D a piece, G a gap, P a piece that is placed, U a gap that was filled, C counts of a partition.
+STATE = "tag string, id long, seq long, size long, at long"
+SWEPT = STATE + ", pid int, nth long"
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = VOCAB, capacity: int = CAPACITY, end: int = END, lexicon: bytes | None = None, ids: bool = False) -> DataFrame:
@@ -63,26 +68,50 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str =
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
-def sweep(rows: list[tuple[str, int, int]], capacity: int, pid: int) -> list[tuple]:
+@functools.cache
+def classes_from(capacity: int) -> list[int]:
+    """The least sizes of classes of sizes, eight to an octave."""
+    return sorted({int(2 ** (k / 8)) for k in range(8 * capacity.bit_length() + 1)})
+
+
+def sweep(rows: Iterable[tuple[str, int, int]], capacity: int, pid: int) -> list[tuple]:
     """Matches one sorted partition of (tag, id, size), tag D for a piece and G for a gap, upwards by size.
 
-    Returns rows of SWEPT: P placed pieces, U gaps that were filled, D and G what is left, with ranks."""
-    out, sizes, ids, left = [], [], [], []
+    Returns rows of SWEPT: P placed pieces, U gaps that were filled, D and G what is left, with ranks; a D's `at` is the size of all D of higher rank.
+    C rows hold, for each class of sizes (id), the number (seq) and sum (size) of the pieces left, and for id -1 the gaps left (seq) and the largest (size)
+    and smallest (at) piece left."""
+    steps, out, left = classes_from(capacity), [], []
+    held: dict[int, list[int]] = {}
+    sizes = 0  # bit k is set while pieces of size k are held
     for tag, i, size in rows:
         if tag == "D":
-            sizes.append(size)
-            ids.append(i)
+            held.setdefault(size, []).append(i)
+            sizes |= 1 << size
             continue
         gap = size
-        while gap > 0 and (k := bisect.bisect_right(sizes, gap) - 1) >= 0:
-            out.append(("P", ids.pop(k), i, sizes[k], capacity - gap, pid, 0))
-            gap -= sizes.pop(k)
+        while gap > 0 and (fit := sizes & ((2 << gap) - 1)):
+            k = fit.bit_length() - 1
+            out.append(("P", held[k].pop(), i, k, capacity - gap, pid, 0))
+            if not held[k]:
+                del held[k]
+                sizes ^= 1 << k
+            gap -= k
         if gap < size:
             out.append(("U", i, i, gap, 0, pid, 0))
         else:
-            left.append(("G", i, i, gap, len(sizes), pid, len(left)))
+            left.append(("G", i, i, gap, 0, pid, len(left)))
     # a gap is only left when no piece below it was, so all pieces left come after all gaps left
-    return out + left + [("D", i, 0, size, 0, pid, n) for n, (i, size) in enumerate(zip(ids, sizes))]
+    rest = [(size, i) for size in sorted(held) for i in held[size]]
+    above, docs, classes = 0, [], {}
+    for n in range(len(rest) - 1, -1, -1):
+        size, i = rest[n]
+        docs.append(("D", i, 0, size, above, pid, n))
+        above += size
+        of = classes.setdefault(bisect.bisect_right(steps, size), [0, 0])
+        of[0] += 1
+        of[1] += size
+    counts = [("C", k, n, total, 0, pid, 0) for k, (n, total) in classes.items()]
+    return out + left + docs + counts + [("C", -1, len(left), rest[-1][0] if rest else 0, rest[0][0] if rest else 0, pid, 0)]
 
 
 def intervals(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
@@ -105,112 +134,57 @@ def intervals(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, i
     return out
 
 
-def finish(rows: Iterable[tuple[str, int, int]], capacity: int) -> list[tuple[int, int, int]]:
-    """Best fit of the longest first, in one partition: (piece, sequence, place) for rows (tag, id, size)."""
-    gaps: dict[int, list[int]] = {}
-    for tag, i, size in rows:
-        if tag == "G":
-            gaps.setdefault(size, []).append(i)
-    sizes, out = sorted(gaps), []
-    for tag, i, size in sorted(rows, key=lambda r: (-r[2], r[1])):
-        if tag != "D":
-            continue
-        k = bisect.bisect_left(sizes, size)
-        gap = sizes[k] if k < len(sizes) else capacity
-        seq = gaps[gap].pop() if k < len(sizes) else i
-        if k < len(sizes) and not gaps[gap]:
-            del gaps[gap], sizes[k]
-        out.append((i, seq, capacity - gap))
-        if left := gap - size:
-            if left not in gaps:
-                bisect.insort(sizes, left)
-                gaps[left] = []
-            gaps[left].append(seq)
-    return out
-
-
-def _finish(state: DataFrame, capacity: int) -> DataFrame:
-    """Places all pieces of a state of ROWS_A_TASK rows at most."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))]
-        if found := finish(rows, capacity):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["_uid", "sequence_id", "offset"])
-
-    return state.where("tag in ('D', 'G')").select("tag", "id", "size").repartition(1).mapInArrow(run, "_uid long, sequence_id long, offset long")
-
-
 def _parts(n: int) -> int:
     return max(1, -(-n // ROWS_A_TASK))
 
 
-def _match(scratch: Scratch, state: DataFrame, n: int, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """One round. Returns the swept table (its P rows are placed) and the next state."""
-    spark = scratch.spark
+def _swept(scratch: Scratch, state: DataFrame, n: int, capacity: int) -> DataFrame:
+    """The range-sorted state after the sweep of each of its partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, rows = TaskContext.get().partitionId(), []
-        for b in batches:
-            rows += zip(*(b.column(k).to_pylist() for k in range(3)))
-        if found := sweep(rows, capacity, pid):
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], [x.split()[0] for x in SWEPT.split(", ")])
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3))))
+        found = sweep(rows, capacity, TaskContext.get().partitionId())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], [x.split()[0] for x in SWEPT.split(", ")])
 
     tie = F.xxhash64("id")
     ranged = state.where("tag in ('D', 'G')").select("tag", "id", "size").repartitionByRange(_parts(n), "size", "tag", tie).sortWithinPartitions("size", "tag", tie)
-    swept = scratch.put(ranged.mapInArrow(run, SWEPT))
-    counts: dict[int, list[int]] = {}
-    for r in swept.where("tag in ('D', 'G')").groupBy("pid", "tag").count().collect():  # two rows a partition
-        counts.setdefault(r.pid, [0, 0])[r.tag == "D"] = r["count"]
-    between = spark.createDataFrame(pd.DataFrame(intervals(counts), columns=["p", "lo", "hi", "q", "total"]), "p int, lo long, hi long, q int, total long")
+    return scratch.put(ranged.mapInArrow(run, SWEPT))
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
+def _matched(swept: DataFrame, between: list[tuple], capacity: int) -> DataFrame:
+    """The next state: pieces and gaps left are paired by their ranks in the intervals."""
+    told = swept.sparkSession.createDataFrame(pd.DataFrame(between, columns=["p", "lo", "hi", "q", "total"]), "p int, lo long, hi long, q int, total long")  # two rows a partition at most
     docs, gaps = (swept.where(F.col("tag") == t) for t in "DG")
-    docs = docs.join(F.broadcast(between), (docs.pid == between.p) & docs.nth.between(between.lo, between.hi), "left")
-    docs = docs.select("id", "size", "q", (F.col("total") - F.col("nth")).alias("m"))
+    docs = docs.join(told, (docs.pid == told.p) & docs.nth.between(told.lo, told.hi), "left").select("id", "size", "q", (F.col("total") - F.col("nth")).alias("m"))
     gaps = gaps.select(F.col("pid").alias("q"), F.col("nth").alias("m"), F.col("id").alias("seq"), F.col("size").alias("gap"))
     pairs = docs.where("q is not null").join(gaps, ["q", "m"], "full")
     placed = F.when(F.col("id").isNotNull(), F.struct(F.lit("P").alias("tag"), "id", "seq", F.col("size"), (F.lit(capacity) - F.col("gap")).alias("at")))
-    after = F.when(F.col("gap") > F.coalesce("size", F.lit(0)), F.struct(F.lit("G").alias("tag"), F.col("seq").alias("id"), "seq", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("size"), F.lit(0).cast("long").alias("at")))
+    room = F.col("gap") - F.coalesce("size", F.lit(0))
+    after = F.when(room > 0, F.struct(F.lit("G").alias("tag"), F.col("seq").alias("id"), "seq", room.alias("size"), _zero().alias("at")))
     rows = pairs.select(F.explode(F.array_compact(F.array(placed, after))).alias("r")).select("r.*")
-    zero = F.lit(0).cast("long")
-    rows = rows.unionByName(docs.where("q is null").select(F.lit("D").alias("tag"), "id", zero.alias("seq"), "size", zero.alias("at")))
-    rows = rows.unionByName(swept.where("tag = 'U' and size > 0").select(F.lit("G").alias("tag"), "id", "seq", "size", "at"))
-    return swept, scratch.put(rows.coalesce(_parts(n)))
-
-
-def _open(scratch: Scratch, state: DataFrame, n: int, longer_than: int, capacity: int) -> DataFrame:
-    """Opens sequences for the pieces longer than that: runs of the range-sorted pieces, as many to each as fit between two cuts."""
-    spark = scratch.spark
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, total = TaskContext.get().partitionId(), 0
-        for b in batches:
-            size = b.column(1).to_numpy()
-            ends = np.cumsum(size) + total
-            total = int(ends[-1]) if len(ends) else total
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends - size), pa.array(np.full(len(size), pid, np.int32))], ["id", "size", "begin", "pid"])
-
-    tie = F.xxhash64("id")
-    chosen = state.where((F.col("tag") == "D") & (F.col("size") > longer_than)).select("id", "size")
-    ranged = chosen.repartitionByRange(_parts(n), F.desc("size"), tie).sortWithinPartitions(F.desc("size"), tie)
-    summed = scratch.put(ranged.mapInArrow(run, "id long, size long, begin long, pid int"))
-    totals = {r.pid: r.total for r in summed.groupBy("pid").agg(F.sum("size").alias("total")).collect()}  # a row a partition
-    before, rows = 0, []
-    for pid in sorted(totals):
-        rows.append((pid, before))
-        before += totals[pid]
-    base = F.broadcast(spark.createDataFrame(pd.DataFrame(rows, columns=["pid", "base"]), "pid int, base long"))
-    at = summed.join(base, "pid").select("id", "size", (F.col("base") + F.col("begin")).alias("begin"))
-    at = at.withColumn("bin", F.floor(F.col("begin") / capacity)).withColumn("fits", F.col("begin") + F.col("size") <= (F.col("bin") + 1) * capacity)
-    bins = at.where("fits").groupBy("bin").agg(F.min("begin").alias("first"), F.sum("size").alias("full"), F.min(F.struct("begin", "id")).getField("id").alias("seq"))
-    placed = at.where("fits").join(bins, "bin")
-    zero = F.lit(0).cast("long")
-    out = placed.select(F.lit("P").alias("tag"), "id", "seq", "size", (F.col("begin") - F.col("first")).alias("at"))
-    out = out.unionByName(bins.where(F.col("full") < capacity).select(F.lit("G").alias("tag"), F.col("seq").alias("id"), "seq", (F.lit(capacity) - F.col("full")).alias("size"), zero.alias("at")))
-    out = out.unionByName(at.where("not fits").select(F.lit("D").alias("tag"), "id", zero.alias("seq"), "size", zero.alias("at")))
-    rest = state.where((F.col("tag") == "G") | ((F.col("tag") == "D") & (F.col("size") <= longer_than))).select("tag", "id", "seq", "size", "at")
-    new = scratch.put(out.unionByName(rest).coalesce(_parts(n)))
-    scratch.drop(summed)
-    return new
+    return rows.unionByName(docs.where("q is null").select(F.lit("D").alias("tag"), "id", _zero().alias("seq"), "size", _zero().alias("at")))
+
+
+def _opened(swept: DataFrame, base: list[tuple[int, int]], longer_than: int, capacity: int) -> DataFrame:
+    """The next state: the pieces longer than that are cut into runs, as many to a new sequence as fit between two cuts. base: the size of such pieces in all
+    higher partitions."""
+    told = swept.sparkSession.createDataFrame(pd.DataFrame(base, columns=["pid", "base"]), "pid int, base long")  # a row a partition
+    chosen = swept.where((F.col("tag") == "D") & (F.col("size") > longer_than)).join(told, "pid").select("id", "size", (F.col("base") + F.col("at")).alias("begin"))
+    cut = chosen.withColumn("bin", F.floor(F.col("begin") / capacity)).withColumn("fits", F.col("begin") + F.col("size") <= (F.col("bin") + 1) * capacity)
+    run = Window.partitionBy("bin").orderBy(~F.col("fits"), "begin")  # the pieces of one sequence, and one across its end
+    whole = Window.partitionBy("bin")
+    full = F.sum(F.when(F.col("fits"), F.col("size"))).over(whole)
+    cut = cut.withColumns({"nth": F.row_number().over(run), "seq": F.first("id").over(run), "first": F.first("begin").over(run), "room": F.lit(capacity) - full})
+    piece = F.when(F.col("fits"), F.struct(F.lit("P").alias("tag"), "id", "seq", "size", (F.col("begin") - F.col("first")).alias("at"))).otherwise(F.struct(F.lit("D").alias("tag"), "id", _zero().alias("seq"), "size", _zero().alias("at")))
+    gap = F.when((F.col("nth") == 1) & (F.col("room") > 0), F.struct(F.lit("G").alias("tag"), F.col("seq").alias("id"), "seq", F.col("room").alias("size"), _zero().alias("at")))
+    rows = cut.select(F.explode(F.array_compact(F.array(piece, gap))).alias("r")).select("r.*")
+    rest = (F.col("tag") == "G") | ((F.col("tag") == "D") & (F.col("size") <= longer_than))
+    return rows.unionByName(swept.where(rest).select("tag", "id", "seq", "size", _zero().alias("at")))
 
 
 def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
@@ -219,36 +193,51 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     Lengths lie between 1 and capacity. Columns of items that are called sequence_id or offset are replaced."""
     spark: SparkSession = items.sparkSession
     scratch = Scratch(spark, "pack")
-    items = scratch.put(items.drop("sequence_id", "offset", "_uid").withColumn("_uid", F.monotonically_increasing_id()))
-    size, zero = F.col(length).cast("long"), F.lit(0).cast("long")
-    alone = items.where(2 * size > capacity)
-    state = items.where(2 * size <= capacity).select(F.lit("D").alias("tag"), F.col("_uid").alias("id"), zero.alias("seq"), size.alias("size"), zero.alias("at"))
-    state = state.unionByName(alone.where(size < capacity).select(F.lit("G").alias("tag"), F.col("_uid").alias("id"), F.col("_uid").alias("seq"), (F.lit(capacity) - size).alias("size"), zero.alias("at")))
-    placed = [alone.select(F.col("_uid"), F.col("_uid").alias("sequence_id"), zero.alias("offset"))]
-    told = lambda s: s.groupBy("tag").agg(F.count("*").alias("n"), F.max("size").alias("most"), F.min("size").alias("least")).collect()  # noqa: E731  a row a tag
-    by = {r.tag: r for r in told(state)}
-    while "D" in by:
-        docs, gaps = by["D"].n, by.get("G")
-        if docs + (gaps.n if gaps else 0) <= ROWS_A_TASK:
-            placed.append(_finish(state, capacity))
+    uid = "_uid"
+    while uid in items.columns:
+        uid += "_"
+    items = scratch.put(items.drop("sequence_id", "offset").withColumn(uid, F.monotonically_increasing_id()))
+    size = F.col(length).cast("long")
+    row = lambda tag, room, seq: F.struct(F.lit(tag).alias("tag"), F.col(uid).alias("id"), seq.alias("seq"), room.alias("size"), _zero().alias("at"))
+    alone = F.array(row("P", size, F.col(uid)), row("G", F.lit(capacity) - size, F.col(uid)))
+    state = items.select(F.explode(F.when(2 * size > capacity, alone).otherwise(F.array(row("D", size, _zero())))).alias("r")).select("r.*").where("size > 0")
+    states, n, steps = [state], items.count(), classes_from(capacity)
+    while n:
+        swept = _swept(scratch, state, n, capacity)
+        states.append(swept)
+        counts, sums, left, least, most = {}, {}, 0, capacity, 0
+        for r in swept.where("tag = 'C'").collect():  # a row for each class of sizes in each partition
+            of = counts.setdefault(r.pid, [0, 0])
+            if r.id < 0:
+                of[0], least, most = r.seq, min(least, r.at or least), max(most, r.size)
+            else:
+                of[1] += r.seq
+                left += r.seq
+                sums.setdefault(r.pid, []).append((r.id, r.size))
+        if not left:
             break
-        done = 0
-        if gaps and gaps.most >= by["D"].least:
-            swept, new = _match(scratch, state, docs + gaps.n, capacity)
-            placed += [t.where("tag = 'P'").select(F.col("id").alias("_uid"), F.col("seq").alias("sequence_id"), F.col("at").alias("offset")) for t in (swept, new)]
-            state, by = new, {r.tag: r for r in told(new)}
-            done = docs - (by["D"].n if "D" in by else 0)
-        if "D" in by and done < WORTH * docs:
-            most = by["D"].most
-            # halves of the longest, then the tail as a whole
-            state = _open(scratch, state, by["D"].n, 0 if most <= capacity // 16 else most // 2, capacity)
-            placed.append(state.where("tag = 'P'").select(F.col("id").alias("_uid"), F.col("seq").alias("sequence_id"), F.col("at").alias("offset")))
-            by = {r.tag: r for r in told(state)}
-        by.pop("P", None)
-    where = placed[0]
-    for p in placed[1:]:
-        where = where.unionByName(p)
-    return items.join(where, "_uid").drop("_uid")
+        between = intervals(counts)
+        if sum(hi - lo + 1 for _, lo, hi, _, _ in between) >= WORTH * left:
+            new = _matched(swept, between, capacity)
+        else:
+            from_ = bisect.bisect_left(steps, most // 2 + 1)  # the first class of pieces longer than half the longest
+            from_ = -1 if most <= capacity * SHORT or from_ == len(steps) else from_
+            total, base = 0, []
+            for pid in sorted(counts, reverse=True):
+                base.append((pid, total))
+                total += sum(size for k, size in sums.get(pid, ()) if k > from_)
+            new = _opened(swept, base, steps[from_] - 1 if from_ >= 0 else 0, capacity)
+        filled = swept.where("tag = 'U'").select(F.lit("G").alias("tag"), "id", "seq", "size", "at")
+        new = new.unionByName(filled).where((F.col("tag") != "G") | (F.col("size") >= least))  # smaller gaps are of no more use
+        state = scratch.put(new.coalesce(_parts(n)))
+        states.append(state)
+        n = left + sum(g for g, _ in counts.values())
+    paths = [s._scratch_path for s in states[1:]]
+    where = states[0].where("tag = 'P'")
+    if paths:
+        where = where.unionByName(spark.read.schema(STATE).parquet(*paths).where("tag = 'P'"))
+    placed = where.select(F.col("id").alias(uid), F.col("seq").alias("sequence_id"), F.col("at").alias("offset"))
+    return items.join(placed, uid).drop(uid)
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = VOCAB, capacity: int = CAPACITY) -> DataFrame:
