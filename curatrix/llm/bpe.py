@@ -1,10 +1,10 @@
 """BPE encoding and decoding through a minimal acyclic transducer lexicon.
 
-Frequent words, with the ids they encode to, are compiled into a minimal automaton whose arcs carry
+The most frequent words of all rows, with the ids they encode to, are compiled into a minimal automaton whose arcs carry
 numbers; the numbers along a word's path add up to its place in the table of ids. Workers map the
 automaton's bytes into memory and walk it for many words at once. Words outside it are merged exactly,
-also many at once. Both ways give the ids that the merge list gives, so which words are frequent
-(they come from a bounded sample) decides speed only.
+also many at once. Both ways give the ids that the merge list gives, so which words are frequent decides speed only.
+A worker remembers the words it has met, by a hash; the characters of each word are compared with those remembered, so words of equal hash are told apart.
 
 Texts: null and empty texts have no tokens. Very long texts are handled piece by piece of a whole text,
 never cut; the ids of a text do not depend on other rows, so ties and repeated rows are all kept.
@@ -20,8 +20,9 @@ import re
 import sys
 import tempfile
 import unicodedata
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from .common import ship
 from .u64map import U64Map
 
 VOCAB = "word_bpe_49k.json"
-#: Rows whose words may enter the lexicon, and words in it at most.
-SAMPLE_ROWS, LEXICON_WORDS = 2000, 12000
-#: Characters of text handled at once, and words a worker remembers before it starts afresh.
-CHUNK_CHARS, REMEMBERED = 1 << 19, 400_000
+#: Words in the lexicon at most, and characters of the longest.
+LEXICON_WORDS, LEXICON_CHARS = 12000, 32
+#: Characters of text handled at once, and words a worker remembers before it starts afresh, in encoding and in counting.
+CHUNK_CHARS, REMEMBERED, COUNTED = 1 << 19, 400_000, 100_000
 INF = np.int32(2**31 - 1)
 # Unicode's White_Space characters.
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -55,8 +56,8 @@ _tables: list = []
 
 
 def classes() -> tuple[np.ndarray, dict[int, str]]:
-    """For every code point: 0 white space, 1 letter, 2 number, 3 other, 4 more if Python's tables are older than the
-    tokenizers library's there; and the lower case that the library has for those."""
+    """For every code point: 0 white space, 1 letter, 2 number, 3 other; 4 more if Python's tables are older than the
+    tokenizers library's there, 8 more if it may take part in composition; and the lower case that the library has where Python's are older."""
     if not _tables:
         import regex
         from tokenizers import Regex, normalizers, pre_tokenizers
@@ -74,6 +75,12 @@ def classes() -> tuple[np.ndarray, dict[int, str]]:
             table[c] = 0
         for c in lower:
             table[c] |= 4
+        jamo = {*range(0x1100, 0x1200), *range(0xA960, 0xA980), *range(0xD7B0, 0xD800)}
+        for c, k in enumerate(kinds):
+            if c >= 0x300 and (k[0] == "M" or c in jamo or unicodedata.normalize("NFC", chr(c)) != chr(c)):
+                table[c] |= 8
+        for c in newer:
+            table[ord(c)] |= 8
         _tables.extend((table, lower))
     return tuple(_tables)
 
@@ -173,21 +180,62 @@ class Lexicon:
 # ---------------------------------------------------------------- encoding
 
 
+@dataclass
+class Words:
+    """The words of some texts, which stand in lower case in one string."""
+
+    whole: str
+    code: np.ndarray  # its code points
+    begin: np.ndarray  # where words begin and end in it
+    end: np.ndarray
+    last: np.ndarray  # how many words come before each text's end
+    hashed: np.ndarray  # 64 bits of each word
+    kind: np.ndarray  # of each word's first character
+    letters: np.ndarray  # the code points of all words, one after the other
+    table: np.ndarray
+
+    def some(self, keep: np.ndarray) -> Words:
+        """Only these words, by a mask; texts keep their order."""
+        cut = np.r_[0, np.cumsum(keep)]
+        at = np.repeat(keep, self.end - self.begin)
+        return Words(self.whole, self.code, self.begin[keep], self.end[keep], cut[self.last], self.hashed[keep], self.kind[keep], self.letters[at], self.table)
+
+    def text(self, some: np.ndarray) -> list[str]:
+        return [self.whole[i:j] for i, j in zip(self.begin[some].tolist(), self.end[some].tolist())]
+
+
 class Splitter:
     """Splits texts into the words that are encoded one by one."""
 
     def __init__(self):
         self.table, self.lower = classes()
 
-    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The texts in lower case in one string, where words begin and end in it, how many words come before each text's end, words' 64-bit hashes, and the class of their first character."""
-        texts = [t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ") for t in texts]
-        texts = [t.lower() for t in texts]  # one by one and without sigma: context never counts
+    def composed(self, texts: list[str]) -> list[str]:
+        """Texts in normal form C, as the library has it. It is asked where a character may compose; other texts are in that form."""
+        wide = [k for k, t in enumerate(texts) if not t.isascii()]
+        if not wide:
+            return texts
+        out = list(texts)
+        code = np.frombuffer("".join([texts[k] for k in wide]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.flatnonzero(self.table[code] & 8)
+        if len(at):
+            from tokenizers import normalizers
+
+            ends = np.cumsum([len(texts[k]) for k in wide])
+            for k in np.unique(np.searchsorted(ends, at, "right")).tolist():
+                out[wide[k]] = normalizers.NFC().normalize_str(texts[wide[k]])
+        for k in wide:
+            out[k] = out[k].replace("Σ", "σ")  # lower-casing goes without sigma's context
+        return out
+
+    def words(self, texts: list[str]) -> Words:
+        texts = [t.lower() for t in self.composed(texts)]
         whole = "\n".join([*texts, ""])
         code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = self.table[code]
-        if self.lower and (kind > 3).any():
+        if self.lower and (kind & 4).any():
             return self.words([t.translate(self.lower) for t in texts])
+        kind &= 3
         begins = np.empty(len(code), bool)
         begins[0] = True
         begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
@@ -205,7 +253,74 @@ class Splitter:
         np.cumsum((code + np.uint64(0x51ED27)) * power[: len(code)], out=sums[1:])
         hashed = (sums[ends] - sums[at]) * inverse[at] + (ends - at).astype(np.uint64)
         hashed ^= hashed >> np.uint64(29)
-        return whole, at, ends, last, hashed * np.uint64(0xBF58476D1CE4E5B9), first
+        return Words(whole, code, at, ends, last, hashed * np.uint64(0xBF58476D1CE4E5B9), first, code[kind != 0], self.table)
+
+
+class Known:
+    """Words that were met, numbered. A hash finds a word's number and its characters prove it; words whose hash another word has are found by their text."""
+
+    def __init__(self):
+        self.by_hash = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=1 << 12)
+        self.twins: dict[str, int] = {}
+        self.n, self.used = 0, 0
+        self.begin, self.size, self.chars = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int32), np.zeros(1 << 12, np.uint32)
+
+    def find(self, w: Words) -> np.ndarray:
+        """The words' numbers, -1 for new ones."""
+        place = self.by_hash.get(w.hashed)
+        if not self.n or not len(place):
+            return place
+        size = w.end - w.begin
+        at = np.cumsum(size, dtype=np.int64) - size
+        row = np.maximum(place, 0)
+        own = np.repeat(self.begin[row] - at, size)
+        own += np.arange(len(own))
+        np.minimum(own, self.used - 1, out=own)
+        wrong = self.size[row] != size
+        if len(differ := np.flatnonzero(self.chars[own] != w.letters)):
+            wrong[np.searchsorted(at, differ, "right") - 1] = True
+        for k in np.flatnonzero(wrong & (place >= 0)).tolist():
+            place[k] = self.twins.get(w.whole[w.begin[k] : w.end[k]], -1)
+        return place
+
+    def add(self, w: Words, missing: np.ndarray) -> list[str]:
+        """Numbers the distinct ones of some words that were not found, and returns those that got a number now. Words of equal hash may need another turn."""
+        hashes, first = np.unique(w.hashed[missing], return_index=True)
+        first = missing[first]
+        there = self.by_hash.get(hashes) >= 0
+        fresh = first[~there]
+        twins = {}
+        if there.any():
+            for k in missing[np.isin(w.hashed[missing], hashes[there])].tolist():
+                twins.setdefault(w.whole[w.begin[k] : w.end[k]], k)
+        new = np.r_[fresh, np.fromiter(twins.values(), np.int64, len(twins))]
+        rows = np.arange(self.n, self.n + len(new))
+        size = w.end[new] - w.begin[new]
+        while rows[-1] >= len(self.begin):
+            self.begin, self.size = (np.r_[x, np.zeros_like(x)] for x in (self.begin, self.size))
+        while self.used + size.sum() > len(self.chars):
+            self.chars = np.r_[self.chars, np.zeros_like(self.chars)]
+        ends = np.cumsum(size)
+        self.begin[rows], self.size[rows] = self.used + ends - size, size
+        self.chars[self.used : self.used + int(ends[-1])] = w.code[np.repeat(w.begin[new] - ends + size, size) + np.arange(int(ends[-1]))]
+        self.by_hash.add(w.hashed[fresh], rows[: len(fresh)].astype(np.int32))
+        self.twins.update(zip(twins, rows[len(fresh) :].tolist()))
+        self.n, self.used = self.n + len(new), self.used + int(ends[-1])
+        return w.text(new)
+
+
+def numbered(w: Words, known: Known, learn: Callable[[list[str]], None], place: np.ndarray | None = None) -> np.ndarray:
+    """Every word's number; `learn` gets the words that are new, in the order of their numbers."""
+    place = known.find(w) if place is None else place
+    while len(missing := np.flatnonzero(place < 0)):
+        learn(known.add(w, missing))
+        if len(missing) * 2 > len(place):
+            place = known.find(w)
+        else:
+            keep = np.zeros(len(place), bool)
+            keep[missing] = True
+            place[missing] = known.find(w.some(keep))
+    return place
 
 
 class Encoder(Splitter):
@@ -234,7 +349,7 @@ class Encoder(Splitter):
 
     def forget(self) -> None:
         """Begins the tables of known words anew."""
-        self.known = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=1 << 12)
+        self.known = Known()
         self.flat, self.used = np.zeros(1 << 12, np.int32), 0
         self.start, self.size, self.n = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), 0
 
@@ -253,25 +368,20 @@ class Encoder(Splitter):
         return np.concatenate([np.array([self.special[w]], np.int32) if k % 2 else self._encode([w])[0] for k, w in enumerate(parts)])
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole, at, ends, last, hashed, _ = self.words(texts)
-        if not len(at):
+        w = self.words(texts)
+        if not len(w.begin):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        place = self.known.get(hashed)
-        if len(missing := np.flatnonzero(place < 0)):
-            new, first = np.unique(hashed[missing], return_index=True)
-            first = missing[first]
-            if self.n and self.n + len(new) > REMEMBERED:
-                self.forget()
-                new, first = np.unique(hashed, return_index=True)
-                missing = slice(None)
-            self._learn(new, [whole[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist())])
-            place[missing] = self.known.get(hashed[missing])
+        place = self.known.find(w)
+        if self.n and self.n + np.count_nonzero(place < 0) > REMEMBERED:
+            self.forget()
+            place[:] = -1
+        place = numbered(w, self.known, self._learn, place)
         sizes = self.size[place]
         stop = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.start[place] - stop + sizes, sizes) + np.arange(stop[-1])]
-        return ids, np.r_[0, stop][last]
+        return ids, np.r_[0, stop][w.last]
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Puts new words' ids into the tables."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         length = np.array([len(b) for b in raw])
@@ -296,9 +406,8 @@ class Encoder(Splitter):
         while self.used + len(flat) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         self.flat[self.used : self.used + len(flat)] = flat
-        rows = np.arange(self.n, self.n + len(words))
+        rows = self.n + order
         self.start[rows], self.size[rows] = self.used + np.cumsum(size) - size, size
-        self.known.add(hashes[order], rows)
         self.used, self.n = self.used + len(flat), self.n + len(words)
 
     def _ids(self, raw: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -446,24 +555,40 @@ def encoded(enc: Encoder, texts: list[str | None]) -> Iterator[np.ndarray]:
 # ---------------------------------------------------------------- DataFrames
 
 
-def build_lexicon(df: DataFrame, text: str = "text", vocab: str = VOCAB, rows: int = SAMPLE_ROWS, words: int = LEXICON_WORDS) -> bytes:
-    """A lexicon of at most `words` words that occur twice or more in a sample of at most `rows` rows."""
+def count_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of all words of all rows: counted inside tasks, then added up. Lengths don't matter; null texts have no words."""
     ship(df.sparkSession)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, splitter = Counter(), Splitter()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, known, words, n = Splitter(), Known(), [], np.zeros(0, np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(n[: len(words)], pa.int64())], ["word", "n"])
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in chunks(texts):
-                whole, at, ends, *_ = splitter.words(texts[a:b])
-                seen.update(whole[i:j] for i, j in zip(at.tolist(), ends.tolist()))
-        kept = [(w, n) for w, n in seen.items() if n > 1 and w.isprintable() and len(w) <= 32]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
-
-    sample = df.select(F.col(text).alias("text")).limit(rows).mapInArrow(count, "word string, n long")
-    top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
-    ids = encoded(Encoder(vocab), [r.word for r in top])  # tables grow with their words
-    return compile_lexicon({r.word.encode(): x.tolist() for r, x in zip(top, ids)})
+                place = numbered(w, known, words.extend) if len((w := splitter.words(texts[a:b])).begin) else np.zeros(0, np.int64)
+                counted = np.bincount(place, minlength=known.n)
+                counted[: len(n)] += n
+                n = counted
+                if known.n > COUNTED:
+                    yield out()
+                    known, words, n = Known(), [], np.zeros(0, np.int64)
+        yield out()
+
+    return df.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def build_lexicon(df: DataFrame, text: str = "text", vocab: str = VOCAB, words: int = LEXICON_WORDS) -> bytes:
+    """A lexicon of the `words` most frequent words of all rows, of those that occur twice or more. It is compiled in a task; the driver gets its packed bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = [w for b in batches for w in b.column(0).to_pylist()]
+        ids = encoded(Encoder(vocab), [w.decode() for w in top])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(compile_lexicon({w: x.tolist() for w, x in zip(top, ids)}))], pa.binary())], ["block"])
+
+    short = F.expr(f"try_validate_utf8(cast(word as string)) is not null and octet_length(word) <= {LEXICON_CHARS}")
+    top = count_words(df, text).where((F.col("n") > 1) & short).orderBy(F.desc("n"), "word").limit(words)
+    made = top.select("word").coalesce(1).mapInArrow(run, "block binary").first()
+    return zlib.decompress(made.block) if made else compile_lexicon({})
 
 
 def encode(df: DataFrame, text: str = "text", vocab: str = VOCAB, out: str = "ids", lexicon: bytes | None = None) -> DataFrame:

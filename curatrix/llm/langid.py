@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import VOCAB, Splitter, byte_chars, chunks, vocab_path
+from .bpe import VOCAB, Known, Splitter, Words, byte_chars, chunks, numbered, vocab_path
 from .common import Scratch, partitions, ship
 from .u64map import U64Map
 
@@ -331,42 +331,37 @@ class Scorer(Splitter):
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.n = U64Map(np.zeros(0, np.uint64), np.zeros(0, np.int32), room=1 << 12), 0
+        self.known = Known()
         self.rows = np.zeros((REMEMBERED // 8, len(self.langs)), np.float32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        while self.n + len(words) > len(self.rows):
+    def _learn(self, words: list[str]) -> None:
+        while self.known.n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        rows = np.arange(self.n, self.n + len(words))
-        self.rows[rows] = word_scores(self.v, self.p, [w.encode("utf-8", "surrogatepass") for w in words])
-        self.known.add(hashes, rows)
-        self.n += len(words)
-
-    def letters(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The texts in lower case in one string, where runs of letters begin and end, how many each text has, and their hashes."""
-        whole, at, ends, last, hashed, kind = self.words([t or "" for t in texts])
-        letter = kind == 1
-        counts = np.diff(np.r_[0, np.r_[0, np.cumsum(letter)][last]])
-        return whole, at[letter], ends[letter], counts, hashed[letter]
+        self.rows[self.known.n - len(words) : self.known.n] = word_scores(self.v, self.p, [w.encode("utf-8", "surrogatepass") for w in words])
+
+    def letters(self, texts: list[str | None]) -> tuple[Words, np.ndarray]:
+        """The texts' words that have a letter, and how many each text has. An ending with its apostrophe is such a word."""
+        w = self.words([t or "" for t in texts])
+        letter = w.kind == 1
+        for k in np.flatnonzero(w.code[w.begin] == 39).tolist():
+            letter[k] = w.end[k] - w.begin[k] > 1 and self.table[w.code[w.begin[k] + 1]] & 3 == 1
+        w = w.some(letter)
+        return w, np.diff(np.r_[0, w.last])
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Each text's language and score."""
         names, scores = [], []
         for a, b in chunks(texts):
-            whole, at, ends, counts, hashed = self.letters(texts[a:b])
-            if not self.langs or not len(at):
+            w, counts = self.letters(texts[a:b])
+            if not self.langs or not len(w.begin):
                 names += ["und"] * (b - a)
                 scores += [0.0] * (b - a)
                 continue
-            place = self.known.get(hashed)
-            if len(missing := np.flatnonzero(place < 0)):
-                if self.n + len(missing) > REMEMBERED and self.n:
-                    self.forget()
-                    missing = np.arange(len(hashed))
-                new, first = np.unique(hashed[missing], return_index=True)
-                first = missing[first]
-                self._learn(new, [whole[i:j] for i, j in zip(at[first].tolist(), ends[first].tolist())])
-                place[missing] = self.known.get(hashed[missing])
+            place = self.known.find(w)
+            if self.known.n and self.known.n + np.count_nonzero(place < 0) > REMEMBERED:
+                self.forget()
+                place[:] = -1
+            place = numbered(w, self.known, self._learn, place)
             sums = np.zeros((len(place) + 1, len(self.langs)))
             np.cumsum(self.rows[place], 0, dtype=float, out=sums[1:])
             stop = np.cumsum(counts)
@@ -402,10 +397,10 @@ def train(df: DataFrame, text: str, lang: str, key: str, vocab: str = VOCAB, row
         scorer = Scorer(vocab, [], np.zeros((1, 0)))
         for b in batches:
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                whole, at, ends, *_ = scorer.letters([t])
-                seen.setdefault(g, Counter()).update(whole[i:j] for i, j in zip(at.tolist(), ends.tolist()))
+                w, _ = scorer.letters([t])
+                seen.setdefault(g, Counter()).update(w.text(np.arange(len(w.begin))))
         for g, c in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number[g]] * len(c), pa.int32()), pa.array([w.encode() for w in c], pa.binary()), pa.array(c.values(), pa.int64())], ["g", "w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([number[g]] * len(c), pa.int32()), pa.array([w.encode("utf-8", "surrogatepass") for w in c], pa.binary()), pa.array(c.values(), pa.int64())], ["g", "w", "n"])
 
     counted = chosen.select(F.col(lang).alias("g"), F.col(text).alias("t")).mapInArrow(count, "g int, w binary, n long")
     words = scratch.put(counted.repartition(partitions(spark), "g", "w").groupBy("g", "w").agg(F.sum("n").alias("n")))

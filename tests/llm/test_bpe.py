@@ -107,3 +107,46 @@ def test_dataframes(spark):
 @pytest.mark.parametrize("n", [1, 200_000])
 def test_long_words(n):
     assert own(["é" * n]) == [library("é" * n)]
+
+
+def thue_morse(n):
+    """A word and its complement, which collide under any polynomial modulo 2**64 from 1,024 letters on."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+def test_words_of_equal_hash(n):
+    a, b = thue_morse(n)
+    w = OWN.words([a, b])
+    assert n < 1024 or w.hashed[0] == w.hashed[1]
+    texts = [f"{a} x {b}", b, a, f"x {b} {a} {b}"]
+    assert own(texts, enc := bpe.Encoder(bpe.VOCAB)) == [library(t) for t in texts]
+    assert own(texts[::-1], enc) == [library(t) for t in texts[::-1]]
+
+
+def test_combining_marks():
+    rng = random.Random(4)
+    marks = [chr(c) for c in [*range(0x300, 0x370), *range(0x483, 0x488), *range(0x591, 0x5BE), *range(0x64B, 0x660), 0x9BE, 0x9C7, 0xCC2, 0x1161, 0x11A8, 0x1100, 0xFB1D, 0x212B, 0x1D15E]]
+    texts = ["".join(rng.choice("aeoÅåΩ가ㄱ") + "".join(rng.choices(marks, k=rng.randrange(5))) for _ in range(30)) for _ in range(3000)]
+    assert own(texts) == [library(t) for t in texts]
+
+
+def test_lexicon_counts_all_rows(spark):
+    """Words beyond any prefix of the table are counted, in all partitions."""
+    rows = [("common " * 3,)] * 50 + [(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}",) for i in range(300)] + [("late late late late",)] * 40 + [(None,), ("힣́ x",)]
+    df = spark.createDataFrame(rows, "text string").repartition(7)
+    counted = {bytes(r.word).decode(): r.n for r in bpe.count_words(df).collect()}
+    assert counted["common"] == 150 and counted["late"] == 160 and counted["waa"] == 1
+    lex = bpe.Lexicon(bpe.build_lexicon(df, words=2))
+    chars = np.array([b"late", b"common", b"waa"], "S16").view(np.uint8).reshape(3, 16)
+    assert (lex.find(chars, np.array([4, 6, 3])) >= 0).tolist() == [True, True, False]
+    assert bpe.Lexicon(bpe.build_lexicon(df.limit(0))).n == 0
+
+
+def test_counting_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "COUNTED", 3)
+    df = spark.createDataFrame([("a b c d e a b",), ("a x y z",)] * 5, "text string")
+    assert {bytes(r.word).decode(): r.n for r in bpe.count_words(df).collect()} == {"a": 15, "b": 10, "c": 5, "d": 5, "e": 5, "x": 5, "y": 5, "z": 5}
