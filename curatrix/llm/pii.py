@@ -6,32 +6,35 @@ get equal pseudonyms in every document (under one key), also when separators or
 
 kind | validated by | permuted
 card | 13 to 19 digits, Luhn sum | all digits but the last, which is set anew so that the sum holds
-account | 13 to 19 digits with another sum | all digits
 iban | mod 97 | everything after the check digits, which are set anew
 ssn | area, group and serial in range | all digits
-phone | 10 to 15 digits in a phone's punctuation | all digits but a country code
+phone | 10 to 15 digits in a phone's punctuation, or after a plus | all digits but a country code
 ip | four octets | the octets
 date | a day of the years 1800 to 2199 | the day among those 146,097 days
-mac, key, token, password | their forms | letters and digits
+mac, key, token | their forms | letters and digits
+password | a digit in the value after its label | letters and digits
 email | its form | all but the last domain label
 
 Null texts stay null; empty and clean texts are unchanged, and so are numbers that no kind validates.
-Rows are independent: ties, repeats and very long texts need nothing more. Other columns are kept; one named like
-the counting column is replaced.
+Rows are independent: ties, repeats and very long texts need nothing more. Other columns are kept, whatever their names; one named like
+the counting column is replaced. The key must be given. It enters the plan as a scalar subquery over a local table, so no plan, log or event shows it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-KEY = "change-me"
+#: The setting that holds the key; Spark redacts settings with "secret" in their names.
+SETTING = "spark.curatrix.pii.secret"
+# Country codes of one and two digits in international phone numbers; all others have three.
+COUNTRY = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
 #: Days in 400 years are 189 * 773: the two halves of the network for dates.
 EPOCH, HALVES = "1800-01-01", (189, 773)
 
 _HEX = r"(?<![\p{L}\p{N}_])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{16,64}(?![\p{L}\p{N}_])"
-_SECRET = r"(?<![\p{L}\p{N}_])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:\s?[=:]\s?)[\"']?[^\s\"'!#$%&*]{6,}"
+_SECRET = r"(?<![\p{L}\p{N}_])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:\s?[=:]\s?)[\"']?(?=[^\s\"'!#$%&*0-9]*[0-9])[^\s\"'!#$%&*]{6,}"
 #: Candidates, in order of precedence at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -85,7 +88,7 @@ def _shift(c: str, b: str, hexa: bool) -> str:
 
 
 def permuted(s: str, tag: str, key: str, hexa: bool = False) -> str:
-    """SQL for the keyed permutation of string s, character class by character class. Hexadecimal strings keep one case."""
+    """SQL for the keyed permutation of string s, character class by character class; key is SQL too. Hexadecimal strings keep one case."""
     if hexa:
         return f"transform(array(named_struct('s', {s})), w -> if(w.s rlike '[A-F]', upper({_network('lower(w.s)', tag, key, True)}), {_network('w.s', tag, key, True)}))[0]"
     return _network(s, tag, key, False)
@@ -93,7 +96,7 @@ def permuted(s: str, tag: str, key: str, hexa: bool = False) -> str:
 
 def _network(s: str, tag: str, key: str, hexa: bool) -> str:
     half = f"(length({s}) div 2)"
-    seed = f"sha2(concat({_quote(key + '|' + tag + '|')}, k, '|', length({s}), '|', lower(acc.r)), 256)"
+    seed = f"sha2(concat({key}, {_quote('|' + tag + '|')}, k, '|', length({s}), '|', lower(acc.r)), 256)"
     one = _shift("substring(x.l, i, 1)", _byte("x.h", "i"), hexa)
     added = f"transform(array(named_struct('l', acc.l, 'h', {seed})), x -> if(length(x.l) = 0, '', array_join(transform(sequence(1, greatest(1, length(x.l))), i -> {one}), '')))[0]"
     return (
@@ -140,7 +143,7 @@ def _iban(x: str, key: str) -> str:
 
 def _ip(x: str, key: str) -> str:
     o = f"transform(split({x}, '[.]'), q -> cast(q as int))"
-    seed = f"sha2(concat({_quote(key + '|ip|')}, k, '|', acc[2], '.', acc[3]), 256)"
+    seed = f"sha2(concat({key}, '|ip|', k, '|', acc[2], '.', acc[3]), 256)"
     step = f"transform(array({seed}), h -> array(acc[2], acc[3], pmod(acc[0] + {_byte('h', '1')}, 256), pmod(acc[1] + {_byte('h', '2')}, 256)))[0]"
     return f"aggregate(sequence(1, {ROUNDS}), {o}, (acc, k) -> {step}, acc -> array_join(transform(acc, q -> cast(q as string)), '.'))"
 
@@ -159,7 +162,7 @@ def _in_range(d: str) -> str:
 
 def _date(x: str, key: str) -> str:
     a, b = HALVES
-    f = lambda v, n: f"cast(conv(substring(sha2(concat({_quote(key + '|date|')}, k, '|', {n}, '|', {v}), 256), 1, 12), 16, 10) as bigint)"
+    f = lambda v, n: f"cast(conv(substring(sha2(concat({key}, '|date|', k, '|', {n}, '|', {v}), 256), 1, 12), 16, 10) as bigint)"
     right = f"pmod(acc.r + {f('acc.l', 0)}, {b})"
     step = f"transform(array({right}), r -> named_struct('l', pmod(acc.l + {f('r', 1)}, {a}), 'r', r))[0]"
     n = f"datediff(y.d, date'{EPOCH}')"
@@ -177,9 +180,9 @@ def _hexish(x: str) -> str:
 
 
 def pseudonym(x: str, key: str) -> str:
-    """SQL for the pseudonym of one candidate."""
+    """SQL for the pseudonym of one candidate, under SQL for the key."""
     d = _digits(x)
-    country = f"if({x} rlike '^[+]', {_digits(f'''regexp_extract({x}, '^[+][0-9]+', 0)''')}, '')"
+    country = f"if({x} rlike '^[+]', regexp_extract({d}, '^({COUNTRY}|[0-9][0-9][0-9])', 1), '')"
     phone = f"concat({country}, {permuted(f'substring({d}, length({country}) + 1)', 'phone', key)})"
     head = f"regexp_extract({x}, {_quote('^(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:[ \\t\\n]?[=:][ \\t\\n]?)[\"\\x27]?')}, 0)"
     value = f"substring({x}, length({head}) + 1)"
@@ -199,21 +202,33 @@ def pseudonym(x: str, key: str) -> str:
  when {_matches(x, 'ip')} then {_ip(x, key)}
  when {_matches(x, 'date')} then {_date(x, key)}
  when {_matches(x, 'ssn')} and {ssn} then {_placed(x, permuted(d, 'ssn', key))}
- when {x} rlike '^[0-9][0-9 -]+$' and length({d}) between 13 and 19 then if({luhn(d)} = 0, {_luhn_card(x, key)}, {_placed(x, permuted(d, 'account', key))})
- when length({d}) between 10 and 15 and {x} rlike '^[+(0-9][0-9 .()-]+$' then {_placed(x, phone)}
+ when {x} rlike '^[0-9][0-9 -]+$' and length({d}) between 13 and 19 then if({luhn(d)} = 0, {_luhn_card(x, key)}, {x})
+ when length({d}) between 10 and 15 and {x} rlike '^([+(]|[0-9]+[ .-])[0-9 .()-]+$' then {_placed(x, phone)}
  else {x} end"""
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, count: str | None = "n_replaced") -> DataFrame:
-    """df with pseudonyms in its text column, and with the number of values that were replaced unless count is None."""
+def key_of(spark: SparkSession, default: str | None = None) -> str:
+    """The key in the session's setting, or the default."""
+    key = spark.conf.get(SETTING, None) or default
+    if not key:
+        raise ValueError(f"{SETTING} is not set")
+    return key
+
+
+def pseudonymise(df: DataFrame, text: str = "text", key: str | None = None, count: str | None = "n_replaced") -> DataFrame:
+    """df with pseudonyms in its text column, and with the number of values that were replaced unless count is None. No key: the setting's."""
+    spark = df.sparkSession
+    given = spark.createDataFrame([(key or key_of(spark),)], "key string")
     t = F.col(f"`{text}`")
-    pattern = F.lit(PATTERN)
-    found = F.when(t.rlike(ANY), F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    made = df.withColumn("_found", found).withColumn("_new", F.expr(f"transform(_found, m -> {pseudonym('m', key)})"))
+    free = lambda name: next(n for n in (name + "_" * k for k in range(len(df.columns) + 1)) if n not in df.columns)
+    found, new, held = map(free, ("_found", "_new", "_key"))
+    values = F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    made = df.withColumns({found: values, held: given.scalar()})
+    made = made.withColumn(new, F.expr(f"transform({found}, m -> {pseudonym('m', held)})"))
     parts = F.split(t, PATTERN, -1)
-    whole: Column = F.array_join(F.flatten(F.zip_with(parts, "_new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    made = made.withColumn(text, F.when(F.size("_found") > 0, whole).otherwise(t))
+    whole: Column = F.array_join(F.flatten(F.zip_with(parts, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    made = made.withColumn(text, F.when(F.size(found) > 0, whole).otherwise(t))
     if count:
-        differ = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+        differ = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
         made = made.withColumn(count, F.coalesce(differ, F.lit(0)).cast("long"))
-    return made.drop("_found", "_new")
+    return made.drop(found, new, held)

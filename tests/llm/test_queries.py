@@ -173,7 +173,7 @@ def test_pipeline(spark, tables):
 
 
 def test_native(spark, tables):
-    plan = pii.pseudonymise(spark.read.parquet(f"{tables[1]}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(spark.read.parquet(f"{tables[1]}/documents.parquet"), key="k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
