@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
@@ -19,14 +18,13 @@ BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on Python workers that don't have it on their path already, and keeps Arrow batches small."""
+    """Makes this package importable on the Python workers of a cluster, and keeps this session's Arrow batches small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
     app = spark.sparkContext.applicationId
-    if ROOT in on_path or Path.cwd() == ROOT or app in _shipped or not ROOT.is_dir():
+    if _local(spark) or app in _shipped or not ROOT.is_dir():
         return
-    target = Path(tempfile.mkdtemp()) / "curatrix.zip"
+    target = Path(tempfile.mkdtemp()) / "curatrix.zip"  # Spark hands it to the executors
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted((ROOT / "curatrix").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
@@ -34,10 +32,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (local runs and tests)."""
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and all runs in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not _local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="curatrix-")
         shared_dir.own = path
         path = f"file://{path}"

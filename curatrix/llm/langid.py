@@ -49,8 +49,8 @@ class Vocabulary:
     reach: int
 
 
-def vocabulary(vocab: str, longest: int | None = LONGEST) -> Vocabulary:
-    """The pieces of up to `longest` bytes, or all. Scores and training use all."""
+def vocabulary(vocab: str) -> Vocabulary:
+    """All pieces."""
     with open(vocab_path(vocab), encoding="utf-8") as f:
         model = json.load(f)["model"]
     suffix, byte = model["end_of_word_suffix"], {c: b for b, c in enumerate(byte_chars())}
@@ -60,7 +60,7 @@ def vocabulary(vocab: str, longest: int | None = LONGEST) -> Vocabulary:
     for token in sorted(model["vocab"], key=model["vocab"].get):
         closes = token.endswith(suffix)
         raw = bytes(byte[c] for c in (token[: -len(suffix)] if closes else token))
-        if not raw or longest and len(raw) > longest or 0 in raw or raw[:8] == b"\xff" * 8:
+        if not raw or 0 in raw or raw[:8] == b"\xff" * 8:  # words of letters have no such bytes
             continue
         if len(raw) > LONGEST:
             head = int.from_bytes(raw[:LONGEST], "little")
@@ -79,7 +79,7 @@ def vocabulary(vocab: str, longest: int | None = LONGEST) -> Vocabulary:
 
 @functools.cache
 def _whole(vocab: str) -> Vocabulary:
-    return vocabulary(vocab, None)
+    return vocabulary(vocab)
 
 
 def _longer(v: Vocabulary, word: bytes, at: int, head: int) -> Iterator[tuple[int, int]]:

@@ -295,13 +295,15 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     Rows with a null key stay unless a row with a key is in their group."""
     found = near_duplicates(df, key, text, k, percent).where("kept")
+    free = lambda name: next(n for n in (name + "_" * k for k in range(len(df.columns) + 1)) if n not in df.columns)
+    it, its, null = map(free, ("_key", "_hash", "_null"))
     alone = F.when(F.col(key).isNull() | F.col("group").isNull(), F.col("text_hash")).alias("_alone")
-    found = found.groupBy(F.col(key).alias("_key"), "group", alone).agg(F.min("text_hash").alias("_hash")).select("_key", "_hash")
+    found = found.groupBy(F.col(key).alias(it), "group", alone).agg(F.min("text_hash").alias(its)).select(it, its)
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    kept = df.join(found, F.col(key).eqNullSafe(F.col("_key")) & (hashed == F.col("_hash")), "left_semi")
+    kept = df.join(found, F.col(key).eqNullSafe(F.col(it)) & (hashed == F.col(its)), "left_semi")
     if not _repeated(df, key):
         return kept
-    once = kept.where(F.col(key).isNotNull()).withColumns({"_hash": hashed, "_null": F.col(text).isNull()}).dropDuplicates([key, "_hash", "_null"]).drop("_hash", "_null")
+    once = kept.where(F.col(key).isNotNull()).withColumns({its: hashed, null: F.col(text).isNull()}).dropDuplicates([key, its, null]).drop(its, null)
     return once.unionByName(kept.where(F.col(key).isNull()))
 
 

@@ -18,18 +18,28 @@ def model(langs=2, seed=0):
     return p / p.sum(0)
 
 
-def all_segmentations(word, p):
-    """The sum over all segmentations, by recursion over the first piece."""
+def file_pieces():
+    """The pieces of the vocabulary file itself, by bytes and whether they end a word."""
+    with open(langid.vocab_path(langid.VOCAB), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, byte = model["end_of_word_suffix"], {c: b for b, c in enumerate(langid.byte_chars())}
+    tokens = [t for t in sorted(model["vocab"], key=model["vocab"].get)]
+    pieces = [(bytes(byte[c] for c in t.removesuffix(suffix)), t.endswith(suffix)) for t in tokens]
+    return {piece: k for k, piece in enumerate(x for x in pieces if x[0] and 0 not in x[0])}
+
+
+PIECES = file_pieces()
 
-    def piece(a, b):
-        key = np.array([int.from_bytes(word[a:b], "little")], np.uint64)
-        return p[int((V.closing if b == len(word) else V.inner).get(key)[0])]
+
+def all_segmentations(word, p):
+    """The sum over all segmentations into pieces of the vocabulary file, by recursion over the first piece."""
 
     @functools.cache
     def total(a):
         if a == len(word):
             return (1.0,) * p.shape[1]
-        return tuple(sum(piece(a, b) * np.array(total(b)) for b in range(a + 1, min(len(word), a + langid.LONGEST) + 1)))
+        found = ((b, PIECES.get((word[a:b], b == len(word)))) for b in range(a + 1, len(word) + 1))
+        return tuple(sum((p[k] * np.array(total(b)) for b, k in found if k is not None), np.zeros(p.shape[1])))
 
     return np.log(np.array(total(0)))
 
@@ -49,18 +59,8 @@ def test_long_words_scale():
     assert np.isfinite(langid.word_scores(V, p, [b"ab" * 20000])).all()
 
 
-def file_pieces():
-    """The pieces of the vocabulary file itself, by bytes and whether they end a word."""
-    with open(langid.vocab_path(langid.VOCAB), encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    suffix, byte = model["end_of_word_suffix"], {c: b for b, c in enumerate(langid.byte_chars())}
-    tokens = [t for t in sorted(model["vocab"], key=model["vocab"].get)]
-    pieces = [(bytes(byte[c] for c in t.removesuffix(suffix)), t.endswith(suffix)) for t in tokens]
-    return {piece: k for k, piece in enumerate(x for x in pieces if x[0] and 0 not in x[0])}
-
-
 def test_pieces_of_all_lengths():
-    v, pieces = langid.vocabulary(langid.VOCAB, None), file_pieces()
+    v, pieces = langid.vocabulary(langid.VOCAB), file_pieces()
     assert v.size == len(pieces) and v.reach == max(len(raw) for raw, _ in pieces)
     p = np.random.default_rng(3).random((v.size + 1, 2))
     p[v.size] = 0
@@ -90,8 +90,8 @@ def test_all_words_of_the_rows_count(spark):
     langs, p = langid.train(df, "text", "lang", "doc_id")
     counts = {"aa": {w.encode(): 2 for w in large}, "zz": {b"zyxw": 1, ("漢字仮名" * 10).encode(): 1}}
     assert langs == ["aa", "zz"]
-    assert np.allclose(p, langid.fit(langid.vocabulary(langid.VOCAB, None), counts)[1], rtol=1e-6, atol=1e-12)
-    assert p[:, 1].max() > 100 / langid.vocabulary(langid.VOCAB, None).size
+    assert np.allclose(p, langid.fit(langid.vocabulary(langid.VOCAB), counts)[1], rtol=1e-6, atol=1e-12)
+    assert p[:, 1].max() > 100 / langid.vocabulary(langid.VOCAB).size
 
 
 def test_training_raises_likelihood():
@@ -127,3 +127,19 @@ def test_held_out_accuracy(spark):
     told = op4_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("held_out")
     r = told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.count("*").alias("n")).first()
     assert r.n > 20 and r.right > 0.97
+
+
+def test_letters_after_an_apostrophe():
+    """Endings that are split off with their apostrophe have letters."""
+    scorer = langid.Scorer(langid.VOCAB, ["a", "b"], model())
+    assert [n != "und" for n in scorer.score(["'s", "'re", "'", "' '", "12'", "it's"])[0]] == [True, True, False, False, False, True]
+
+
+def test_words_of_equal_hash_are_scored_apart():
+    w = "a"
+    while len(w) < 1024:
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    scorer = langid.Scorer(langid.VOCAB, ["a", "b"], model())
+    scorer.score([w, other])
+    assert scorer.known.n == 2 and not np.allclose(scorer.rows[0], scorer.rows[1])

@@ -77,8 +77,10 @@ def test_keep_unlike_rows(spark):
     """Unlike texts stay under null keys and under one key, also if another key repeats; of alike texts under one key one stays."""
     like = " ".join(f"w{i}" for i in range(60))
     rows = [(None, "a b c d e f"), (None, "q r s t u v"), (None, None), (3, "other text"), (3, "other text"), (5, "one two three four five six"), (5, "le pont reste ouvert la nuit"), (8, like), (8, like + " more"), (None, like)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect()]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _key int, _hash int")
+    made = minhash.drop_near_duplicates(df)
+    assert made.columns == df.columns
+    got = [(r.doc_id, r.text) for r in made.collect()]
     assert len([t for i, t in got if i == 8]) == 1
     assert sorted((g for g in got if g[0] != 8), key=repr) == sorted(rows[:4] + rows[5:7], key=repr)
 
