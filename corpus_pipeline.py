@@ -1,7 +1,9 @@
 """A corpus pipeline: language identification, near-duplicate removal, pseudonyms, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
-documents. Empty inputs give empty outputs; columns beyond those of documents pass through.
+documents. Empty inputs give empty outputs; columns beyond those of documents pass through all but the last. Null and empty texts have no language and
+go in the first stage. Rows that repeat a doc_id and text become one in the second, also for ties; unlike texts stay, also under one doc_id or a
+null one. A null lang, source or doc_id keeps no row out. Very long texts are worked on whole; the last stage cuts their tokens in pieces of a sequence's length.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from curatrix.llm import langid, minhash, packing, pii
 from curatrix.llm.common import Scratch, read
+from curatrix.llm.queries import SAMPLE_KEY
 
 #: Documents whose language has a smaller score are rejected, and those without a letter.
 LEAST_SCORE = 0.5
@@ -30,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data; n_chars follows the text."""
-    made = pii.pseudonymise(docs, "text", count=None)
+    """Replaces personal data under the session's key (pii.SETTING), or one for invented tables; n_chars follows the text."""
+    made = pii.pseudonymise(docs, "text", pii.key_of(spark, SAMPLE_KEY), count=None)
     return made.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -55,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.put(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.put(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
