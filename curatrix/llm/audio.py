@@ -4,8 +4,8 @@ A clip is stored as 8-bit mono WAV and read back. Its samples are resampled by a
 log-mel energies, which are stored as one fixed-shape tensor for every CHUNK frames (the last is padded with zeros), with each
 tensor's time span. Frame energies give active segments: one begins above the upper threshold and ends below the lower.
 
-Each clip is computed by itself in blocks of fixed length, so equal texts give equal values on any worker, and very long ones need
-little memory. Null and empty texts are a clip of 64 zero bytes. Ties, repeats and further columns don't matter; columns named like the results are replaced.
+Each clip is computed by itself in blocks of fixed length, so equal texts give equal values, and very long ones need
+little memory. Log-mel values are stored as multiples of 1/STEPS, computed in long floats, so the last bits of sums on another processor hardly ever change them. Null and empty texts are a clip of 64 zero bytes. Ties, repeats and further columns don't matter; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ FRAME, HOP, FFT, MELS, CHUNK = 200, 80, 256, 24, 64
 #: Decibels above the clip's mean energy at which a segment begins, and below which it ends.
 UPPER, LOWER = 1.5, -1.5
 BLOCK = 4096
+#: Steps that a log-mel value of 1 is stored in.
+STEPS = 4096
 
 
 def payload_of(text: str | None) -> bytes:
@@ -66,7 +68,7 @@ def phases(up: int, down: int, taps: int = 8) -> np.ndarray:
     n = np.arange(-taps * wide, taps * wide)
     h = np.sinc(n / wide) * np.hanning(len(n) + 2)[1:-1] * up / wide
     h = np.concatenate([h, np.zeros(-len(h) % up)])
-    return np.stack([h[p::up] for p in range(up)]).astype(np.float32)
+    return np.stack([h[p::up] for p in range(up)])
 
 
 def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
@@ -78,8 +80,8 @@ def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     h = phases(up, down)
     width = h.shape[1]
     n = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(width // 2, np.float32), x, np.zeros(width // 2 + 1, np.float32)])
-    out = np.empty(n, np.float32)
+    padded = np.concatenate([np.zeros(width // 2), x, np.zeros(width // 2 + 1)])
+    out = np.empty(n)
     view = np.lib.stride_tricks.sliding_window_view(padded, width)
     for p in range(min(up, n)):
         at = (np.arange(p, n, up) * down) // up
@@ -97,7 +99,7 @@ def mel_bank(rate: int, fft: int, mels: int) -> np.ndarray:
     bins = np.arange(fft // 2 + 1) * rate / fft
     rise = (bins[:, None] - edges[:-2]) / (edges[1:-1] - edges[:-2])
     fall = (edges[2:] - bins[:, None]) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+    return np.maximum(0, np.minimum(rise, fall))
 
 
 @dataclass
@@ -117,20 +119,20 @@ def hysteresis(level: np.ndarray, upper: float, lower: float) -> list[tuple[int,
 
 
 def features(samples: bytes, rate: int = RATE, target: int = TARGET) -> Features:
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    x = (np.frombuffer(samples, np.uint8).astype(float) - 128) / 128
     y = resample(x, rate, target)
     frames = 1 + max(0, -(-(len(y) - FRAME) // HOP))
-    y = np.concatenate([y, np.zeros((frames - 1) * HOP + FRAME - len(y), np.float32)])
+    y = np.concatenate([y, np.zeros((frames - 1) * HOP + FRAME - len(y))])
     view = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
-    window, bank = np.hanning(FRAME).astype(np.float32), mel_bank(target, FFT, MELS)
-    mel, energy = np.empty((frames, MELS), np.float32), np.empty(frames, np.float32)
+    window, bank = np.hanning(FRAME), mel_bank(target, FFT, MELS)
+    mel, energy = np.empty((frames, MELS), np.float32), np.empty(frames)
     for k in range(0, frames, BLOCK):
         part = view[k : k + BLOCK] * window
         energy[k : k + BLOCK] = np.einsum("ij,ij->i", part, part)
         spectrum = np.fft.rfft(part, FFT)
         power = spectrum.real**2 + spectrum.imag**2
-        mel[k : k + BLOCK] = np.log(power.astype(np.float32) @ bank + 1e-6)
-    level = 10 * np.log10(energy.astype(float) + 1e-9)
+        mel[k : k + BLOCK] = np.rint(np.log(power @ bank + 1e-6) * STEPS) / STEPS
+    level = np.rint(10 * np.log10(energy + 1e-9) * STEPS) / STEPS
     runs = hysteresis(level - level.mean(), UPPER, LOWER)
     n = -(-frames // CHUNK)
     tensors = np.zeros((n * CHUNK, MELS), np.float32)

@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import VOCAB, encoded, encoder
@@ -92,9 +92,8 @@ def _summed(scratch: Scratch, rows: DataFrame) -> DataFrame:
     ranged = rows.repartitionByRange(partitions(scratch.spark), *order[:3], F.xxhash64("formatted")).sortWithinPartitions(*order[:3], F.xxhash64("formatted"), "formatted")
     local = scratch.put(ranged.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", pid int, nth long, begin long"))
     totals = local.groupBy("conv", "pid").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
-    a, b = totals.alias("a"), totals.alias("b")
-    before = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("b.pid") < F.col("a.pid")))  # a row for each partition of a conversation
-    before = before.groupBy(F.col("a.conv").alias("c"), F.col("a.pid").alias("p")).agg(F.sum("b.n").alias("n0"), F.sum("b.t").alias("t0"))
+    earlier = Window.partitionBy("conv").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition that a conversation is in
+    before = totals.select(F.col("conv").alias("c"), F.col("pid").alias("p"), F.sum("n").over(earlier).alias("n0"), F.sum("t").over(earlier).alias("t0")).where("n0 is not null")
     out = local.join(before, F.col("conv").eqNullSafe(F.col("c")) & (F.col("pid") == F.col("p")), "left")
     return out.withColumn("nth", F.col("nth") + F.coalesce("n0", F.lit(0))).withColumn("begin", F.col("begin") + F.coalesce("t0", F.lit(0))).drop("c", "p", "n0", "t0", "pid")
 
@@ -104,7 +103,9 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     spans of code points of its targets' texts. Windows of a conversation are numbered upwards, with holes."""
     scratch = Scratch(df.sparkSession, "chat")
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(text).alias("text"))
-    turns = scratch.put(_summed(scratch, _written(rows, vocab)))
+    written = scratch.put(_written(rows, vocab))  # else the sampling of ranges tokenises all turns once more
+    turns = scratch.put(_summed(scratch, written))
+    scratch.drop(written)
     # places are worked out on narrow rows; texts move once they are known
     narrow = turns.select("conv", "nth", "begin", "tokens")
     system = turns.where("nth = 0 and role = 'system'").select(F.col("conv").alias("c"), F.col("tokens").alias("sys"))

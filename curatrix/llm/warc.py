@@ -1,31 +1,36 @@
 """WARC records, and resolution of not-modified revisits.
 
-A revisit of a server-not-modified profile has headers but no payload. It is joined as of its time to the latest earlier full response with the
-same canonical URL; if the validators that both carry agree (ETag, Last-Modified, payload digest), it gets that response's payload,
+A revisit of a server-not-modified profile has headers but no payload. It is joined as of its time to the latest earlier full response (status 200) with the
+same canonical URL; if they share a validator (ETag, Last-Modified, payload digest) and all that both carry agree, it gets that response's payload,
 and that response's headers, updated by those that a 304 may change.
 
 The as-of join goes over time buckets: inside a bucket by a window, from bucket to bucket by each bucket's last response. A URL with very
 many captures is so spread over tasks. Captures of equal time are ordered by record id, and a response counts as earlier than a revisit of its time only if its
-record id is smaller. Revisits without a URL, a time or an earlier response are unresolved, as are those whose validators differ; they keep
-their own headers and have a null payload. Repeated revisits are separate rows; of responses with one record id, one has the payload. Null headers count as none; empty tables give no rows; further
+record id is smaller. Revisits without a URL, a time or an earlier response are unresolved, as are those whose validators differ or that share none, and
+those of another profile or status; they keep their own headers and have a null payload. Repeated revisits are separate rows; of responses with one record id, one gives the payload. Null headers count as none; empty tables give no rows; further
 columns of captures are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Scratch, ship
 
 # Headers that a not-modified response may update, those that describe the payload as it is stored, and the profile's name.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary", "age", "server")
+VALIDATORS = ("etag", "last-modified", "warc-payload-digest")
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Seconds of a time bucket.
 BUCKET = 4096
+#: First bytes of a compressed part, and bytes of payloads handed on at once.
+GZIP, HELD = b"\x1f\x8b", 1 << 24
 CAPTURE = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, payload binary"
 
 
@@ -52,6 +57,32 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The parts of a file that are compressed one by one, or the whole of a plain one. A broken or cut-off part gives the bytes before the fault, and reading
+    goes on at the next part."""
+    at = 0 if data[:2] == GZIP else -1
+    if at < 0:
+        yield data
+    while 0 <= at < len(data):
+        inflate, out = zlib.decompressobj(31), []
+        try:
+            for k in range(at, len(data), 1 << 16):
+                out.append(inflate.decompress(data[k : k + (1 << 16)]))
+                if inflate.eof:
+                    break
+            at = k + len(data[k : k + (1 << 16)]) - len(inflate.unused_data) if inflate.eof else len(data)
+        except zlib.error:
+            at = data.find(GZIP + b"\x08", at + 1)
+        yield b"".join(out)
+        if 0 <= at < len(data) and data[at : at + 2] != GZIP:
+            at = data.find(GZIP + b"\x08", at)
+
+
+def profile(header: str | None) -> str:
+    """Which kind of revisit a WARC-Profile names."""
+    return "revisit" if header is None or header.rsplit("/", 1)[-1] == NOT_MODIFIED.rsplit("/", 1)[-1] else "revisit of another profile"
+
+
 def http_message(body: bytes) -> tuple[int | None, dict[str, str], bytes]:
     """Status, headers with lower-case names, and payload of an HTTP message."""
     head, _, payload = body.partition(b"\r\n\r\n")
@@ -61,18 +92,19 @@ def http_message(body: bytes) -> tuple[int | None, dict[str, str], bytes]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The captures in WARC files (plain, or compressed with gzip)."""
+    """The captures in WARC files (plain, or compressed with gzip), one part of a file in memory unpacked at a time. record_id: 63 bits of a digest of the
+    record's id, or else of its file's path and its place there. Empty files have no captures, repeated records are separate rows; unreadable times are null."""
     ship(spark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
         from datetime import datetime, timezone
-        from zlib import crc32
 
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary())
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], [x.split()[0] for x in CAPTURE.split(", ")])
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = []
-                for n, (head, body) in enumerate(read_records(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)):
+                rows, held = [], 0
+                for n, (head, body) in enumerate(r for part in members(content) for r in read_records(part)):
                     kind = head.get("warc-type")
                     if kind not in ("response", "revisit"):
                         continue
@@ -81,10 +113,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         ts = int(datetime.fromisoformat(head.get("warc-date", "").replace("Z", "+00:00")).replace(tzinfo=timezone.utc).timestamp())
                     except ValueError:
                         ts = None
-                    rows.append((crc32(name.encode()) << 30 | n, head.get("warc-target-uri"), ts, kind, status, list(headers.items()), payload if kind == "response" else None))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary())
-                cols = zip(*rows) if rows else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], [x.split()[0] for x in CAPTURE.split(", ")])
+                    own = hashlib.blake2b((head.get("warc-record-id") or f"{name} {n}").encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                    headers |= {k: head[k] for k in ("warc-payload-digest",) if k in head}
+                    whole = kind == "response"
+                    rows.append((int.from_bytes(own, "big") >> 1, head.get("warc-target-uri"), ts, kind if whole else profile(head.get("warc-profile")), status, list(headers.items()), payload if whole else None))
+                    held += len(payload)
+                    if held > HELD:
+                        yield made(rows)
+                        rows, held = [], 0
+                yield made(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CAPTURE)
 
@@ -110,30 +147,39 @@ def _agree(a: str, b: str) -> Column:
 def resolve(captures: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Revisits of captures (record_id, url, ts, kind, status, headers, payload): record_id, url, ts, refers_to, outcome, headers, payload.
 
-    outcome: resolved, validators differ, or no earlier response."""
+    outcome: resolved, validators differ, no shared validator, no earlier response, or another profile."""
     names = F.transform_keys(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: F.lower(k))
-    all_ = captures.select("record_id", "url", "ts", "kind", names.alias("headers"), canonical_url(F.col("url")).alias("canon"))
-    all_ = all_.withColumn("b", F.floor(F.col("ts") / bucket)).withColumn("full", F.when(F.col("kind") == "response", F.struct("ts", "record_id", "headers")))
+    all_ = captures.select("record_id", "url", "ts", "kind", "status", names.alias("headers"), canonical_url(F.col("url")).alias("canon"))
+    all_ = all_.withColumn("b", F.floor(F.col("ts") / bucket)).withColumn("full", F.when((F.col("kind") == "response") & (F.col("status") == 200), F.struct("ts", "record_id", "headers")))
     usable = all_.where(F.col("canon").isNotNull() & F.col("ts").isNotNull())
     inside = Window.partitionBy("canon", "b").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = usable.withColumn("near", F.last("full", True).over(inside)).where("kind = 'revisit'")
+    near = usable.withColumn("near", F.last("full", True).over(inside)).where("kind like 'revisit%'")
     closing = usable.where("full is not null").groupBy("canon", "b").agg(F.max_by("full", F.struct("ts", "record_id")).alias("end"))
     wanted = near.where("near is null").select("canon", "b").distinct().withColumn("end", F.lit(None).cast(closing.schema["end"].dataType))
     steps = closing.unionByName(wanted).groupBy("canon", "b").agg(F.first("end", True).alias("end"))
     before = Window.partitionBy("canon").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     carried = steps.withColumn("far", F.last("end", True).over(before)).select("canon", "b", "far")
     found = near.join(carried, ["canon", "b"], "left").withColumn("hit", F.coalesce("near", "far")).drop("near", "far", "canon", "b", "full")
-    lost = all_.where((F.col("kind") == "revisit") & (F.col("canon").isNull() | F.col("ts").isNull())).withColumn("hit", F.lit(None).cast(found.schema["hit"].dataType))
+    lost = all_.where(F.col("kind").startswith("revisit") & (F.col("canon").isNull() | F.col("ts").isNull())).withColumn("hit", F.lit(None).cast(found.schema["hit"].dataType))
     found = found.unionByName(lost.select(*found.columns))
     h = lambda c, name: F.element_at(c, F.lit(name))
-    for n in ("etag", "last-modified", "warc-payload-digest"):
+    for n in VALIDATORS:
         found = found.withColumn(f"own {n}", h(F.col("headers"), n)).withColumn(f"its {n}", h(F.col("hit.headers"), n))
-    agree = _agree("own etag", "its etag") & _agree("own last-modified", "its last-modified") & _agree("own warc-payload-digest", "its warc-payload-digest")
-    outcome = F.when(F.col("hit").isNull(), "no earlier response").when(agree, "resolved").otherwise("validators differ")
+    a, b, c = (_agree(f"own {n}", f"its {n}") for n in VALIDATORS)
+    agree = a & b & c
+    shared = [F.col(f"own {n}").isNotNull() & F.col(f"its {n}").isNotNull() for n in VALIDATORS]
+    other = (F.col("kind") != "revisit") | (F.coalesce("status", F.lit(304)) != 304)
+    outcome = F.when(other, "another profile").when(F.col("hit").isNull(), "no earlier response").when(~agree, "validators differ").when(shared[0] | shared[1] | shared[2], "resolved").otherwise("no shared validator")
     found = found.withColumn("outcome", outcome)
     update = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     rest = F.map_filter("hit.headers", lambda k, v: ~F.map_contains_key(F.col("update"), k))
     found = found.withColumn("update", update).withColumn("merged", F.when(F.col("outcome") == "resolved", F.map_concat(rest, "update")).otherwise(F.col("headers")))
     found = found.select("record_id", "url", "ts", F.when(F.col("outcome") == "resolved", F.col("hit.record_id")).alias("refers_to"), "outcome", F.col("merged").alias("headers"))
-    payloads = captures.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), "payload").dropDuplicates(["refers_to"])
-    return found.join(payloads, "refers_to", "left").select("record_id", "url", "ts", "refers_to", "outcome", "headers", "payload")
+    # only resolved revisits take part in the join with payloads, so no key is null; one of very many revisits is dealt anew when it is skewed
+    found = Scratch(captures.sparkSession, "warc").put(found)
+    payloads = captures.where("kind = 'response' and status = 200").select(F.col("record_id").alias("refers_to"), "payload")
+    if not payloads.groupBy("refers_to").count().where("count > 1").isEmpty():
+        payloads = payloads.dropDuplicates(["refers_to"])
+    out = ["record_id", "url", "ts", "refers_to", "outcome", "headers", "payload"]
+    rest = found.where("outcome <> 'resolved'").withColumn("payload", F.lit(None).cast("binary"))
+    return found.where("outcome = 'resolved'").join(payloads, "refers_to").select(out).unionByName(rest.select(out))

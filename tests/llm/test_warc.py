@@ -47,18 +47,24 @@ def test_read_files(spark, tmp_path):
 
 def brute(rows):
     out = []
-    for i, url, ts, kind, headers, _ in rows:
-        if kind != "revisit":
+    for i, url, ts, kind, headers, _, status in rows:
+        if kind == "response":
             continue
-        before = [r for r in rows if r[3] == "response" and url is not None and ts is not None and r[1] == url and r[2] is not None and (r[2], r[0]) < (ts, i)]
+        if kind != "revisit" or status not in (304, None):
+            out.append((i, None, "another profile", {k.lower(): v for k, v in (headers or {}).items()}, None))
+            continue
+        before = [r for r in rows if r[3] == "response" and r[6] == 200 and url is not None and ts is not None and r[1] == url and r[2] is not None and (r[2], r[0]) < (ts, i)]
         hit = max(before, key=lambda r: (r[2], r[0]), default=None)
         own = {k.lower(): v for k, v in (headers or {}).items()}
         if hit is None:
             out.append((i, None, "no earlier response", own, None))
             continue
         its = {k.lower(): v for k, v in (hit[4] or {}).items()}
-        if any(k in own and k in its and own[k] != its[k] for k in ("etag", "last-modified", "warc-payload-digest")):
+        both = [k for k in ("etag", "last-modified", "warc-payload-digest") if k in own and k in its]
+        if any(own[k] != its[k] for k in both):
             out.append((i, None, "validators differ", own, None))
+        elif not both:
+            out.append((i, None, "no shared validator", own, None))
         else:
             out.append((i, hit[0], "resolved", its | {k: v for k, v in own.items() if k in warc.PERMITTED}, hit[5]))
     return sorted(out, key=lambda x: x[0])
@@ -69,16 +75,36 @@ def test_equals_brute_force(spark, bucket):
     rng = random.Random(bucket)
     rows = []
     for i in range(500):
-        kind = rng.choice(("response", "revisit", "revisit"))
+        kind = rng.choice(("response", "response", "revisit", "revisit", "revisit", "revisit of another profile"))
+        status = rng.choice((200, 200, 200, 206, 404, None)) if kind == "response" else rng.choice((304, 304, 304, None, 200))
         headers = {k: rng.choice("ab") for k in rng.sample(["ETag", "Last-Modified", "Content-Type", "Date", "X"], rng.randrange(5))}
         if rng.random() < 0.05:
             headers = None
         url = rng.choice(["x/a"] * 6 + ["x/b", "x/c", None])
-        rows.append((i, url, rng.choice([None, *range(0, 90)]), kind, headers, f"p{i}".encode() if kind == "response" else None))
-    df = spark.createDataFrame([(i, u, t, k, 200, h, p, 1) for i, u, t, k, h, p in rows], warc.CAPTURE + ", b int")
+        rows.append((i, url, rng.choice([None, *range(0, 90)]), kind, headers, f"p{i}".encode() if kind == "response" else None, status))
+    df = spark.createDataFrame([(i, u, t, k, s, h, p, 1) for i, u, t, k, h, p, s in rows], warc.CAPTURE + ", b int")
     got = [(r.record_id, r.refers_to, r.outcome, r.headers, None if r.payload is None else bytes(r.payload)) for r in warc.resolve(df, bucket).orderBy("record_id").collect()]
     assert got == brute(rows)
 
 
 def test_empty(spark):
     assert warc.resolve(spark.createDataFrame([], warc.CAPTURE)).count() == 0
+
+
+def test_broken_parts(spark, tmp_path):
+    """Parts that are cut off or damaged don't stop the others."""
+    head = lambda n: {"WARC-Target-URI": f"http://x/{n}", "WARC-Date": "2020-01-01T00:00:00Z", "WARC-Record-ID": f"<urn:{n}>"}
+    full = lambda n: gzip.compress(warc.write_record("response", head(n), b"HTTP/1.1 200 OK\r\n\r\n" + bytes(random.Random(n).randrange(256) for _ in range(500))))
+    damaged = bytearray(full(2))
+    damaged[40:60] = bytes(20)
+    (tmp_path / "a.warc.gz").write_bytes(full(1) + bytes(damaged) + full(3) + full(4)[:-300])
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    (tmp_path / "c.warc.gz").write_bytes(b"\x1f\x8bnot gzip")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert {"http://x/1", "http://x/3"} <= {r.url for r in rows} and len({r.record_id for r in rows}) == len(rows)
+
+
+def test_repeated_record_ids(spark):
+    rows = [(7, "x", 1, "response", 200, {"etag": "a"}, b"p"), (7, "x", 1, "response", 200, {"etag": "a"}, b"p"), (8, "x", 2, "revisit", 304, {"etag": "a"}, None), (8, "x", 2, "revisit", 304, {"etag": "a"}, None)]
+    got = warc.resolve(spark.createDataFrame(rows, warc.CAPTURE)).collect()
+    assert [(r.record_id, r.refers_to, bytes(r.payload)) for r in got] == [(8, 7, b"p")] * 2
