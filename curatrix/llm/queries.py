@@ -110,9 +110,27 @@ QUERIES: dict[str, Query] = {
     "op10_audio": op10_audio,
 }
 
-#: The others have none: training, merging of token pairs, packing, tag trees, keyed networks and transforms aren't SQL; near duplicates
-#: over all pairs are too slow in SQL on whole tables. tests/llm compare them with brute force.
+#: The others have none: training, merging of token pairs, packing, tag trees, keyed networks and transforms aren't SQL. tests/llm compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op8_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) < 2 THEN words ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingles FROM w
+), x AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), e AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT u, v FROM e UNION ALL SELECT v, u FROM e
+), r AS (
+  SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT b.v, r.c FROM r JOIN both_ways b ON b.u = r.id
+), c AS (
+  SELECT id, min(c) AS component_id FROM r GROUP BY id
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id
+""",
     "op6_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
