@@ -21,7 +21,7 @@ from .common import Scratch
 
 SCALE, K = 256, 5
 #: Candidates and queries of a block; places that a walk first goes down in every list.
-CANDIDATES, QUERIES, STEP = 8192, 512, 8
+CANDIDATES, QUERIES, STEP = 8192, 4096, 8
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
