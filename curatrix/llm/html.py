@@ -1,8 +1,9 @@
 """Main-text extraction: the maximum-scoring run of a page's blocks.
 
 A page is a sequence of words and tags. Words score positive and tags negative, by log odds learned from labelled pages:
-how often a word or tag of that kind lies in the main text, against how often it lies outside. One linear scan over the blocks
-finds the contiguous run with the highest score. The run then grows to all blocks of the
+how often a word or tag of that kind lies in the main text, against how often it lies outside. A word's kind is where it stands: in what element, in a
+long or short block, in a link, before or after the first heading, in a notice of rights, and where names put it, if the page names its parts. One linear scan over the blocks
+finds the contiguous run with the highest score; where none is above zero, that is the whole page. The run then grows to all blocks of the
 smallest element that holds it, if that is less than the page's body, and parts that are marked as something else
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out.
 
@@ -93,6 +94,7 @@ class Block:
     linked: int = 0
     words: int = 0
     tags: list[str] = field(default_factory=list)
+    place: str = "without"  # a first or second heading on the page; before it, or after
 
 
 def tags(page: str) -> list[Tag]:
@@ -246,51 +248,81 @@ def blocks(page: str) -> list[Block]:
         say(page[last:])
     if now.words:
         out.append(now)
+    if (first := next((k for k, b in enumerate(out) if b.node.name in ("h1", "h2")), None)) is not None:
+        for k, b in enumerate(out):
+            b.place = "before" if k < first else "after"
     return out
 
 
+#: Kinds of elements that hold words, and words from which on a block is long.
+HOLDERS = {"p": "p", "blockquote": "p", "li": "li", "dt": "li", "dd": "li", "td": "cell", "th": "cell", "pre": "pre", **{f"h{n}": "h" for n in range(1, 7)}}
+LONG = 15
+#: How a notice of rights begins.
+NOTICE = re.compile(r"\s*(?:©|&copy;|&#169;|&#xa9;|\(c\)\s|copyright\b)", re.I)
+
+
 def features(b: Block) -> Counter[str]:
-    """How many words and tags of each kind a block has."""
+    """How many words and tags of each kind a block has: words by where names put them, by the element and length of their block (or as a notice of rights),
+    by whether they are links, and by whether they come before the page's first heading; tags by their name."""
     where = "skip" if b.node.skip else "main" if b.node.main else "page"
-    out = Counter({f"word {where}": b.words - b.linked, f"linked word {where}": b.linked})
+    shape = "notice" if NOTICE.match("".join(b.text)) else f"{HOLDERS.get(b.node.name, 'div')} {'long' if b.words >= LONG else 'short'}"
+    out = Counter({f"word {where}": b.words - b.linked, f"linked word {where}": b.linked, f"in {shape}": b.words - b.linked, f"linked in {shape}": b.linked, f"at {b.place}": b.words})
     for t in b.tags:
         out[f"tag {t}" if t.lstrip("/") in KNOWN_TAGS else "tag other"] += 1
-    return out
+    return +out
 
 
 KNOWN_TAGS = frozenset("p div section article main header footer nav aside ul ol li table tr td form h1 h2 h3 h4 blockquote pre body html".split())
 
 
 def labelled_pages() -> Iterator[tuple[str, str]]:
-    """Small pages of common layouts, with the main text of each: blocks between the marks of each template."""
-    prose = ["The council agreed on the new bridge after two long evenings of talks.", "Work begins in spring, and the old crossing stays open until it is done.", "Residents had asked for a wider path for some years.", "It will cost less than the first plan, said the mayor.", "Trains run as usual."]
+    """Small pages of common layouts, with the main text of each: blocks between the marks of each template. Half of the layouts name nothing."""
+    prose = [
+        "The council agreed on the new bridge after two long evenings of talks, and the mayor thanked all who had come.",
+        "Work begins in spring, and the old crossing stays open until it is done, with one lane for cars and one for bicycles.",
+        "Residents had asked for a wider path for some years.",
+        "It will cost less than the first plan, said the mayor, because the old piers can carry the new deck for many years.",
+        "Trains run as usual.",
+    ]
     shells = [
         ("<html><head><title>{h}</title></head><body><nav><ul>{menu}</ul></nav><article><h1>{h}</h1>", "</article><footer><p>Copyright 2020 All rights</p></footer></body></html>"),
         ("<html><body><div><a href=/>Home</a> <a href=/a>News</a> <a href=/b>Contact us</a></div><div><h1>{h}</h1>", "</div><div><ul>{menu}</ul></div><div>Terms of use</div></body></html>"),
         ("<body><table><tr><td><ul>{menu}</ul></td><td><h2>{h}</h2>", "</td></tr></table><p><a href=/c>Back</a></p></body>"),
         ("<body><header><a href=/>Site</a></header><main><h1>{h}</h1>", "</main><aside><h3>More</h3><ul>{menu}</ul></aside><form>Sign up <input></form><footer>Imprint</footer></body>"),
         ("<body><ul>{menu}</ul><div id=content><h1>{h}</h1>", "</div><div class=comments><p>Nice one, thanks for the article</p><p>I don't agree</p></div><div>{menu}</div></body>"),
+        ("<body><div><ul>{menu}</ul></div><div>{ad}</div><div><h1>{h}</h1>", "</div><div>{foot}</div></body>"),
+        ("<body><ul>{menu}</ul><div>{ad}</div><div><div>{ad}</div></div><div><h1>{h}</h1>", "</div><div>{foot}</div><div>{ad}</div></body>"),
+        ("<body><div><a href=/>Home</a> <a href=/x>Plans</a></div><div>{ad} <a href=/y>More</a></div><div><h2>{h}</h2>", "</div><div>{ad}</div><div><a href=/t>Terms</a> {foot}</div></body>"),
     ]
     for n, (before, after) in enumerate(shells * 3):
         menu = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(4 + n % 5))
         paragraphs = prose[: 2 + n % 4]
-        wrap = ["<p>{}</p>", "<p>{}", "<div>{}</div>"][n % 3]
-        fill = {"h": "A bridge for the town", "menu": menu}
+        wrap = ["<p>{}</p>", "<p>{}", "<div>{}</div>"][n // len(shells)]
+        fill = {"h": "A bridge for the town", "menu": menu, "ad": "Order the new bicycle now and save.", "foot": "Copyright 2020 The Bridge Courier, all rights reserved."}
         yield before.format(**fill) + "".join(wrap.format(p) for p in paragraphs) + after.format(**fill), "\n".join(["A bridge for the town", *paragraphs])
 
 
+#: Groups of kinds; odds are taken inside each.
+GROUPS = ("word", "linked word", "in", "linked in", "at", "tag")
+
+
+def _group(kind: str) -> str:
+    return next(g for g in sorted(GROUPS, key=len, reverse=True) if kind.startswith(g + " "))
+
+
 def learn(pages: Iterable[tuple[str, str]], smoothing: float = 0.5) -> dict[str, float]:
-    """Log odds of each kind of word and tag; words of a kind score more than -4, tags between -2 and 0."""
+    """Log odds of each kind of word and tag among words, or tags; those of words lie between -4 and 4, of tags between -2 and -0.1."""
     inside, outside = Counter(), Counter()
     for page, text in pages:
         wanted = set(text.split("\n"))
         for b in blocks(page):
             (inside if block_text(b) in wanted else outside).update(features(b))
-    total_in, total_out = sum(inside.values()), sum(outside.values())
+    total = {(g, side): sum(n for k, n in c.items() if _group(k).split()[-1] == g.split()[-1]) for g in GROUPS for side, c in (("in", inside), ("out", outside))}
     out = {}
     for kind in {*inside, *outside}:
-        odds = math.log((inside[kind] + smoothing) / (total_in + 1)) - math.log((outside[kind] + smoothing) / (total_out + 1))
-        out[kind] = max(-4.0, odds) if "word" in kind else min(-0.1, max(-2.0, odds))
+        g = _group(kind)
+        odds = math.log((inside[kind] + smoothing) / (total[g, "in"] + 1)) - math.log((outside[kind] + smoothing) / (total[g, "out"] + 1))
+        out[kind] = min(-0.1, max(-2.0, odds)) if g == "tag" else max(-4.0, min(4.0, odds))
     return out
 
 
@@ -333,6 +365,8 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     found = blocks(page) if page else []
     scores = [sum(n * weights.get(kind, -0.5) for kind, n in features(b).items()) for b in found]
     begin, end = best_run(scores)
+    if begin == end:  # nothing scores above zero: all that nothing marks
+        begin, end = 0, len(found)
     run = [b for b in found[begin:end] if not b.node.skip]
     if any(b.node.main for b in run):
         run = [b for b in run if b.node.main]

@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import pytest
 
@@ -75,3 +76,30 @@ def test_dataframe(spark):
     rows = html.extract(df).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in rows] == [(1, PAGES[0][1], len(PAGES[0][1]))] * 2 + [(None, "", 0)]
     assert html.extract(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def tables_pages():
+    import os
+
+    import pyarrow.parquet as pq
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    return [p for p in pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist() if p]
+
+
+def test_the_scan_finds_the_article_without_names():
+    """Elements that name their part are turned into div and names are taken away: the weights, learned from other pages, still find the same text."""
+    import re
+
+    found = []
+    for page in tables_pages():
+        bare = re.sub(r"<(/?)(article|nav|aside|footer|header|main|section|form)\b", r"<\1div", page)
+        bare = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", bare)
+        want, got = html.main_text(page).split(), html.main_text(bare).split()
+        same = sum((Counter(want) & Counter(got)).values())
+        found.append(2 * same / (len(want) + len(got)) if want or got else 1)
+    assert len(found) > 20 and sum(found) / len(found) >= 0.99
+
+
+def test_a_page_that_scores_below_zero_is_not_lost():
+    assert html.main_text("<div>a</div><div>b c</div>") == "a\nb c"
