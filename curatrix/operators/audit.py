@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import distance, with_halves
 from ..functions.keys import basename, filename_key
 from ..schemas import SPLITS
-from .components import bands
+from .components import bands, blocks_for
 from .splits import split_order
 from .validate import has_value
 
@@ -69,7 +69,7 @@ def hash_overlap(frame: DataFrame, column: str = "sha256") -> DataFrame:
     return rows.join(leaking, column).select(column, "image_id", "split", "class_name", group.alias("group_id"), "relative_path")
 
 
-def phash_overlap(frame: DataFrame, thresholds=THRESHOLDS, method: str = "auto", blocks: int = 1) -> DataFrame:
+def phash_overlap(frame: DataFrame, thresholds=THRESHOLDS, method: str = "auto", blocks: int | None = None) -> DataFrame:
     """Pairs of images of different splits, of any classes, whose hashes differ in as many bits as the largest threshold at most.
 
     threshold: the smallest that holds. method and blocks: as for hash_pairs."""
@@ -83,6 +83,7 @@ def phash_overlap(frame: DataFrame, thresholds=THRESHOLDS, method: str = "auto",
         l, r = rows.select(F.struct(*rows.columns).alias("l")), rows.select(F.struct(*rows.columns).alias("r"))
         pairs = found.join(l, F.col("x") == F.col("l.image_id")).join(r, F.col("y") == F.col("r.image_id")).where((F.col("l.o") < F.col("r.o")) & near)
     else:
+        blocks = blocks or blocks_for(rows)
         grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         part = F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int")
         l, r = rows.withColumn("i", part).withColumn("j", grid).alias("l"), rows.withColumn("j", part).withColumn("i", grid).alias("r")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import distance, with_halves
 
-#: Rows of a class that meet in one block of the blocked join, about.
-BLOCK_ROWS = 4096
+#: Rows of a class that meet in one block of the blocked join, about, and edges that a task holds.
+BLOCK_ROWS, EDGES_A_TASK = 4096, 1 << 19
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,12 +24,20 @@ def cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         cut.own = base = getattr(cut, "own", None) or "file://" + tempfile.mkdtemp(prefix="curatrix-")
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def blocks_for(rows: DataFrame, *by: str) -> int:
+    """Into how many parts the largest group must be dealt, so that a part has about BLOCK_ROWS rows."""
+    most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+    return -(-(most or 1) // BLOCK_ROWS)
+
+
 def bands(rows: DataFrame, threshold: int, probes: bool, id: str, block: str | None) -> DataFrame:
     """(block, band, value, id) of each hash's four 16-bit bands; with `probes` also of all values that differ in threshold // 4 bits at most."""
     parts = [F.shiftright(F.col(h), s).bitwiseAND(0xFFFF) for h in ("hi", "lo") for s in (16, 0)]
@@ -36,12 +48,12 @@ def bands(rows: DataFrame, threshold: int, probes: bool, id: str, block: str | N
     return out.select("id", "block", F.col("b.band").alias("band"), F.explode("b.values").alias("value"))
 
 
-def hash_pairs(df: DataFrame, threshold: int, id: str = "image_id", text: str = "phash", block: str | None = "class_name", order: str | None = None, method: str = "auto", blocks: int = 1) -> DataFrame:
+def hash_pairs(df: DataFrame, threshold: int, id: str = "image_id", text: str = "phash", block: str | None = "class_name", order: str | None = None, method: str = "auto", blocks: int | None = None) -> DataFrame:
     """(block, a, b, distance) of rows of one block whose hashes differ in `threshold` bits at most; a comes before b in the order.
 
     method bands: two hashes within the threshold are within a quarter of it in one of four bands, so an equality join over the
     bands' neighbourhoods finds all of them; fit for small thresholds. method blocks: all pairs of a block, which is
-    dealt into `blocks` parts that meet two by two, so a large class is spread over tasks. auto: bands up to 11."""
+    dealt into `blocks` parts (if not given: of about BLOCK_ROWS rows) that meet two by two, so a large class is spread over tasks. auto: bands up to 11."""
     order = order or id
     named = F.col(block) if block else F.lit("all")
     rows = with_halves(df, text).select(F.col(id).alias("id"), F.col(order).alias("pos"), named.alias("block"), "hi", "lo")
@@ -55,6 +67,7 @@ def hash_pairs(df: DataFrame, threshold: int, id: str = "image_id", text: str =
         r = rows.select(F.struct("id", "pos", "block", "hi", "lo").alias("r"))
         joined = found.join(l, F.col("x") == F.col("l.id")).join(r, F.col("y") == F.col("r.id")).where(before & near)
     else:
+        blocks = blocks or blocks_for(rows, "block")
         part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
         grid = F.sequence(F.lit(0), F.lit(blocks - 1))
         # part i of the left side meets part j >= i of the right side; pairs of two parts meet once, in the order of their parts
@@ -70,38 +83,68 @@ def hash_pairs(df: DataFrame, threshold: int, id: str = "image_id", text: str =
     return out.dropDuplicates(["a", "b"]) if method != "blocks" and threshold <= 11 else out
 
 
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (u, v) as stars of their own components: (id, smallest id)."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    u, v = (c.to_numpy() for c in table.columns)
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        if not (differ := x != y).any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
+        while (root != root[root]).any():
+            root = root[root]
+    other = root != np.arange(len(ids))
+    kind = table.schema.types[0]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[other], kind), pa.array(ids[root[other]], kind)], ["u", "v"])
+
+
 def connected(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(id, root) of all ids in edges; root is the smallest id that is reachable.
 
-    Alternates two steps over the edges: hang all larger neighbours on the smallest one, then all smaller ones. Both
-    aggregate before they shuffle. The number of rounds grows with the logarithm of the longest path."""
+    Each round first replaces the edges of a task by stars, then hangs larger neighbours on the smallest one, and smaller ones. Both
+    aggregate before they shuffle. It ends when one task has had all edges, or when nothing changes."""
     u, v = F.col("u"), F.col("v")
-    now = cut(edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
-    told = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if state.n == 0 or (state.n, state.x) == told:
+    now = cut(edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")))
+    n, told = now.count(), None
+    while n:
+        parts = -(-n // EDGES_A_TASK)
+        now = cut(now.coalesce(parts).mapInArrow(_stars, now.schema))
+        if parts == 1:
             break
-        told = (state.n, state.x)
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         hung = both.where(v > u).join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v")).distinct()
         lower = hung.groupBy("u").agg(F.min("v").alias("m"))
         turned = hung.join(lower, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         now = cut(turned.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if (state.n, state.x) == told:
+            break
+        n, told = state.n, (state.n, state.x)
     return now.select(u.alias("id"), v.alias("root")).unionByName(now.select(v.alias("id"), v.alias("root")).distinct())
 
 
 def number_components(df: DataFrame, root: Column, prefix: Column, out: str, order: str, class_col: str) -> DataFrame:
-    """df with `out`: the prefix and four digits, components of a class counted by their first row in the order."""
+    """df with `out`: the prefix and four digits, components of a class counted by their first row in the order.
+
+    Components are range-sorted and counted inside partitions, so no class is one task."""
     rooted = df.withColumn("_root", root)
     first = rooted.groupBy(class_col, "_root").agg(F.min(order).alias("_first"))
-    numbered = first.withColumn("_n", F.row_number().over(Window.partitionBy(class_col).orderBy("_first")))  # a row a component
-    joined = rooted.join(numbered.drop("_first"), [class_col, "_root"])
+    placed = cut(first.orderBy(class_col, "_first").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    runs = placed.groupBy(class_col, "_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_low"))  # a row a class and partition
+    earlier = Window.partitionBy(class_col).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(class_col, "_p", "_low", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    numbered = placed.join(runs, [class_col, "_p"]).select(class_col, "_root", (F.col("_before") + F.col("_m") - F.col("_low") + 1).cast("int").alias("_n"))
+    joined = rooted.join(numbered, [class_col, "_root"])
     return joined.withColumn(out, F.concat(prefix, F.format_string("%04d", "_n"))).drop("_root", "_n")
 
 
-def phash_components(df: DataFrame, threshold: int = 10, class_col: str = "class_name", id: str = "image_id", order: str | None = None, out: str = "phash_component", blocks: int = 1) -> DataFrame:
+def phash_components(df: DataFrame, threshold: int = 10, class_col: str = "class_name", id: str = "image_id", order: str | None = None, out: str = "phash_component", blocks: int | None = None) -> DataFrame:
     """df with the near-duplicate component of each row in its class. Rows without a valid hash are alone."""
     pairs = hash_pairs(df, threshold, id, "phash", class_col, order, blocks=blocks)
     roots = connected(pairs).toDF(id, "_near")

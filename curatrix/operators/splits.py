@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,8 +38,8 @@ def component_split(df: DataFrame, component: str, class_col: str = "class_name"
 
     The three largest components of a class go to train, val and test; every next one, by falling size, goes where most rows are missing, train
     before val before test among equals. Equal sizes come in a seeded order: by SHA-256, or with parity_rng by Python's shuffle over the
-    sorted ids of class after class (the ids are then collected; there are as many as components). The fold runs over the components of a class
-    in one expression; rows only meet their component's split in a join. A class with fewer than three components is an error, and so is a row without one."""
+    sorted ids of class after class (the ids are then collected; there are as many as components). The fold runs over the distinct sizes of a class;
+    places among equal sizes are counted in parts, and rows only meet their component's split in a join. A class with fewer than three components is an error, and so is a row without one."""
     check_ratios(ratios)
     if not df.where(F.col(component).isNull()).isEmpty():
         raise ValueError(f"rows without {component}")
@@ -58,22 +59,66 @@ def component_split(df: DataFrame, component: str, class_col: str = "class_name"
         sizes = sizes.join(order, ["c", "k"])
     else:
         sizes = sizes.withColumn("o", seeded(seed, "k"))
-    listed = sizes.groupBy("c").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("down"), "o", "k", "n"))).alias("list"))
-    zero = F.lit(0).cast("int")
-    start = F.struct(zero.alias("i"), *[zero.alias(s) for s in SPLITS], F.array().cast("array<int>").alias("to"))
-
-    def step(acc: Column, x: Column) -> Column:
-        lack = [F.col("total") * r - acc[s] for s, r in zip(SPLITS, ratios)]
-        most = F.when((lack[0] >= lack[1]) & (lack[0] >= lack[2]), 0).when(lack[1] >= lack[2], 1).otherwise(2)
-        to = F.when(acc["i"] < 3, acc["i"]).otherwise(most)
-        return F.transform(F.array(to), lambda t: F.struct((acc["i"] + 1).alias("i"), *[(acc[s] + F.when(t == k, x["n"]).otherwise(0)).alias(s) for k, s in enumerate(SPLITS)], F.array_append(acc["to"], t).alias("to")))[0]
-
-    told = listed.select("c", F.explode(F.arrays_zip(F.transform("list", lambda x: x["k"]).alias("k"), F.aggregate("list", start, step, lambda a: a["to"]).alias("to"))).alias("z"))
-    told = told.select("c", F.col("z.k").alias("k"), F.element_at(F.array(*map(F.lit, SPLITS)), F.col("z.to") + 1).alias("split"))
+    # components of one size differ only in their order, so the fold runs over a class's distinct sizes
+    by_size = sizes.groupBy("c", "n").agg(F.count("*").alias("m"))
+    kind = sizes.schema["c"].dataType.simpleString()
+    folded = by_size.groupBy("c").applyInPandas(lambda pdf: fold_sizes(pdf, ratios), f"c {kind}, n int, first long, one int, two int, three int, x int, y int, skip long, a long, b long")
+    part = F.substring("o", 1, 9 if parity_rng else 3)
+    placed = sizes.withColumn("p", part)
+    counts = placed.groupBy("c", "n", "p").agg(F.count("*").alias("i"))
+    before = F.coalesce(F.sum("i").over(Window.partitionBy("c", "n").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("c", "n", "p", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("c", "n", "p").orderBy("o", "k")) - 1
+    placed = placed.withColumn("inside", inside).join(counts, ["c", "n", "p"]).join(folded, ["c", "n"])
+    j = F.col("before") + F.col("inside")
+    r = j - F.col("skip")
+    late = F.pmod(r - F.col("a") - F.col("b"), F.lit(3))
+    to = F.when(j < F.col("skip"), F.col("first") + j).when(r < F.col("a"), F.col("one"))
+    to = to.when(r < F.col("a") + F.col("b"), F.when(F.pmod(r - F.col("a"), F.lit(2)) == 0, F.col("two")).otherwise(F.col("one")))
+    to = to.otherwise(F.when(late == 0, F.col("three")).when(late == 1, F.col("x")).otherwise(F.col("y")))
+    told = placed.select("c", "k", F.element_at(F.array(*map(F.lit, SPLITS)), to.cast("int") + 1).alias("split"))
     told = told.toDF("_c", "_k", "split")
     return df.drop("split").join(told, (F.col(class_col) == F.col("_c")) & (F.col(component).cast("string") == F.col("_k"))).drop("_c", "_k")
 
 
+def fold_sizes(pdf: pd.DataFrame, ratios: tuple[float, float, float]) -> pd.DataFrame:
+    """For a class's component sizes (c, n, m: how many), by falling size, where the m components go in their order.
+
+    The first three of the class go to one split each (`skip` of this size, from `first` on). Of the rest each goes where most rows are missing. What is missing falls by n with
+    each component, so that is a merge of three falling sequences: `a` go to the split that lacks most, `b` in turn to the second and first, all others
+    in turn to the third, x and y."""
+    pdf = pdf.sort_values("n", ascending=False)
+    total, have, at, out = int((pdf.n * pdf.m).sum()), [0, 0, 0], 0, []
+    for c, n, m in zip(pdf.c, pdf.n.tolist(), pdf.m.tolist()):
+        first, skip = at, min(max(0, 3 - at), m)
+        for k in range(skip):
+            have[at + k] += n
+        at += m
+        key = lambda s, t, n=n: (have[s] + t * n - total * ratios[s], s)  # noqa: E731  smaller: more is missing
+        one, two, three = sorted(range(3), key=lambda s: key(s, 0))
+        ahead = lambda s, other: _until(lambda t: key(s, t) > key(other, 0), (key(other, 0)[0] - key(s, 0)[0]) // n)
+        a, b1, b2 = ahead(one, two), ahead(one, three), ahead(two, three)
+        b = b1 - a + b2
+        x, y = sorted((one, two), key=lambda s: key(s, b1 if s == one else b2))
+        out.append((c, n, first, one, two, three, x, y, skip, a, b))
+        rest = m - skip
+        alone, paired = min(a, rest), min(b, max(0, rest - a))
+        turns = max(0, rest - a - b)
+        for s, took in ((one, alone + paired // 2), (two, paired - paired // 2), (three, -(-turns // 3)), (x, (turns + 1) // 3), (y, turns // 3)):
+            have[s] += n * took
+    return pd.DataFrame(out, columns=["c", "n", "first", "one", "two", "three", "x", "y", "skip", "a", "b"])
+
+
+def _until(passed: Callable[[int], bool], guess: float) -> int:
+    """The first t from 0 on that has passed, near a guess."""
+    t = max(0, int(guess) - 1)
+    while t and passed(t - 1):
+        t -= 1
+    while not passed(t):
+        t += 1
+    return t
+
+
 def ranked(df: DataFrame, keys: list[str], class_col: str, seed: int) -> DataFrame:
     """df with _rank, each row's place in its class in seeded order from 1, and _total, the class's rows.
 

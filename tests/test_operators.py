@@ -1,11 +1,13 @@
 """Operators against brute force and on edge cases."""
 
+import collections
 import itertools
 import random
 import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +305,37 @@ def test_tables_and_sinks(spark, tmp_path):
     sinks.append_history(h, str(tmp_path / "h"))
     sinks.append_history(h, str(tmp_path / "h"))
     assert tables.read_history(spark, str(tmp_path / "h")).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fold_of_sizes_equals_greedy(seed):
+    """For every component, by its place among equal sizes, also with few sizes and many components."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        sizes = sorted((rng.choice((1, 1, 2, 3, 7, 20, 100)) if seed % 2 else rng.randrange(1, 12) for _ in range(rng.randrange(3, 120))), reverse=True)
+        want = greedy(list(enumerate(sizes)))
+        counts = collections.Counter(sizes)
+        folded = splits.fold_sizes(pd.DataFrame([("c", n, m) for n, m in counts.items()], columns=["c", "n", "m"]), splits.RATIOS)
+        got, at = {}, 0
+        for r in folded.itertuples():
+            for j in range(counts[r.n]):
+                t = j - r.skip
+                s = r.first + j if t < 0 else r.one if t < r.a else (r.two, r.one)[(t - r.a) % 2] if t < r.a + r.b else (r.three, r.x, r.y)[(t - r.a - r.b) % 3]
+                got[at] = ("train", "val", "test")[s]
+                at += 1
+        assert got == want
+
+
+def test_a_large_class_is_no_array(spark):
+    df = spark.range(100_000).select(F.col("id").alias("image_id"), F.lit("a").alias("class_name"), F.concat(F.lit("k"), (F.col("id") - F.when(F.col("id") < 300, F.col("id") % 3).otherwise(0)).cast("string")).alias("k"))
+    made = splits.component_split(df, "k")
+    assert {r.split: r["count"] for r in made.groupBy("split").count().collect()} == {"train": 70_000, "val": 15_000, "test": 15_000}
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_connected_over_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "EDGES_A_TASK", most)
+    edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("z", f"y{i}") for i in range(12)]
+    found = {r.id: r.root for r in components.connected(spark.createDataFrame(edges, "a string, b string").repartition(4)).collect()}
+    assert found == {f"n{i:02d}": "n00" for i in range(31)} | {f"y{i}": "y0" for i in range(12)} | {"z": "y0"}
