@@ -64,7 +64,7 @@ def normalise_class(folder: Column, unaccent: bool = True) -> Column:
         if name.startswith("Eucalyptus"):
             fits = fits & ~syzygium
         by_token = F.when(fits, F.lit(name)).otherwise(by_token)
-    told = F.concat(F.lit(NOTE[0]), folder, F.lit(NOTE[1]))
+    told = F.replace(F.lit(NOTE), F.lit("{}"), folder)
     exact = F.replace(F.lower(alias), F.lit(" "), F.lit("")) == compact
     return F.struct(F.coalesce(alias, by_token).alias("name"), F.when(exact, "").when(alias.isNotNull() | by_token.isNotNull(), told).alias("note"))
 

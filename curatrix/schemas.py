@@ -12,8 +12,8 @@ SPLITS = ("train", "val", "test")
 SPLIT_ALIASES = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test", "testing": "test"}
 LIGHTS = ("natural", "indoor", "outdoor")
 REASONS = ("hidden/system", "unsupported extension")
-NOTE = ("normalized from folder '", "'")
-#: Classes by index: genus and species.
+NOTE = "normalized from folder '{}'"
+# Classes by index, genus and species.
 CLASSES = (
     "Eucalyptus camaldulensis",
     "Eucalyptus cladocalyx",
@@ -24,10 +24,10 @@ CLASSES = (
     "Eucalyptus saligna",
     "Syzygium hemisphericum",
 )
-#: Other spellings of a species, and other names.
+# Other spellings of a species, and other names.
 MISSPELT = {"camandulensis": "camaldulensis", "daglupta": "deglupta"}
 SYNONYMS = {"syzygiumchanlos": "Syzygium hemisphericum", "syzygiumhemisphericumsyzygiumchanlos": "Syzygium hemisphericum"}
-#: Columns of an annotation sheet, whose header is its second row.
+# Columns of an annotation sheet, whose header is its second row.
 ANNOTATION = {
     "Science name": "class_name_raw",
     "Sample ID": "sample_id",
@@ -39,10 +39,27 @@ ANNOTATION = {
     "Images Refs": "image_refs",
     "Unnamed: 18": "qc_notes",
 }
+# Columns of a manifest and of a split, in order.
 METADATA_COLUMNS = (
-    "image_id relative_path raw_path original_filename top_level_folder class_name class_index width height file_extension"
-    " sha256 phash group_id specimen_key light_condition parsed_group_id legacy_parsed_group_id notes"
-).split()
+    "image_id",
+    "relative_path",
+    "raw_path",
+    "original_filename",
+    "top_level_folder",
+    "class_name",
+    "class_index",
+    "width",
+    "height",
+    "file_extension",
+    "sha256",
+    "phash",
+    "group_id",
+    "specimen_key",
+    "light_condition",
+    "parsed_group_id",
+    "legacy_parsed_group_id",
+    "notes",
+)
 REQUIRED_METADATA = ("image_id", "relative_path", "class_name", "class_index")
 SPLIT_COLUMNS = ("image_id", "relative_path", "class_name", "class_index", "split")
 SPLIT_OPTIONAL = ("group_id", "specimen_key", "light_condition", "parsed_group_id", "phash_component", "constraint_component", "sha256", "phash")
