@@ -1,13 +1,15 @@
-"""Image kernels over decoded pixels: perceptual hash and focus measure, and sizes from file headers."""
+"""Image kernels over decoded pixels: perceptual hash and focus measure; sizes, orientations and wholeness of files from their bytes."""
 
 from __future__ import annotations
 
+import re
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 HASH, FACTOR = 8, 4
 
@@ -61,13 +63,27 @@ def dct_matrix(n: int) -> np.ndarray:
 
 def perceptual_hash(grey: np.ndarray) -> str:
     """A bit for each low frequency that is above the median of those that are constant in neither direction; the first bit highest."""
-    n = HASH * FACTOR
-    m = dct_matrix(n)
-    low = (m @ resize(grey, n, n, "lanczos") @ m.T)[:HASH, :HASH]
+    return _hash_small(resize(grey, HASH * FACTOR, HASH * FACTOR, "lanczos"))
+
+
+def _hash_small(small: np.ndarray) -> str:
+    m = dct_matrix(HASH * FACTOR)
+    low = (m @ small @ m.T)[:HASH, :HASH]
     bits = (low > np.median(low[1:, 1:])).ravel()
     return np.packbits(bits).tobytes().hex()
 
 
+def perceptual_hashes(grey: np.ndarray) -> list[str]:
+    """The hash of the picture turned as each of the eight orientations says, the first as it is stored.
+
+    A mirrored picture shrinks to the mirrored small one, so two small ones are enough: one shrunk along rows first, one along columns."""
+    n = HASH * FACTOR
+    upright, lying = resize(grey, n, n, "lanczos"), resize(grey.T, n, n, "lanczos")
+    # Orientations 1 to 8 of the tag.
+    turned = (upright, upright[:, ::-1], upright[::-1, ::-1], upright[::-1], lying, lying[:, ::-1], lying[::-1, ::-1], lying[::-1])
+    return [_hash_small(x) for x in turned]
+
+
 def focus(grey: np.ndarray, longer: int = 0) -> float:
     """Variance of the Laplacian, edges mirrored, after shrinking the longer side to `longer` if it is larger (0: never)."""
     h, w = grey.shape
@@ -80,10 +96,10 @@ def focus(grey: np.ndarray, longer: int = 0) -> float:
     return float((up[:-2] + up[2:] + side[:, :-2] + side[:, 2:] - 4 * px).var())
 
 
-@F.pandas_udf(StringType())
-def phash_udf(image: pd.DataFrame) -> pd.Series:
-    """Of the image source's struct."""
-    return pd.Series([perceptual_hash(gray(d, h, w, c)) if h > 0 else None for d, h, w, c in zip(image["data"], image["height"], image["width"], image["nChannels"])], dtype=object)
+@F.pandas_udf(ArrayType(StringType()))
+def phashes_udf(image: pd.DataFrame) -> pd.Series:
+    """Of the image source's struct, by orientation; null where nothing could be decoded."""
+    return pd.Series([perceptual_hashes(gray(d, h, w, c)) if h > 0 else None for d, h, w, c in zip(image["data"], image["height"], image["width"], image["nChannels"])], dtype=object)
 
 
 def focus_udf(longer: int = 0):
@@ -134,11 +150,10 @@ def _webp_size(data: bytes) -> tuple[int, int, int]:
     return w & 0x3FFF, h & 0x3FFF, 1
 
 
-def image_size(data: bytes) -> tuple[int, int]:
-    """Width and height of a PNG, JPEG, BMP, TIFF or WebP file as it is to be shown: sides are swapped where its orientation tag says so."""
+def _stored(data: bytes) -> tuple[int, int, int]:
+    """Width, height and orientation as a file says."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
-        w, h = struct.unpack_from(">II", data, 16)
-        turn = 1
+        w, h, turn = *struct.unpack_from(">II", data, 16), 1
     elif data[:2] == b"\xff\xd8":
         w, h, turn = _jpeg_size(data)
     elif data[:2] == b"BM":
@@ -152,16 +167,106 @@ def image_size(data: bytes) -> tuple[int, int]:
         raise ValueError("unknown image format")
     if w <= 0 or h <= 0:
         raise ValueError("empty image")
+    return w, h, turn if 1 <= turn <= 8 else 1
+
+
+def image_size(data: bytes) -> tuple[int, int]:
+    """Width and height of a PNG, JPEG, BMP, TIFF or WebP file as it is to be shown: sides are swapped where its orientation tag says so."""
+    w, h, turn = _stored(data)
     return (h, w) if turn >= 5 else (w, h)
 
 
-@F.pandas_udf(StructType().add("width", "integer").add("height", "integer").add("error", "string"))
+# ---------------------------------------------------------------- wholeness
+
+PIECE = 1 << 20
+#: A byte pair inside JPEG data that ends a scan: neither a stuffed byte, a restart nor filling.
+SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+def _whole_png(data: bytes) -> None:
+    """The compressed rows must give as many bytes as the header asks for; a piece of them is in memory at a time."""
+    w, h, depth, kind, _, _, interlaced = struct.unpack_from(">IIBBBBB", data, 16)
+    bits = depth * {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    at, out, stream = 8, 0, zlib.decompressobj()
+    while at + 8 <= len(data) and data[at + 4 : at + 8] != b"IEND":
+        size = struct.unpack_from(">I", data, at)[0]
+        if data[at + 4 : at + 8] == b"IDAT":
+            rest = data[at + 8 : at + 8 + size]
+            while rest:
+                out += len(stream.decompress(rest, PIECE))
+                rest = stream.unconsumed_tail
+        at += 12 + size
+    out += len(stream.flush())
+    if out < (h * (1 + -(-w * bits // 8)) if not interlaced else 1) or (interlaced and not stream.eof):
+        raise ValueError("image data cut off")
+
+
+def _whole_jpeg(data: bytes) -> None:
+    """Segments and scans must lead to the end mark."""
+    at = 2
+    while at + 2 <= len(data):
+        if data[at] != 0xFF:
+            at += 1
+            continue
+        mark = data[at + 1]
+        if mark == 0xD9:
+            return
+        if mark == 0xFF or mark == 1 or 0xD0 <= mark <= 0xD7:
+            at += 1 if mark == 0xFF else 2
+            continue
+        if at + 4 > len(data):
+            break
+        at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+        if mark == 0xDA:
+            if (end := SCAN_END.search(data, at)) is None:
+                break
+            at = end.start()
+    raise ValueError("image data cut off")
+
+
+def _whole_tiff(data: bytes) -> None:
+    """All strips or tiles of the first picture must lie inside the file."""
+    order = {b"II": "<", b"MM": ">"}[data[:2]]
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    found = {}
+    for k in range(struct.unpack_from(order + "H", data, at)[0]):
+        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+        if tag in (273, 279, 324, 325) and kind in (3, 4):
+            form, here = "HI"[kind - 3], at + 10 + 12 * k
+            if n * struct.calcsize(form) > 4:
+                here = struct.unpack_from(order + "I", data, here)[0]
+            found[tag] = struct.unpack_from(f"{order}{n}{form}", data, here)
+    for place, size in ((273, 279), (324, 325)):
+        if any(a + b > len(data) for a, b in zip(found.get(place, ()), found.get(size, ()))):
+            raise ValueError("image data cut off")
+
+
+def check_whole(data: bytes) -> None:
+    """Raises where a file that has a header lacks image data, as decoders do. Single wrong pixels are not found."""
+    if data[:4] == b"\x89PNG":
+        _whole_png(data)
+    elif data[:2] == b"\xff\xd8":
+        _whole_jpeg(data)
+    elif data[:2] == b"BM":
+        start, w, h, bits, packed = *struct.unpack_from("<I", data, 10), *struct.unpack_from("<ii", data, 18), *struct.unpack_from("<HI", data, 28)
+        if packed in (0, 3) and len(data) < start + (w * bits + 31) // 32 * 4 * abs(h):
+            raise ValueError("image data cut off")
+    elif data[:4] in (b"II*\0", b"MM\0*"):
+        _whole_tiff(data)
+    elif data[:4] == b"RIFF" and len(data) < 8 + struct.unpack_from("<I", data, 4)[0]:
+        raise ValueError("image data cut off")
+
+
+@F.pandas_udf(StructType().add("width", "integer").add("height", "integer").add("turn", "integer").add("error", "string"))
 def size_udf(content: pd.Series) -> pd.DataFrame:
+    """Sides as shown and the orientation of each file's bytes; an error instead where the file is no whole image."""
     out = []
     for data in content:
         try:
-            out.append((*image_size(data), None))
-        except (ValueError, KeyError, struct.error) as e:
-            out.append((None, None, f"{type(e).__name__}: {e}"))
-    frame = pd.DataFrame(out, columns=["width", "height", "error"])
-    return frame.astype({"width": "Int32", "height": "Int32"})
+            w, h, turn = _stored(data)
+            check_whole(data)
+            out.append((*((h, w) if turn >= 5 else (w, h)), turn, None))
+        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+            out.append((None, None, None, f"{type(e).__name__}: {e}"))
+    frame = pd.DataFrame(out, columns=["width", "height", "turn", "error"])
+    return frame.astype({"width": "Int32", "height": "Int32", "turn": "Int32"})

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import distance, with_halves
+from .validate import has_value
 
 #: Rows of a class that meet in one block of the blocked join, about, and edges that a task holds.
 BLOCK_ROWS, EDGES_A_TASK = 4096, 1 << 19
@@ -145,7 +146,9 @@ def number_components(df: DataFrame, root: Column, prefix: Column, out: str, ord
 
 
 def phash_components(df: DataFrame, threshold: int = 10, class_col: str = "class_name", id: str = "image_id", order: str | None = None, out: str = "phash_component", blocks: int | None = None) -> DataFrame:
-    """df with the near-duplicate component of each row in its class. Rows without a valid hash are alone."""
+    """df with the near-duplicate component of each row in its class. Rows without a valid hash are alone; a table without any hash is an error."""
+    if not has_value(df, "phash"):
+        raise ValueError("no phash has a value: near-duplicate components can't be built")
     pairs = hash_pairs(df, threshold, id, "phash", class_col, order, blocks=blocks)
     roots = connected(pairs).toDF(id, "_near")
     joined = df.join(roots, id, "left")

@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import images, keys
 from ..operators import profile
@@ -43,7 +45,7 @@ def walk_tasks(spark: SparkSession, root: str) -> DataFrame:
 def contents(spark: SparkSession, files: DataFrame, root: str, format: str = "binaryFile") -> DataFrame:
     """(raw_path and the format's columns) of the files below a root. Files with a part that begins with "_" are left out by Spark's listing; they are
     read by links to them in the shared folder."""
-    reader = spark.read.format(format).option("recursiveFileLookup", True)
+    reader = spark.read.format(format).option("recursiveFileLookup", True).option("ignoreCorruptFiles", format == "image")  # a file that can't be decoded has no pixels
     name = F.col("image.origin" if format == "image" else "path")
     out = reader.load(root).withColumn("raw_path", _local(name))
     hidden = [r.raw_path for r in files.where(F.exists(keys.parts(F.col("relative_path")), lambda x: x.startswith("_"))).select("raw_path").collect()]
@@ -66,6 +68,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{'/' + base.strip('/')}/links-{uuid.uuid4().hex}"
 
 
+@F.pandas_udf(BooleanType())
+def exists_udf(path: pd.Series) -> pd.Series:
+    """Whether a file is there, for the executors, which see the same file system as the driver."""
+    return path.map(lambda p: p is not None and os.path.exists(p)).astype(bool)
+
+
 def _local(path) -> F.Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
@@ -74,7 +82,8 @@ def scan(spark: SparkSession, root: str, sha256: bool = True, phash: bool = Fals
     """A manifest of root/class/...: a row for each image that can be read, and tables of what was left out and why.
 
     Folders at the top are classes by name; hidden ones are ignored, others without a class are noted as skipped. One pass over the contents
-    gives sizes and digests; perceptual hashes come from decoded pixels."""
+    gives sizes and digests, and finds files that are cut off: they are unreadable. Perceptual hashes come from decoded pixels, turned as the
+    file's orientation says; formats that can't be decoded here have an empty one."""
     root = os.path.abspath(root)
     files = list_tree(spark, root).withColumn("top", F.element_at(keys.parts(F.col("relative_path")), 1))
     files = files.where(~F.col("top").startswith(".") & (F.size(keys.parts(F.col("relative_path"))) > 1))
@@ -90,15 +99,15 @@ def scan(spark: SparkSession, root: str, sha256: bool = True, phash: bool = Fals
     wanted = named.where("reason is null")
     size = images.size_udf("content")
     read = contents(spark, files, root).withColumn("size", size)
-    read = read.select("raw_path", F.col("size.width").alias("width"), F.col("size.height").alias("height"), F.col("size.error").alias("error"), (F.sha2("content", 256) if sha256 else F.lit("")).alias("sha256"))
+    read = read.select("raw_path", F.col("size.width").alias("width"), F.col("size.height").alias("height"), F.col("size.turn").alias("turn"), F.col("size.error").alias("error"), (F.sha2("content", 256) if sha256 else F.lit("")).alias("sha256"))
     told = wanted.join(read.dropDuplicates(["raw_path"]), "raw_path", "left").persist()
     unreadable = told.where("error is not null or width is null").select(F.col("raw_path").alias("path"), "relative_path", "class_name", F.coalesce("error", F.lit("not found")).alias("error"))
     good = told.where("error is null and width is not null")
     if good.isEmpty():
         raise ValueError(f"no readable image in {root}")
     if phash:
-        pixels = contents(spark, files, root, "image").select("raw_path", images.phash_udf("image").alias("phash"))
-        good = good.join(pixels.dropDuplicates(["raw_path"]), "raw_path", "left").withColumn("phash", F.coalesce("phash", F.lit("")))
+        pixels = contents(spark, files, root, "image").select("raw_path", images.phashes_udf("image").alias("phashes"))  # orientations are known on the other side; only hashes are moved
+        good = good.join(pixels.dropDuplicates(["raw_path"]), "raw_path", "left").withColumn("phash", F.coalesce(F.try_element_at("phashes", "turn"), F.lit("")))
     else:
         good = good.withColumn("phash", F.lit(""))
     p = F.col("relative_path")
@@ -114,6 +123,6 @@ def scan(spark: SparkSession, root: str, sha256: bool = True, phash: bool = Fals
 
 def focus(spark: SparkSession, tasks: DataFrame, root: str, longer: int = 0) -> DataFrame:
     """(image_id, path, width, height, laplacian_var, error) of each task; sizes are those before shrinking."""
-    pixels = spark.read.format("image").option("recursiveFileLookup", True).load(root)
+    pixels = spark.read.format("image").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
     made = pixels.select(_local(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), images.focus_udf(longer)("image").alias("laplacian_var"))
     return tasks.join(made, "path", "left").select("image_id", "path", "width", "height", "laplacian_var", F.when(F.col("laplacian_var").isNull(), "unreadable").alias("error"))

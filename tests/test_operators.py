@@ -285,6 +285,59 @@ def test_jpeg_orientation():
             kernels.image_size(bad)
 
 
+def test_hashes_by_orientation():
+    px = np.random.default_rng(3).integers(0, 256, (50, 70), dtype=np.uint8)
+    # what a viewer does for the orientations 1 to 8
+    shown = (px, np.fliplr(px), np.rot90(px, 2), np.flipud(px), px.T, np.rot90(px, -1), np.rot90(px, 2).T, np.rot90(px))
+    made = kernels.perceptual_hashes(px)
+    assert made == [kernels.perceptual_hash(x) for x in shown] and len(set(made)) == 8
+
+
+def java_picture(spark, kind, px):
+    """A picture that Java's encoder writes."""
+    jvm = spark.sparkContext._jvm
+    img = jvm.java.awt.image.BufferedImage(px.shape[1], px.shape[0], 1)
+    for y, row in enumerate(px.tolist()):
+        for x, (r, g, b) in enumerate(row):
+            img.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(img, kind, out)
+    return bytes(out.toByteArray())
+
+
+def test_scan_turned_and_cut_off(spark, tmp_path):
+    y, x = np.mgrid[0:40, 0:56]
+    px = np.stack([(3 * x + y) % 256, (x * y // 4) % 256, (5 * y) % 256], 2).astype(np.uint8)
+    folder = tmp_path / "E. grandis"
+    folder.mkdir()
+    jpeg = java_picture(spark, "jpg", px)
+    exif = b"Exif\0\0" + b"MM\0*\0\0\0\x08" + struct.pack(">HHHIHH", 1, 0x112, 3, 1, 6, 0) + b"\0\0\0\0\0\0"
+    (folder / "plain.jpg").write_bytes(jpeg)
+    (folder / "turned.jpg").write_bytes(jpeg[:2] + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + jpeg[2:])
+    kinds = {k: java_picture(spark, k, px) for k in ("png", "bmp", "tif")}
+    for k, data in (kinds | {"jpg": jpeg}).items():
+        (folder / f"whole.{k}").write_bytes(data)
+        (folder / f"cut.{k}").write_bytes(data[: len(data) * 2 // 3])
+    m = trees.scan(spark, str(tmp_path), phash=True)
+    rows = {r.original_filename: r for r in m.metadata.collect()}
+    assert sorted(rows) == ["plain.jpg", "turned.jpg", *sorted(f"whole.{k}" for k in ("bmp", "jpg", "png", "tif"))]
+    assert (rows["plain.jpg"].width, rows["plain.jpg"].height, rows["turned.jpg"].width, rows["turned.jpg"].height) == (56, 40, 40, 56)
+    pixels = spark.read.format("image").load(str(folder / "plain.jpg")).first().image
+    grey = kernels.gray(bytes(pixels.data), 40, 56, 3)
+    assert rows["plain.jpg"].phash == kernels.perceptual_hash(grey)
+    assert rows["turned.jpg"].phash == kernels.perceptual_hash(np.rot90(grey, -1)) != rows["plain.jpg"].phash
+    assert rows["whole.png"].phash == rows["whole.bmp"].phash == rows["whole.tif"].phash == kernels.perceptual_hash(kernels.gray(px[:, :, ::-1].tobytes(), 40, 56, 3))
+    assert sorted(r.relative_path for r in m.unreadable.collect()) == [f"E. grandis/cut.{k}" for k in ("bmp", "jpg", "png", "tif")]
+
+
+def test_components_need_hashes(spark):
+    df = spark.createDataFrame([("a", "c", None), ("b", "c", "")], "image_id string, class_name string, phash string")
+    with pytest.raises(ValueError):
+        components.phash_components(df)
+    with pytest.raises(ValueError):
+        components.phash_components(df.drop("phash"))
+
+
 def test_tables_and_sinks(spark, tmp_path):
     (tmp_path / "m.csv").write_text("image_id,image_path,class_name,class_index,specimen_key\n1,c/a.png,Eucalyptus grandis,4,3358.10\n")
     m = tables.read_metadata(spark, str(tmp_path / "m.csv"))
