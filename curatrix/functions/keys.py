@@ -15,22 +15,23 @@ from ..schemas import CLASSES, EXTENSIONS, MISSPELT, NOTE, REASONS, SPLIT_ALIASE
 # brackets at a stem's end; dots at its end; four digits and the last number after them.
 FRONT_NUMBER = r"(?U)^\s*\d+\s*[._-]*\s*"
 BETWEEN_WORDS = "[^a-z0-9]+"
-COPY_NUMBER = r"\s*\.?\s*\([0-9]+\)\s*$"
+COPY_NUMBER = r"(?U)\s*\.?\s*\(\d+\)\s*$"
 END_DOTS = r"[. ]+$"
-SPECIMEN = r"([0-9]{4}).*?([0-9]+)[^0-9]*$"
+SPECIMEN = r"(?U)(\d{4}).*?(\d+)(?:\D*)$"
 
 
 @F.pandas_udf(StringType())
 def _unaccented(texts: pd.Series) -> pd.Series:
-    plain = lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    plain = lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     return texts.map(plain)
 
 
 def ascii_key(text: Column, unaccent: bool = True) -> Column:
     """Lower-case words of ASCII letters and digits: accents dropped, a leading number dropped, "&" read as "and".
 
-    Only the accents need Python; without `unaccent` the expression stays in the JVM."""
-    t = F.lower(_unaccented(text) if unaccent else text)
+    Only texts with other characters than ASCII's go to Python; without `unaccent` the expression stays in the JVM."""
+    plain = F.coalesce(_unaccented(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    t = F.lower(plain if unaccent else text)
     t = F.regexp_replace(t, FRONT_NUMBER, "")
     return F.trim(F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), BETWEEN_WORDS, " "))
 
