@@ -90,9 +90,9 @@ def annotate(df: DataFrame, notes: DataFrame, keys: list[str], flag: str = "anno
     return df.join(notes.withColumn(flag, F.lit(True)), keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def unannotated(df: DataFrame, notes: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys without an annotation."""
-    return df.select(*keys).distinct().join(notes, keys, "left_anti")
+def unannotated(df: DataFrame, notes: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Distinct keys (or columns that include them) without an annotation."""
+    return df.select(*(columns or keys)).distinct().join(notes, keys, "left_anti")
 
 
 def source_breakdown(annotated: DataFrame, column: str, *keys: str) -> DataFrame:

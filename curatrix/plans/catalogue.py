@@ -94,17 +94,27 @@ FOLDERS = (
 _folder, _folder_sql = choice("p_partkey", FOLDERS)
 
 
-def _class_sql() -> str:
-    alias = ", ".join(f"('{k}', '{v}')" for k, v in keys.class_aliases().items())
-    tokens = [(s, c) for c in CLASSES for s in (c.split()[1], *(m for m, r in MISSPELT.items() if r == c.split()[1]))]
-    cases = " ".join(f"WHEN contains(k, '{s}'){' AND NOT z' if c.startswith('E') else ''} THEN '{c}'" for s, c in tokens)
-    return f"""WITH a(compact, name) AS (VALUES {alias}), f AS (SELECT p_partkey, {_folder_sql} AS folder FROM part),
-k AS (SELECT *, {_TIDY.format('folder')} AS k FROM f), z AS (SELECT *, replace(k, ' ', '') AS compact, contains(k, 'syzygium') OR regexp_matches(k, '\\bs\\b') AS z FROM k),
-n AS (SELECT z.*, a.name AS alias, coalesce(a.name, CASE {cases} END) AS name FROM z LEFT JOIN a USING (compact))
-SELECT folder, name AS class_name, CASE WHEN replace(lower(alias), ' ', '') = compact THEN '' WHEN name IS NOT NULL THEN 'normalized from folder ''' || folder || '''' END AS note, count(*) AS n FROM n GROUP BY ALL"""
-
-
-@query(_class_sql())
+# What each of the folders must give, written down by hand: class and note.
+_CLASS_SQL = f"""WITH f AS (SELECT {_folder_sql} AS folder FROM part), told(folder, class_name, renamed) AS (VALUES
+('Eucalyptus_camaldulensis', 'Eucalyptus camaldulensis', false),
+('E. camaldulensis', 'Eucalyptus camaldulensis', true),
+('3358. Eucalyptus camandulensis', 'Eucalyptus camaldulensis', true),
+('S. hemisphericum', 'Syzygium hemisphericum', true),
+('Syzygium chanlos', 'Syzygium hemisphericum', true),
+('Eucalyptus grandis', 'Eucalyptus grandis', false),
+('e daglupta', 'Eucalyptus deglupta', true),
+('12_Eucalyptus saligna (new)', 'Eucalyptus saligna', true),
+('cladocalyx wood', 'Eucalyptus cladocalyx', true),
+('S grandis', NULL, false),
+('unknown', NULL, false),
+('Éucalyptus Microcorys', 'Eucalyptus microcorys', false),
+('eucalyptus & diversicolor', 'Eucalyptus diversicolor', true),
+('Syzygium hemisphericum', 'Syzygium hemisphericum', false),
+('', NULL, false))
+SELECT folder, class_name, CASE WHEN renamed THEN 'normalized from folder ''' || folder || '''' WHEN class_name IS NOT NULL THEN '' END AS note, count(*) AS n FROM f JOIN told USING (folder) GROUP BY ALL"""
+
+
+@query(_CLASS_SQL)
 def class_normalise(spark, d):
     f = profile.with_class(table(spark, d, "part").select(_folder().alias("folder")), "folder")
     return f.groupBy("folder", "class_name", F.col("class_note").alias("note")).agg(F.count("*").alias("n"))
@@ -155,7 +165,8 @@ _said, _said_sql = choice("o_orderkey", ("train", "Training", " valid ", "VALIDA
 
 
 @query(
-    f"WITH s AS (SELECT {_said_sql} AS said FROM orders) SELECT said, CASE lower(trim(said)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SPLIT_ALIASES.items())} END AS split, count(*) AS n FROM s GROUP BY 1, 2"
+    f"""WITH s AS (SELECT {_said_sql} AS said FROM orders), told(said, split) AS (VALUES ('train', 'train'), ('Training', 'train'), (' valid ', 'val'), ('VALIDATION', 'val'),
+('test', 'test'), ('testing', 'test'), ('val', 'val'), ('dev', NULL)) SELECT said, split, count(*) AS n FROM s JOIN told USING (said) GROUP BY ALL"""
 )
 def split_value_normalise(spark, d):
     s = table(spark, d, "orders").select(_said().alias("said"))
@@ -664,11 +675,16 @@ def release_plan(spark, d):
     return plan.select("image_id", "output_path")
 
 
-@query("SELECT * FROM (VALUES ('exclusion', 'image_id of a left-out image', 'why it is left out'), ('note', 'none', 'no image is left out')) v(entry, subject, reason)")
+@query(
+    """SELECT * FROM (VALUES
+('QC_REIMAGE_ROUND_2', '', '', '', 'recollected', 'quality or metadata mismatch identified during manual QC; fill with final retained/rejected file list if available'),
+('REMOVAL', 'Eucalyptus grandis', 'old folder', '', 'removed', 'folder visually inconsistent with the retained class images; exact file list requires manual QC log')
+) v(change_id, class_name, specimen_or_folder, n_images, action, reason)"""
+)
 def exclusion_log(spark, d):
     from ..sources.sinks import exclusion_template
 
-    return exclusion_template(spark)
+    return exclusion_template(spark, [("REMOVAL", "Eucalyptus grandis", "old folder")])
 
 
 @query(

@@ -25,18 +25,22 @@ def to_json(df: DataFrame) -> str:
     return json.dumps(row.asDict(True) if row else {}, indent=2, ensure_ascii=False, default=str)
 
 
-def write_json(what: DataFrame | dict, path: str) -> None:
+def write_json(what: DataFrame | dict | list, path: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    text = json.dumps(what, indent=2, ensure_ascii=False, default=str) if isinstance(what, dict) else to_json(what)
+    text = json.dumps(what, indent=2, ensure_ascii=False, default=str) if isinstance(what, (dict, list)) else to_json(what)
     Path(path).write_text(text, encoding="utf-8")
 
 
+def _latex_frame(columns: str, caption: str, label: str, head: str, body: list[str]) -> str:
+    # The frame of a table.
+    top = [r"\begin{table}[t]", r"\centering", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{columns}}}", r"\toprule", head + r" \\", r"\midrule"]
+    return "\n".join([*top, *[line + r" \\" for line in body], r"\bottomrule", r"\end{tabular}", r"\end{table}", ""])
+
+
 def latex_table(df: DataFrame, caption: str, label: str, rows: int = LATEX_ROWS) -> str:
     """At most `rows` rows; underscores become spaces in the header and are escaped in cells."""
-    head = " & ".join(c.replace("_", " ") for c in df.columns)
-    body = [" & ".join("" if v is None else str(v).replace("_", r"\_") for v in r) + r" \\" for r in df.limit(rows).collect()]
-    columns = "l" * len(df.columns)
-    return "\n".join([r"\begin{table}[ht]", r"\centering", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{columns}}}", r"\hline", head + r" \\", r"\hline", *body, r"\hline", r"\end{tabular}", r"\end{table}", ""])
+    body = [" & ".join("" if v is None else str(v).replace("_", r"\_") for v in r) for r in df.limit(rows).collect()]
+    return _latex_frame("l" * len(df.columns), caption, label, " & ".join(c.replace("_", " ") for c in df.columns), body)
 
 
 def latex_metrics(summary: DataFrame, name: str) -> str:
@@ -46,11 +50,13 @@ def latex_metrics(summary: DataFrame, name: str) -> str:
     return " & ".join([name.replace("_", r"\_"), *cells]) + r" \\" + "\n"
 
 
-def latex_audit(summary: DataFrame) -> str:
+def latex_audit(summary: DataFrame, caption: str = "Split-integrity audit summary.") -> str:
+    """A table of findings; pairs of near-duplicates by threshold, the smallest first."""
     r = summary.first()
-    rows = [("Group overlaps", r.group_overlap_rows), ("Exact-copy hashes", r.sha256_overlap_hashes), ("File-name overlaps", r.filename_overlap_rows)]
-    rows += [(f"Near-duplicate pairs within {t} bits", n) for t, n in r.phash_candidate_pairs_by_threshold.items()]
-    return "\n".join([r"\begin{tabular}{lr}", r"\hline", r"Audit & Findings \\", r"\hline", *[rf"{k} & {v} \\" for k, v in rows], r"\hline", r"\end{tabular}", ""])
+    # Names of the audits.
+    rows = [("Group overlap", r.group_overlap_rows), ("Exact SHA-256 overlap", r.sha256_overlap_rows), ("Filename overlap", r.filename_overlap_rows)]
+    rows += [(f"pHash candidates (d <= {t})", n) for t, n in sorted(r.phash_candidate_pairs_by_threshold.items(), key=lambda x: int(x[0]))]
+    return _latex_frame("lc", caption, "tab:split_audit", "Audit & Findings", [f"{k} & {v}" for k, v in rows])
 
 
 def append_history(df: DataFrame, path: str) -> None:
@@ -70,9 +76,15 @@ def focus_report(overall: DataFrame, by_class: DataFrame, below: DataFrame, lowe
     return "\n".join([*out, "", f"errors: {errors.count()}", *["  " + "  ".join(str(v) for v in r) for r in listed], ""])
 
 
-def exclusion_template(spark: SparkSession) -> DataFrame:
-    """Two rows that show how exclusions are noted down."""
-    return spark.createDataFrame([("exclusion", "image_id of a left-out image", "why it is left out"), ("note", "none", "no image is left out")], "entry string, subject string, reason string")
+def exclusion_template(spark: SparkSession, removed=()) -> DataFrame:
+    """Rows that a curator fills in: the second round of pictures, and a removal for each (change_id, class_name, folder) of `removed`."""
+    # Columns and texts of the template.
+    columns = ("change_id", "class_name", "specimen_or_folder", "n_images", "action", "reason")
+    round_2 = "quality or metadata mismatch identified during manual QC; fill with final retained/rejected file list if available"
+    removal = "folder visually inconsistent with the retained class images; exact file list requires manual QC log"
+    rows = [("QC_REIMAGE_ROUND_2", "", "", "", "recollected", round_2)]
+    rows += [(change, name, folder, "", "removed", removal) for change, name, folder in removed]
+    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
 
 
 def copy_files(plan: DataFrame, root: str, mode: str = "copy", overwrite: bool = False) -> None:
