@@ -20,17 +20,21 @@ from .validate import has_value
 BLOCK_ROWS, EDGES_A_TASK = 4096, 1 << 19
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of checkpoints and read back: a loop's plan stays short and lost executors cost no more than their tasks."""
-    spark: SparkSession = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of checkpoints; in a folder of its own only where all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        cut.own = base = getattr(cut, "own", None) or "file://" + tempfile.mkdtemp(prefix="curatrix-")
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+        shared_path.own = base = getattr(shared_path, "own", None) or "file://" + tempfile.mkdtemp(prefix="curatrix-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder of checkpoints and read back: a loop's plan stays short and lost executors cost no more than their tasks."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blocks_for(rows: DataFrame, *by: str) -> int:

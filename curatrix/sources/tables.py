@@ -42,7 +42,8 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     lines = [r.value for r in spark.read.text(path).limit(2).collect()]
     names = next(csv.reader([lines[1]]))
     names = [n or f"Unnamed: {i}" for i, n in enumerate(names)]
-    raw = spark.read.schema(strings(f"c{i}" for i in range(len(names)))).csv(path).withColumn("row", F.monotonically_increasing_id())
+    # fields may have line ends, and such a file is read in one piece, so rows are numbered as they stand in it
+    raw = spark.read.option("multiLine", True).option("escape", '"').schema(strings(f"c{i}" for i in range(len(names)))).csv(path).withColumn("row", F.monotonically_increasing_id())
     rows = raw.where(F.col("row") > 1).toDF(*names, "row")
     return rows.withColumnsRenamed(ANNOTATION)
 

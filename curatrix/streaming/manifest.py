@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import cut
+from ..operators.components import shared_path
 
 
 def incremental(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -22,7 +20,7 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stream reads folders; a pattern keeps it to the one table
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_dir(spark, path) else sf_dir + "/events.parquet*")
     seen = incremental(stream.select("event_type", "user_id", F.col("ts").cast("timestamp").alias("ts")), ["event_type", "user_id"], "ts", "3650 days")
-    base = cut(spark.range(1))._jdf.inputFiles()[0].rsplit("/", 1)[0] + "-" + uuid.uuid4().hex
+    base = shared_path(spark, "stream")
     q = seen.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.schema(seen.schema).parquet(f"{base}/out")
