@@ -18,10 +18,13 @@ THRESHOLDS = (5, 10)
 OPTIONAL = ("original_filename", "group_id", "parsed_group_id", "specimen_key", "sha256", "phash", "light_condition")
 
 
-def merge_metadata(metadata: DataFrame, split: DataFrame) -> DataFrame:
-    """A split's rows with what the manifest adds to them, one manifest row for an image."""
+def merge_metadata(metadata: DataFrame, split: DataFrame, on: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """A split's rows with what the manifest adds to them by the key columns: of rows with the same key, the least."""
     added = [c for c in OPTIONAL if c in metadata.columns and c not in split.columns]
-    return split.join(metadata.select("image_id", *added).dropDuplicates(["image_id"]), "image_id", "left")
+    if not added:
+        return split
+    rows = metadata.groupBy(*on).agg(F.min(F.struct(*added)).alias("_added")).select(*on, *[F.col(f"_added.{c}").alias(c) for c in added])
+    return split.join(rows, list(on), "left")
 
 
 def class_distribution(frame: DataFrame) -> DataFrame:

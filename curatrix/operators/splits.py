@@ -33,6 +33,12 @@ def split_layout(df: DataFrame) -> DataFrame:
     return df.select(*SPLIT_COLUMNS, *[c for c in SPLIT_OPTIONAL if c in df.columns])
 
 
+def class_coverage(df: DataFrame, component: str, class_col: str = "class_name") -> DataFrame:
+    """Of each class, how many components it has, and whether these are enough for one in each split."""
+    counts = df.groupBy(class_col).agg(F.count_distinct(component).alias("n_components"))
+    return counts.withColumn("covered", F.col("n_components") >= len(SPLITS))
+
+
 def component_split(df: DataFrame, component: str, class_col: str = "class_name", seed: int = 42, ratios: tuple[float, float, float] = RATIOS, parity_rng: bool = False) -> DataFrame:
     """df with `split`: whole components, balanced by rows within each class.
 
@@ -44,7 +50,7 @@ def component_split(df: DataFrame, component: str, class_col: str = "class_name"
     if not df.where(F.col(component).isNull()).isEmpty():
         raise ValueError(f"rows without {component}")
     sizes = df.groupBy(F.col(class_col).alias("c"), F.col(component).cast("string").alias("k")).agg(F.count("*").cast("int").alias("n"))
-    few = [r.c for r in sizes.groupBy("c").count().where("count < 3").orderBy("c").limit(20).collect()]
+    few = [r.c for r in class_coverage(sizes, "k", "c").where("not covered").orderBy("c").limit(20).collect()]
     if few:
         raise ValueError(f"classes with fewer than three components: {few}")
     if parity_rng:

@@ -272,6 +272,22 @@ def annotation_left_join(spark, d):
     return profile.annotate(manifest(spark, d).select("image_id", "class_name", "doc_id"), _labels(spark, d), ["doc_id"]).drop("doc_id")
 
 
+_sheet, _sheet_sql = choice("p_partkey", ("Eucalyptus grandis", "E. saligna"))
+
+
+@query(
+    f"""WITH s AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN {_sheet_sql} END AS raw FROM part),
+f AS (SELECT *, last_value(raw IGNORE NULLS) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM s)
+SELECT CASE filled WHEN 'E. saligna' THEN 'Eucalyptus saligna' ELSE filled END AS class_name, '3358.' || p_partkey % 20 AS specimen_key, string_agg(DISTINCT trim(p_brand), '; ' ORDER BY trim(p_brand)) AS source_institution, count(*) AS annotation_rows
+FROM f WHERE p_partkey % 7 <> 0 GROUP BY 1, 2"""
+)
+def annotation_groups(spark, d):
+    n = F.col("p_partkey")
+    sample = F.when(n % 7 != 0, F.concat(F.lit("3358, X.0"), (n % 20).cast("string")))
+    sheet = table(spark, d, "part").select(n.alias("row"), F.when(n % 3 == 0, _sheet()).alias("class_name_raw"), sample.alias("sample_id"), F.col("p_brand").alias("source_institution"))
+    return profile.annotations(sheet, "row")
+
+
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def annotation_unmatched(spark, d):
     return profile.unannotated(table(spark, d, "documents"), _labels(spark, d).select("doc_id"), ["doc_id"])
@@ -370,16 +386,35 @@ def completeness(spark, d):
     return validate.completeness(s).withColumn("missing_splits", F.array_join("missing_splits", ","))
 
 
-@query(with_m("SELECT class_name, count(DISTINCT group_id) AS n_components FROM m GROUP BY 1 HAVING count(DISTINCT group_id) >= 3"))
+SPLIT_PATHS = ("split_A/train/E. grandis/a.png", "Eucalyptus saligna/b.png", "VAL/S. hemisphericum/sub/c.png", "d.png", "x/test")
+
+
+@query(with_m("SELECT class_name, count(DISTINCT group_id) AS n_components, count(DISTINCT group_id) >= 3 AS covered FROM m GROUP BY 1"))
 def class_coverage(spark, d):
-    return manifest(spark, d).groupBy("class_name").agg(F.count_distinct("group_id").alias("n_components")).where("n_components >= 3")
+    return splits.class_coverage(manifest(spark, d), "group_id")
 
 
 @query(with_m("SELECT a.image_id, a.split, b.sha256 FROM m a LEFT JOIN (SELECT * FROM m WHERE doc_id % 7 <> 2) b USING (image_id, relative_path, class_name, class_index)"))
 def composite_join(spark, d):
     m = manifest(spark, d)
     on = ["image_id", "relative_path", "class_name", "class_index"]
-    return m.select(*on, "split").join(m.where("doc_id % 7 <> 2").select(*on, "sha256"), on, "left").select("image_id", "split", "sha256")
+    return audit.merge_metadata(m.where("doc_id % 7 <> 2"), m.select(*on, "split"), tuple(on)).select("image_id", "split", "sha256")
+
+
+@query(
+    f"""WITH p AS (SELECT {choice("page_id", SPLIT_PATHS)[1]} AS path FROM pages), told(path, class_name) AS (VALUES ('split_A/train/E. grandis/a.png', 'Eucalyptus grandis'), ('Eucalyptus saligna/b.png', 'Eucalyptus saligna'),
+('VAL/S. hemisphericum/sub/c.png', 'Syzygium hemisphericum'), ('d.png', NULL), ('x/test', NULL)) SELECT path, class_name, count(*) AS n FROM p JOIN told USING (path) GROUP BY ALL"""
+)
+def split_class_from_path(spark, d):
+    p = table(spark, d, "pages").select(choice("page_id", SPLIT_PATHS)[0]().alias("path"))
+    return p.select("path", validate.split_class(p, "path").alias("class_name")).groupBy("path", "class_name").agg(F.count("*").alias("n"))
+
+
+@query(with_m("SELECT image_id, CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'val' ELSE 'test' END AS split FROM m"))
+def validate_split_by_other_path(spark, d):
+    m = manifest(spark, d).withColumn("raw_path", F.concat(F.lit("raw/"), "relative_path"))
+    given = m.select(F.concat(F.lit("./raw//"), "relative_path").alias("image_path"), "split")
+    return validate.validate_split(m.drop("split"), given).split.select("image_id", "split")
 
 
 @query(
@@ -535,6 +570,17 @@ def group_shuffle_split(spark, d):
     return splits.group_split(manifest(spark, d).drop("split")).select("image_id", "group_id", "split")
 
 
+@query(
+    with_i(
+        f""", {_NEAR}, {_CONSTRAINT}, m AS (SELECT pc.image_id, pc.class_name, pc.class_name || '::constraint_' || printf('%04d', k) AS group_id FROM pc JOIN c2 ON image_id = id JOIN n2 ON pc.class_name = n2.class_name AND c2.root = n2.root),
+{SPLIT_CTE} SELECT image_id, class_name, f.split FROM m JOIN f ON class_name = f.c AND group_id = f.k""",
+        True,
+    )
+)
+def generated_split(spark, d):
+    return splits.generate(images(spark, d).drop("split"), "phash+group", threshold=NEAR).select("image_id", "class_name", "split")
+
+
 def leaks(spark, d):
     """Exact copies across the parts of a component-aware split."""
     return audit.hash_overlap(splits.component_split(manifest(spark, d).drop("split"), "group_id"))
@@ -560,6 +606,18 @@ def audit_summary(spark, d):
     return s.select(flat.alias("images"), "group_overlap_rows", "sha256_overlap_hashes", "sha256_overlap_rows", "filename_overlap_rows", "passed_basic_audits", "passed_phash_audit")
 
 
+@query(
+    with_i(
+        f""", {_CROSS}, g AS ({_overlap_sql("SELECT split, group_id AS v FROM i", "g", "group_id", "value")})
+SELECT (SELECT count(*) FROM g) AS group_overlap_rows, (SELECT count(*) FROM x WHERE phash_distance <= {AUDIT[0]}) AS near_0, (SELECT count(*) FROM x) AS near_1, (SELECT count(*) FROM x) = 0 AS passed_phash_audit"""
+    )
+)
+def audit_summary_phash(spark, d):
+    s = audit.audit(images(spark, d), AUDIT).summary
+    near = [F.col("phash_candidate_pairs_by_threshold")[str(t)].alias(f"near_{k}") for k, t in enumerate(AUDIT)]
+    return s.select("group_overlap_rows", *near, "passed_phash_audit")
+
+
 # ---------------------------------------------------------------- measures
 
 _QS = ", ".join(f"round(quantile_cont({{0}}, {q}), 6) AS {n}" for n, q in profile.QUANTILES.items())
@@ -688,12 +746,12 @@ def exclusion_log(spark, d):
 
 
 @query(
-    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 32.0) * list_sum(list_transform(range(0, 32), lambda i: e[i + 1] * cos(3.141592653589793 * k * (2 * i + 1) / 64))), 6) AS value FROM v, (SELECT range AS k FROM range(32))"
+    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, CAST(k AS INTEGER) AS k, round(sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 64.0) * list_sum(list_transform(range(0, 64), lambda i: e[i + 1] * cos(3.141592653589793 * k * (2 * i + 1) / 128))), 6) AS value FROM v, (SELECT range AS k FROM range(64))"
 )
 def dct_1d(spark, d):
-    """A 32-point cosine transform of embeddings, in SQL expressions."""
-    n = 32
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, n)
+    """A cosine transform of embeddings, of as many points as they have components, in SQL expressions."""
+    n = 64
+    v = F.col("embedding").cast("array<double>")
     at = lambda k: F.aggregate(F.zip_with(v, F.sequence(F.lit(0), F.lit(n - 1)), lambda x, i: x * F.cos(F.lit(3.141592653589793) * k * (2 * i + 1) / (2 * n))), F.lit(0.0), lambda a, x: a + x) * F.when(k == 0, (1 / n) ** 0.5).otherwise((2 / n) ** 0.5)
     made = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)).alias("k", "value"))
     return _rounded(made)
