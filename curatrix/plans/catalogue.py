@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images as pixels
 from ..functions import keys
 from ..operators import audit, components, metrics, profile, splits, validate
 from ..schemas import CLASSES, EXTENSIONS, MISSPELT, SPLIT_ALIASES
@@ -762,3 +764,32 @@ def incremental_manifest(spark, d):
     from ..streaming.manifest import first_seen
 
     return first_seen(spark, d)
+
+
+_COSINE = "list_transform(range(0, 8), lambda u: list_sum(list_transform(range(0, 32), lambda x: e[x + {}] * cos(pi() * u * (2 * x + 1) / 64))) * sqrt(CASE WHEN u = 0 THEN 1 ELSE 2 END / 32.0))"
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), c AS (SELECT vec_id, {_COSINE.format(1)} AS a, {_COSINE.format(33)} AS b FROM v),
+w AS (SELECT vec_id, u, v, a[u + 1] * b[v + 1] AS low FROM c, (SELECT range AS u FROM range(8)), (SELECT range AS v FROM range(8))),
+m AS (SELECT vec_id, median(low) FILTER (u > 0 AND v > 0) AS middle FROM w GROUP BY 1),
+h AS (SELECT vec_id, u, CAST(sum(CASE WHEN low > middle THEN CAST(1 AS BIGINT) << (7 - v) ELSE 0 END) AS BIGINT) AS byte FROM w JOIN m USING (vec_id) GROUP BY 1, 2)
+SELECT vec_id, string_agg(printf('%02x', byte), '' ORDER BY u) AS phash FROM h GROUP BY 1"""
+)
+def perceptual_hashes(spark, d):
+    """The hash of pictures of 32 by 32 whose pixels are products of a vector's two halves: their transform is the product of two short ones."""
+    kernel = F.pandas_udf(lambda e: e.map(lambda x: pixels.perceptual_hash(np.outer(x[:32].astype(float), x[32:].astype(float)))), "string")
+    return table(spark, d, "embeddings").select("vec_id", kernel("embedding").alias("phash"))
+
+
+@query(
+    """WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: least(255, greatest(0, floor(128 + 256 * CAST(x AS DOUBLE))))) AS p FROM embeddings),
+l AS (SELECT vec_id, list_transform(range(0, 64), lambda k: p[(CASE WHEN k // 8 = 0 THEN 1 ELSE k // 8 - 1 END) * 8 + k % 8 + 1] + p[(CASE WHEN k // 8 = 7 THEN 6 ELSE k // 8 + 1 END) * 8 + k % 8 + 1]
+  + p[k // 8 * 8 + (CASE WHEN k % 8 = 0 THEN 1 ELSE k % 8 - 1 END) + 1] + p[k // 8 * 8 + (CASE WHEN k % 8 = 7 THEN 6 ELSE k % 8 + 1 END) + 1] - 4 * p[k + 1]) AS l FROM g)
+SELECT vec_id, round(list_aggregate(l, 'var_pop'), 6) AS laplacian_var FROM l"""
+)
+def focus_measure(spark, d):
+    """The focus measure of vectors as grey pictures of 8 by 8."""
+    grey = lambda x: np.clip(np.floor(128 + 256 * x.astype(float)), 0, 255).reshape(8, 8)
+    kernel = F.pandas_udf(lambda e: e.map(lambda x: pixels.focus(grey(x))), "double")
+    return _rounded(table(spark, d, "embeddings").select("vec_id", kernel("embedding").alias("laplacian_var")))
