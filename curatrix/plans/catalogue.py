@@ -17,8 +17,8 @@ from .adapters import IMAGES, MANIFEST, images, manifest, table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Thresholds that fit 64-bit hashes of embeddings.
-NEAR, AUDIT = 20, (18, 20)
+#: Thresholds that fit 64-bit hashes of embeddings; FEW leaves every class enough components for three splits.
+NEAR, AUDIT, FEW = 20, (18, 20), 18
 
 
 def query(sql: str | None = None):
@@ -506,13 +506,17 @@ def phash_threshold_counts(spark, d):
     return audit.threshold_counts(audit.phash_overlap(images(spark, d), AUDIT), AUDIT)
 
 
-_NEAR = f"""e AS (SELECT a.image_id AS a, b.image_id AS b FROM i a JOIN i b ON a.class_name = b.class_name AND a.image_id <> b.image_id AND {_DIST} <= {NEAR}),
+def _near(threshold: int) -> str:
+    return f"""e AS (SELECT a.image_id AS a, b.image_id AS b FROM i a JOIN i b ON a.class_name = b.class_name AND a.image_id <> b.image_id AND {_DIST} <= {threshold}),
 r(id, root) AS (SELECT image_id, image_id FROM i UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a),
 c AS (SELECT id, min(root) AS root FROM r GROUP BY 1),
 n AS (SELECT class_name, root, row_number() OVER (PARTITION BY class_name ORDER BY root) AS k FROM (SELECT DISTINCT class_name, root FROM i JOIN c ON image_id = id)),
 pc AS (SELECT i.*, i.class_name || '::phash_' || printf('%04d', k) AS phash_component FROM i JOIN c ON image_id = id JOIN n ON i.class_name = n.class_name AND c.root = n.root)"""
 
 
+_NEAR = _near(NEAR)
+
+
 @query(with_i(f", {_NEAR} SELECT image_id, phash_component FROM pc", True))
 def phash_components(spark, d):
     return components.phash_components(images(spark, d), NEAR).select("image_id", "phash_component")
@@ -574,13 +578,13 @@ def group_shuffle_split(spark, d):
 
 @query(
     with_i(
-        f""", {_NEAR}, {_CONSTRAINT}, m AS (SELECT pc.image_id, pc.class_name, pc.class_name || '::constraint_' || printf('%04d', k) AS group_id FROM pc JOIN c2 ON image_id = id JOIN n2 ON pc.class_name = n2.class_name AND c2.root = n2.root),
+        f""", {_near(FEW)}, {_CONSTRAINT}, m AS (SELECT pc.image_id, pc.class_name, pc.class_name || '::constraint_' || printf('%04d', k) AS group_id FROM pc JOIN c2 ON image_id = id JOIN n2 ON pc.class_name = n2.class_name AND c2.root = n2.root),
 {SPLIT_CTE} SELECT image_id, class_name, f.split FROM m JOIN f ON class_name = f.c AND group_id = f.k""",
         True,
     )
 )
 def generated_split(spark, d):
-    return splits.generate(images(spark, d).drop("split"), "phash+group", threshold=NEAR).select("image_id", "class_name", "split")
+    return splits.generate(images(spark, d).drop("split"), "phash+group", threshold=FEW).select("image_id", "class_name", "split")
 
 
 def leaks(spark, d):
