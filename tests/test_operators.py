@@ -347,6 +347,11 @@ def test_tables_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text("title,,\nScience name,Sample ID,Originin\nE. grandis,3358.1,X\n,3358.2,Y\n")
     a = profile.annotations(tables.read_annotations(spark, str(tmp_path / "a.csv")), "row")
     assert sorted(r.specimen_key for r in a.collect()) == ["3358.1", "3358.2"]
+    (tmp_path / "lines.csv").write_text('title,,\nScience name,Sample ID,Originin\nE. grandis,3358.1,"X\nY"\n,3358.2,Z\n')
+    sheet = {r.sample_id: (r.source_institution, r.row) for r in tables.read_annotations(spark, str(tmp_path / "lines.csv")).collect()}
+    assert sheet["3358.1"][0] == "X\nY" and sheet["3358.1"][1] < sheet["3358.2"][1]
+    twice = spark.createDataFrame([("1", "b"), ("1", "a")], "image_id string, sha256 string")
+    assert [tuple(r) for r in audit.merge_metadata(twice, spark.createDataFrame([("1", "train"), ("2", "val")], "image_id string, split string")).orderBy("image_id").collect()] == [("1", "train", "a"), ("2", "val", None)]
     assert r"a\_b" in sinks.latex_table(spark.createDataFrame([("a_b",)], "x_y string"), "c", "l")
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.png").write_bytes(b"1")
