@@ -39,18 +39,19 @@ def class_coverage(df: DataFrame, component: str, class_col: str = "class_name")
     return counts.withColumn("covered", F.col("n_components") >= len(SPLITS))
 
 
-def component_split(df: DataFrame, component: str, class_col: str = "class_name", seed: int = 42, ratios: tuple[float, float, float] = RATIOS, parity_rng: bool = False) -> DataFrame:
+def component_split(df: DataFrame, component: str, class_col: str = "class_name", seed: int = 42, ratios: tuple[float, float, float] = RATIOS, parity_rng: bool = False, need_all: bool = True) -> DataFrame:
     """df with `split`: whole components, balanced by rows within each class.
 
     The three largest components of a class go to train, val and test; every next one, by falling size, goes where most rows are missing, train
     before val before test among equals. Equal sizes come in a seeded order: by SHA-256, or with parity_rng by Python's shuffle over the
     sorted ids of class after class (the ids are then collected; there are as many as components). The fold runs over the distinct sizes of a class;
-    places among equal sizes are counted in parts, and rows only meet their component's split in a join. A class with fewer than three components is an error, and so is a row without one."""
+    places among equal sizes are counted in parts, and rows only meet their component's split in a join. A class with fewer than three components is an error, and so is a row without one.
+    With need_all=False such a class is split as far as it goes: its largest component to train, the next one to val."""
     check_ratios(ratios)
     if not df.where(F.col(component).isNull()).isEmpty():
         raise ValueError(f"rows without {component}")
     sizes = df.groupBy(F.col(class_col).alias("c"), F.col(component).cast("string").alias("k")).agg(F.count("*").cast("int").alias("n"))
-    few = [r.c for r in class_coverage(sizes, "k", "c").where("not covered").orderBy("c").limit(20).collect()]
+    few = need_all and [r.c for r in class_coverage(sizes, "k", "c").where("not covered").orderBy("c").limit(20).collect()]
     if few:
         raise ValueError(f"classes with fewer than three components: {few}")
     if parity_rng:
@@ -163,8 +164,8 @@ def group_split(df: DataFrame, group: str = "group_id", class_col: str = "class_
     return df.drop("split").join(told, (F.col(class_col) == F.col("_c")) & (F.col(group) == F.col("_k"))).drop("_c", "_k")
 
 
-def generate(df: DataFrame, mode: str, seed: int = 42, ratios: tuple[float, float, float] = RATIOS, threshold: int = 10) -> DataFrame:
-    """A split by mode: phash+group, phash, group, group_shuffle or stratified."""
+def generate(df: DataFrame, mode: str, seed: int = 42, ratios: tuple[float, float, float] = RATIOS, threshold: int = 10, need_all: bool = True) -> DataFrame:
+    """A split by mode: phash+group, phash, group, group_shuffle or stratified. need_all: as in component_split, for modes with components."""
     from .components import constraint_components, phash_components
 
     if mode == "stratified":
@@ -172,10 +173,10 @@ def generate(df: DataFrame, mode: str, seed: int = 42, ratios: tuple[float, floa
     if mode == "group_shuffle":
         return group_split(df, seed=seed, ratios=ratios)
     if mode == "group":
-        return component_split(df, "group_id", seed=seed, ratios=ratios)
+        return component_split(df, "group_id", seed=seed, ratios=ratios, need_all=need_all)
     if mode not in ("phash", "phash+group"):
         raise ValueError(f"unknown split mode: {mode}")
     df = phash_components(df, threshold)
     if mode == "phash":
-        return component_split(df, "phash_component", seed=seed, ratios=ratios)
-    return component_split(constraint_components(df), "constraint_component", seed=seed, ratios=ratios)
+        return component_split(df, "phash_component", seed=seed, ratios=ratios, need_all=need_all)
+    return component_split(constraint_components(df), "constraint_component", seed=seed, ratios=ratios, need_all=need_all)

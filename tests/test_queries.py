@@ -60,3 +60,23 @@ def test_entry(spark):
 
 def test_registered():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_generated_split_of_few_components(spark, tmp_path):
+    """Classes of one and two components are split as in the SQL, not refused."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base, vectors = rng.normal(size=(2, 64)), []
+    for i in range(60):
+        label, kind = i % 3, int(i // 3 % 17 < 6)  # label 1 has two kinds of vectors, each a group of its own
+        v = (base[0], base[kind], rng.normal(size=64))[label]
+        vectors.append((51 * i + (kind if label == 1 else i), v.tolist(), label))
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(catalogue.ORACLES["generated_split"]).fetchall()
+    got = catalogue.QUERIES["generated_split"](spark, str(tmp_path)).collect()
+    assert sorted((r.image_id, r.class_name, r.split) for r in got) == sorted(want) and len(want) == 60
+    assert {r.split for r in got if r.class_name == "0"} == {"train"}
+    assert {r.split for r in got if r.class_name == "1"} == {"train", "val"}
