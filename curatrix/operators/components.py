@@ -18,6 +18,8 @@ from .validate import has_value
 
 #: Rows of a class that meet in one block of the blocked join, about, and edges that a task holds.
 BLOCK_ROWS, EDGES_A_TASK = 4096, 1 << 19
+#: Rows of a part where bands are looked up, about, pairs that are compared or returned at once, and tasks at most.
+BAND_ROWS, PAIRS_AT_ONCE, BAND_TASKS = 1 << 15, 1 << 18, 2000
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -53,24 +55,95 @@ def bands(rows: DataFrame, threshold: int, probes: bool, id: str, block: str | N
     return out.select("id", "block", F.col("b.band").alias("band"), F.explode("b.values").alias("value"))
 
 
+def near_by_bands(left: np.ndarray, right: np.ndarray, threshold: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of all 64-bit hashes of left and right that differ in `threshold` bits at most, each pair once; with `same` left is right, and x < y.
+
+    A band's table has left's places by the band's value; right looks up all values within a quarter of the threshold. A pair counts
+    in the first band that finds it."""
+    radius = threshold // 4
+    masks = [sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(range(16), n)]
+    part = lambda h, k: ((h >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
+    for k in range(4):
+        own, values = part(left, k), part(right, k)
+        by, count = np.argsort(own, kind="stable"), np.bincount(own, minlength=1 << 16)
+        start = np.cumsum(count) - count
+        for mask in masks:
+            probed = values ^ mask
+            y = np.flatnonzero(count[probed])
+            n = count[probed[y]]
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(y):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + PAIRS_AT_ONCE, "right")))
+                m, low = n[at:to], start[probed[y[at:to]]]
+                x = by[np.repeat(low - np.cumsum(m) + m, m) + np.arange(m.sum())]
+                z = np.repeat(y[at:to], m)
+                at = to
+                differ = left[x] ^ right[z]
+                found = np.bitwise_count(differ) <= threshold
+                if same:
+                    found &= x < z
+                x, z, differ = x[found], z[found], differ[found]
+                for e in range(k):
+                    new = np.bitwise_count(part(differ, e)) > radius
+                    x, z, differ = x[new], z[new], differ[new]
+                if len(x):
+                    yield x, z
+
+
+def band_pairs(rows: DataFrame, threshold: int, blocks: int | None = None) -> DataFrame:
+    """Pairs (l, r) of rows (id, pos, block, hi, lo) of one block whose hashes differ in `threshold` bits at most, each once, found by bands.
+
+    Only rows are shuffled, once for each part that they meet; neighbourhoods and candidates stay inside a task, so no plan or join has them."""
+    rows = rows.where("block is not null")
+    found = rows.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("n")).first()
+    blocks = blocks or max(1, -(-(found.most or 0) // BAND_ROWS))
+    part, others = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    cell = lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j"), (F.col("part") > o).alias("second"))
+    dealt = rows.withColumn("part", part).withColumn("c", F.explode(F.transform(others, cell))).select(*rows.columns, "c.*")
+    tasks = max(1, min(found.n * blocks * (blocks + 1), BAND_TASKS))
+    row = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema)
+    names = rows.columns
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        hashes = t["hi"].to_numpy().astype(np.uint64) << np.uint64(32) | t["lo"].to_numpy().astype(np.uint64)
+        second = t["second"].to_numpy()
+        same = t["i"][0].as_py() == t["j"][0].as_py()
+        first = np.flatnonzero(~second)
+        then = first if same else np.flatnonzero(second)
+        own = t.select(names)
+
+        def batch(held: list) -> pa.RecordBatch:
+            sides = [own.take(pa.array(places[np.concatenate(side)])).combine_chunks() for places, side in zip((first, then), zip(*held))]
+            return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([s.column(c).chunk(0) for c in names], names) for s in sides], ["l", "r"])
+
+        held, n = [], 0
+        for x, y in near_by_bands(hashes[first], hashes[then], threshold, same):
+            held.append((x, y))
+            n += len(x)
+            if n >= PAIRS_AT_ONCE // 4:
+                yield batch(held)
+                held, n = [], 0
+        if held:
+            yield batch(held)
+
+    return dealt.repartition(tasks, "block", "i", "j").groupBy("block", "i", "j").applyInArrow(pairs, f"l struct<{row}>, r struct<{row}>")
+
+
 def hash_pairs(df: DataFrame, threshold: int, id: str = "image_id", text: str = "phash", block: str | None = "class_name", order: str | None = None, method: str = "auto", blocks: int | None = None) -> DataFrame:
     """(block, a, b, distance) of rows of one block whose hashes differ in `threshold` bits at most; a comes before b in the order.
 
-    method bands: two hashes within the threshold are within a quarter of it in one of four bands, so an equality join over the
-    bands' neighbourhoods finds all of them; fit for small thresholds. method blocks: all pairs of a block, which is
-    dealt into `blocks` parts (if not given: of about BLOCK_ROWS rows) that meet two by two, so a large class is spread over tasks. auto: bands up to 11."""
+    method bands: two hashes within the threshold are within a quarter of it in one of four bands, so looking up the
+    bands' neighbourhoods finds all of them; fit for small thresholds. method blocks: all pairs of a block. Either way a block is
+    dealt into `blocks` parts (if not given: of about BAND_ROWS or BLOCK_ROWS rows) that meet two by two, so a large class is spread over tasks. auto: bands up to 11."""
     order = order or id
     named = F.col(block) if block else F.lit("all")
     rows = with_halves(df, text).select(F.col(id).alias("id"), F.col(order).alias("pos"), named.alias("block"), "hi", "lo")
     before = F.col("l.pos") < F.col("r.pos")
     near = distance("l", "r") <= threshold
     if method == "bands" or method == "auto" and threshold <= 11:
-        left, right = bands(rows, threshold, False, "id", "block"), bands(rows, threshold, True, "id", "block")
-        same = ["block", "band", "value"]
-        found = left.withColumnRenamed("id", "x").join(right.withColumnRenamed("id", "y"), same).where("x <> y").select("x", "y").distinct()
-        l = rows.select(F.struct("id", "pos", "block", "hi", "lo").alias("l"))
-        r = rows.select(F.struct("id", "pos", "block", "hi", "lo").alias("r"))
-        joined = found.join(l, F.col("x") == F.col("l.id")).join(r, F.col("y") == F.col("r.id")).where(before & near)
+        joined = band_pairs(rows, threshold, blocks).where("l.id <> r.id and l.pos <> r.pos")
     else:
         blocks = blocks or blocks_for(rows, "block")
         part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
@@ -84,8 +157,7 @@ def hash_pairs(df: DataFrame, threshold: int, id: str = "image_id", text: str =
     first = F.col("l.pos") < F.col("r.pos")
     pick = lambda c: F.when(first, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}"))
     other = lambda c: F.when(first, F.col(f"r.{c}")).otherwise(F.col(f"l.{c}"))
-    out = joined.select(F.col("l.block").alias("block"), pick("id").alias("a"), other("id").alias("b"), distance("l", "r").cast("int").alias("distance"))
-    return out.dropDuplicates(["a", "b"]) if method != "blocks" and threshold <= 11 else out
+    return joined.select(F.col("l.block").alias("block"), pick("id").alias("a"), other("id").alias("b"), distance("l", "r").cast("int").alias("distance"))
 
 
 def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

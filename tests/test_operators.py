@@ -64,6 +64,20 @@ def test_hash_pairs(spark, method, blocks, threshold):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("blocks, at_once", [(1, 1 << 18), (3, 50)])
+def test_bands_stay_inside_tasks(spark, monkeypatch, blocks, at_once):
+    """A wide neighbourhood (697 values a band at 15 bits) is looked up, so no join or broadcast holds it; copies and text ids give each pair once."""
+    monkeypatch.setattr(components, "PAIRS_AT_ONCE", at_once)
+    rows, df = hashes(spark)
+    df = df.select(F.format_string("i%03d", "image_id").alias("image_id"), "class_name", "phash")
+    good = [(f"i{r[0]:03d}", int(r[2], 16)) for r in rows if r[2] and r[2] != "1g"]
+    want = [(a[0], b[0], d) for a, b in itertools.combinations(good, 2) if (d := (a[1] ^ b[1]).bit_count()) <= 15]
+    found = components.hash_pairs(df, 15, block=None, method="bands", blocks=blocks)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(plan) < 20_000
+    assert sorted((r.a, r.b, r.distance) for r in found.collect()) == sorted(want)
+
+
 def test_components_are_numbered_by_first_row(spark):
     rows, df = hashes(spark)
     made = components.constraint_components(components.phash_components(df, 10))
