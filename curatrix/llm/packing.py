@@ -148,8 +148,9 @@ def _swept(scratch: Scratch, state: DataFrame, n: int, capacity: int) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], [x.split()[0] for x in SWEPT.split(", ")])
 
     tie = F.xxhash64("id")
-    ranged = state.where("tag in ('D', 'G')").select("tag", "id", "size").repartitionByRange(_parts(n), "size", "tag", tie).sortWithinPartitions("size", "tag", tie)
-    return scratch.put(ranged.mapInArrow(run, SWEPT))
+    rows, parts = state.where("tag in ('D', 'G')").select("tag", "id", "size"), _parts(n)
+    ranged = rows.repartitionByRange(parts, "size", "tag", tie) if parts > 1 else rows.coalesce(1)  # what one task holds needs no exchange
+    return scratch.put(ranged.sortWithinPartitions("size", "tag", tie).mapInArrow(run, SWEPT))
 
 
 def _zero() -> Column:

@@ -71,6 +71,18 @@ def test_rounds_at_every_size(spark, monkeypatch):
     assert seen.count("_swept") >= 2 and "_opened" in seen
 
 
+@pytest.mark.parametrize("rows_a_task, dealt", [(100_000, False), (40, True)])
+def test_state_of_one_task_is_not_dealt(spark, monkeypatch, rows_a_task, dealt):
+    """Rows that one task holds are swept without an exchange, however many partitions a session deals to; more of them are range-sorted."""
+    frame, seen = type(spark.range(0)), []
+    monkeypatch.setattr(packing, "ROWS_A_TASK", rows_a_task)
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *by, f=frame.repartitionByRange: seen.append(n) or f(self, max(7, n), *by))
+    rng = random.Random(6)
+    lengths = [rng.randrange(1, 700) for _ in range(300)]
+    n = packed(spark, lengths, 1000)
+    assert bool(seen) == dealt and n <= 1.06 * -(-sum(lengths) // 1000)
+
+
 def test_intervals_match_brackets():
     rng = random.Random(2)
     for _ in range(200):
